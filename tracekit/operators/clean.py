@@ -45,6 +45,8 @@ def impute_ffill(
     The flags are taken before the fill and travel with the row, so they stay
     aligned when incomplete leading rows are dropped.
     """
+    if isinstance(order, str):
+        order = [order]
     flagged = df.withColumn("was_missing", F.array(*[F.col(c).isNull().cast("int") for c in cols]))
     filled = running(arrange(flagged, order, by, buckets), by, fills={"_f_" + c: c for c in cols})
     filled = filled.select(

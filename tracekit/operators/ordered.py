@@ -26,7 +26,13 @@ def arrange(
     by: Sequence[str] = (),
     buckets: int | None = None,
 ) -> DataFrame:
-    """Sort by (by, order), which must end in a unique key, and tag rows with ``_bucket``, ``_at``."""
+    """Sort by (by, order), which must end in a unique key, and tag rows with ``_bucket``, ``_at``.
+
+    A table that already carries the marks is returned as it is, so operators
+    over the same order can share one sort.
+    """
+    if "_at" in df.columns:
+        return df
     if not order:
         raise ValueError("an explicit order is needed: rows of a DataFrame have none")
     keys = [F.col(b) for b in by] + [col(o) for o in order]
@@ -35,7 +41,8 @@ def arrange(
     else:
         placed = df.orderBy(*keys)
     placed = placed.withColumn("_at", F.monotonically_increasing_id())
-    return cut(placed.withColumn("_bucket", F.shiftright("_at", _LOCAL_BITS).cast("int")))
+    done = cut(placed.withColumn("_bucket", F.shiftright("_at", _LOCAL_BITS).cast("int")), "arranged")
+    return done.withMetadata("_bucket", {"buckets": len(done.inputFiles())})
 
 
 def running(
@@ -46,12 +53,14 @@ def running(
     fills: Mapping[str, Column | str] | None = None,
     lags: Mapping[str, Column | str] | None = None,
     firsts: Mapping[str, Column | str] | None = None,
+    filtered: bool = False,
 ) -> DataFrame:
     """Add running columns per group over a table from ``arrange``.
 
     position: 0-based row number; sums: inclusive running sums; fills: last
     non-null value so far; lags: value of the previous row; firsts: value of
-    the first row of the group.
+    the first row of the group. ``filtered`` says that rows were dropped since
+    the sort, so positions have to be counted again.
     """
     sums, fills, lags, firsts = dict(sums or {}), dict(fills or {}), dict(lags or {}), dict(firsts or {})
     by = list(by)
@@ -63,7 +72,9 @@ def running(
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     if position:
         local[position] = (
-            F.row_number().over(part).cast("bigint") - 1 if by else F.col("_at").bitwiseAND(F.lit(_LOCAL_MASK))
+            F.row_number().over(part).cast("bigint") - 1
+            if by or filtered
+            else F.col("_at").bitwiseAND(F.lit(_LOCAL_MASK))
         )
         totals.append(F.count(F.lit(1)).alias("_n"))
         carried["_c_" + position] = F.sum("_n").over(before)
@@ -95,13 +106,20 @@ def running(
     carry = carry.select(
         F.col("_bucket").alias("_cb"), *[F.col(b).alias("_k_" + b) for b in by], *carried
     )
-    cond = F.col("_bucket") == F.col("_cb")
-    for b in by:
-        cond = cond & F.col(b).eqNullSafe(F.col("_k_" + b))
-    # at most one row per bucket, so the broadcast is bounded by the partition count
-    out = arranged.select("*", *[e.alias("_l_" + n) for n, e in local.items()]).join(
-        F.broadcast(carry), cond, "left"
-    )
+    # At most one row per bucket, so what is collected and broadcast is bounded by the number of
+    # sorted partitions. As a local table it also keeps a chain of passes from nesting plans.
+    single = arranged.schema["_bucket"].metadata.get("buckets") == 1
+    rows = [] if single else carry.collect()
+    out = arranged.select("*", *[e.alias("_l_" + n) for n, e in local.items()])
+    if rows:
+        cond = F.col("_bucket") == F.col("_cb")
+        for b in by:
+            cond = cond & F.col(b).eqNullSafe(F.col("_k_" + b))
+        held = arranged.sparkSession.createDataFrame(rows, carry.schema)
+        out = out.join(F.broadcast(held), cond, "left")
+    else:
+        types = {f.name: f.dataType for f in carry.schema.fields}
+        out = out.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in carried])
     final = []
     for name in local:
         here, there = F.col("_l_" + name), F.col("_c_" + name)

@@ -16,15 +16,13 @@ def sessionize_count(
 ) -> DataFrame:
     """Every n consecutive rows of a key are a session; ids are dense, by key then position.
 
-    The sort by (keys, order) yields row numbers per key without grouping a key,
-    and the first id of a key is a running sum over the key-count table.
+    One sort by (keys, order) gives the row number inside each key; every n-th
+    row opens a session, and the running count of openings is the session id.
     """
-    placed = drop_marks(running(arrange(df, order, keys, buckets), keys, position="_rn"))
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / n).alias("_k"))
-    bases = running(arrange(counts, list(keys), ()), (), sums={"_upto": "_k"})
-    bases = bases.select(*keys, (F.col("_upto") - F.col("_k")).alias("_base"))
-    keyed = placed.join(bases, list(keys)) if keys else placed.withColumn("_base", F.lit(0))
-    return keyed.select(*df.columns, (F.col("_base") + F.floor(F.col("_rn") / n)).cast("bigint").alias(name))
+    placed = running(arrange(df, order, keys, buckets), keys, position="_rn", filtered=True)
+    opened = placed.withColumn("_open", (F.col("_rn") % n == 0).cast("bigint"))
+    ids = running(opened, (), sums={name: "_open"}).withColumn(name, F.col(name) - 1)
+    return ids.select(*df.columns, name)
 
 
 def bin_edges(lo: float, hi: float, k: int) -> list[float]:
@@ -150,7 +148,7 @@ def encode_interarrival(
     order = [ts, *tie]
     moved = running(arrange(df, order, keys, buckets), keys, lags={"_prev": ts}, firsts={"flow_start": ts})
     gap = F.coalesce(F.col(ts) - F.col("_prev"), F.lit(0.0))
-    return drop_marks(moved.withColumn("interarrival", gap).drop("_prev"))
+    return moved.withColumn("interarrival", gap).select(*df.columns, "flow_start", "interarrival")
 
 
 def decode_interarrival(df: DataFrame, keys: Sequence[str], pos: str, start: str, gap: str, name: str = "ts") -> DataFrame:

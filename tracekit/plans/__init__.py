@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["trace"]
+FAMILIES = ["trace", "cleaning", "timeline"]
 
 
 def load_all() -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracekit.functions import codecs as C
 from tracekit.operators import clean, sessions
+from tracekit.operators.ordered import arrange
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
 from tracekit.session import scratch_path, tidy
@@ -52,7 +53,8 @@ from gaps group by session_id
 
 @query("flagship_trace_sessions", FLAG_SQL)
 def flagship(spark, sf):
-    wide = X.wide_signals(spark, sf)
+    # day grows with the timestamp, so one sort serves the fill, the sessions and the gaps
+    wide = arrange(X.wide_signals(spark, sf), ["timestamp"])
     filled, _ = clean.impute_ffill(wide, ["timestamp"], SIG)
     filled = filled.withColumn("day", F.floor(F.col("timestamp") / 86400))
     cut_up = sessions.sessionize_count(filled, ["day"], ["timestamp"], 8)

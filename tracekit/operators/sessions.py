@@ -151,6 +151,14 @@ def encode_interarrival(
     return moved.withColumn("interarrival", gap).select(*df.columns, "flow_start", "interarrival")
 
 
+def encode_raw_time(df: DataFrame, ts: str, chunk: str, name: str) -> DataFrame:
+    """Timestamp scaled to [0, 1] inside its time chunk; the few chunk ranges are joined back."""
+    ranges = df.groupBy(chunk).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    unit = F.when(span == 0, F.lit(0.0)).otherwise((F.col(ts) - F.col("_lo")) / F.when(span != 0, span))
+    return df.join(ranges, chunk).select(*df.columns, unit.alias(name))
+
+
 def decode_interarrival(df: DataFrame, keys: Sequence[str], pos: str, start: str, gap: str, name: str = "ts") -> DataFrame:
     """start + cumulative gaps; the first row is the start itself."""
     summed = drop_marks(running(arrange(df, [pos], keys), keys, position="_p", sums={"_sum": gap}))

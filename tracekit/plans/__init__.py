@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["trace", "cleaning", "timeline"]
+FAMILIES = ["trace", "cleaning", "timeline", "scores"]
 
 
 def load_all() -> None:

@@ -168,13 +168,10 @@ def w14(spark, sf):
     return sessions.decode_interarrival(enc, KEYS, "pos", "flow_start", "interarrival").select("rid", "ts")
 
 
-@query("w15_raw_time", f"{FL}, b as (select min(ts) - 1e-8 as lo, max(ts) + 1e-8 as hi from flows) select rid, round((ts - lo) / (hi - lo), 6) as t from flows, b")
+@query("w15_raw_time", f"""{CHUNK_SQL} select rid, chunk, round((ts - min(ts) over (partition by chunk)) /
+(max(ts) over (partition by chunk) - min(ts) over (partition by chunk)), 6) as t from chunked""")
 def w15(spark, sf):
-    from tracekit.operators.encoders import fit_ranges, normalize
-
-    f = X.flows(spark, sf)
-    fitted = fit_ranges(f, ["ts"])
-    return f.select("rid", tidy(normalize("ts", fitted["ts"])).alias("t"))
+    return sessions.encode_raw_time(_chunked(spark, sf), "ts", "chunk", "t").select("rid", "chunk", tidy("t").alias("t"))
 
 
 @query("w16_session_duration", f"{FL} select srcip, proto, max(ts) - min(ts) as duration from flows group by all")

@@ -11,14 +11,12 @@ per pair, and reduced to the k best per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracekit.operators.ordered import arrange, running
+from tracekit.operators.ordered import arrange
 from tracekit.session import cut
 
 BLOCK_ROWS = 2048
@@ -46,9 +44,9 @@ def _distances(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out if metric == "l1" else np.sqrt(out)
 
 
-def _curve(df: DataFrame, both: DataFrame) -> DataFrame:
+def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Add ``_z``: bits of the widest dimensions interleaved."""
-    stats = both.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(
+    stats = rows.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.var_pop("x").alias("v"))
     top = stats.orderBy(F.desc("v"), "d").limit(CURVE_DIMS).collect()
     dims = [r["d"] for r in top]
@@ -70,16 +68,14 @@ def _curve(df: DataFrame, both: DataFrame) -> DataFrame:
     return df.withColumn("_z", morton("vec"))
 
 
-def _pack(rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.stack(pdf["vec"].to_list()).astype(np.float64)
-        return pd.DataFrame({
-            "side": [pdf["side"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "block": [pdf["block"].iloc[0]],
-            "ids": [pdf["vid"].to_numpy()], "counts": [pdf["n"].to_numpy()], "width": [mat.shape[1]],
-            "mat": [mat.tobytes()], "lo": [mat.min(axis=0)], "hi": [mat.max(axis=0)], "weight": [int(pdf["n"].sum())],
-        })
-
-    return pack
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row per block: its matrix, its keys and its bounding box."""
+    mat = np.stack(pdf["vec"].to_list()).astype(np.float64)
+    return pd.DataFrame({
+        "side": [pdf["side"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "block": [pdf["block"].iloc[0]],
+        "ids": [pdf["vid"].to_numpy()], "counts": [pdf["n"].to_numpy()], "width": [mat.shape[1]],
+        "mat": [mat.tobytes()], "lo": [mat.min(axis=0)], "hi": [mat.max(axis=0)], "weight": [int(pdf["n"].sum())],
+    })
 
 
 PACKED = ("side int, grp string, block bigint, ids array<bigint>, counts array<bigint>, width int, mat binary, "
@@ -172,15 +168,15 @@ def nearest(
     both = distinct[0].select("side", "grp", "vec", "n", F.col("id.id0").alias("id0"), F.lit(None).cast(id_types[1]).alias("id1"))
     both = both.unionByName(
         distinct[1].select("side", "grp", "vec", "n", F.lit(None).cast(id_types[0]).alias("id0"), F.col("id.id1").alias("id1")))
-    both = cut(both, "distinct")
-
-    placed = arrange(_curve(both, both), ["_z", "id0", "id1"], ["side", "grp"])
-    placed = running(placed, ["side", "grp"], position="_pos")
-    # the sort position is a compact key for the distinct vectors
-    placed = placed.withColumn("vid", F.col("_at")).withColumn("block", F.floor(F.col("_pos") / block_rows))
-    placed = cut(placed.select("side", "grp", "block", "vid", "id0", "id1", "vec", "n"), "vectors")
-
-    packed = cut(placed.groupBy("side", "grp", "block").applyInPandas(_pack(block_rows), PACKED), "blocks")
+    raw = sides[0].select("vec").unionByName(sides[1].select("vec"))
+    placed = arrange(_curve(both, raw), ["_z", "id0", "id1"], ["side", "grp"])
+    # the sort position is a compact key for the distinct vectors; a block is a run of positions
+    local = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
+    placed = placed.select(
+        "side", "grp", F.col("_at").alias("vid"), "id0", "id1", "vec", "n",
+        F.shiftleft(F.col("_bucket").cast("bigint"), 32).bitwiseOR(local).alias("block"))
+
+    packed = cut(placed.groupBy("side", "grp", "block").applyInPandas(_pack, PACKED), "blocks")
     q = packed.where("side = 0").select(
         "grp", F.col("block").alias("qblock"), F.col("ids").alias("qids"), "width", F.col("mat").alias("qmat"))
     r = packed.where("side = 1").select(
@@ -210,8 +206,12 @@ def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
     boxes = packed.select("side", "grp", "block", "lo", "hi", "weight")
     qs = boxes.where("side = 0").select("grp", F.col("block").alias("qblock"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
     rs = boxes.where("side = 1").drop("side")
-    blocks = rs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_blocks"))
-    rs = rs.join(blocks, "grp").withColumn("sup", F.floor(F.col("block") / F.ceil(F.col("n_blocks") / SUPERS)))
+    bucket, local = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    n_blocks, buckets, longest = rs.agg(F.count(F.lit(1)), F.max(bucket) + 1, F.max(local) + 1).first()
+    few = (n_blocks or 0) <= SUPERS
+    # outer boxes are runs of blocks; with few blocks every block is its own outer box
+    rs = rs.withColumn("sup", F.col("block") if few else F.floor(
+        (bucket + local / F.lit(longest)) / F.lit(buckets) * SUPERS).cast("bigint"))
     if metric is None:
         # a custom distance has no box bounds: every block pair of the group is needed
         return qs.select("grp", "qblock").join(rs.select("grp", F.col("block").alias("rblock")), "grp")
@@ -237,6 +237,8 @@ def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
     near = qs.join(supers, "grp").mapInPandas(
         _candidates(metric, need),
         "grp string, qblock bigint, qlo array<double>, qhi array<double>, sup bigint, tau double")
+    if few:
+        return near.select("grp", "qblock", F.col("sup").alias("rblock"))
     inside = rs.select("grp", "sup", F.col("block").alias("rblock"), "lo", "hi", "weight")
     bounded = near.join(inside, ["grp", "sup"]).mapInPandas(
         _pair_bounds(metric), "grp string, qblock bigint, rblock bigint, weight bigint, tau double, low double, high double")

@@ -89,15 +89,27 @@ def minima(original: DataFrame, synthetic: DataFrame, test: DataFrame, metric="l
     Originals that have an exact copy in both other tables are left out.
     """
     keys = [by] if by else []
-    one = lambda a, b: nearest(a, b, k=1, metric=metric, group=by)
-    rows = one(original, test).select(*keys, "id", F.col("distance").alias("t")).join(
-        one(original, synthetic).select(*keys, "id", F.col("distance").alias("s")), [*keys, "id"])
-    rows = rows.where((F.col("t") != 0) | (F.col("s") != 0))
-    there = rows.select(*keys, F.inline(F.array(
+    # the four directions are four groups of one nearest-neighbour join
+    queries, refs = None, None
+    for way, a, b in (("to test", original, test), ("to synthetic", original, synthetic),
+                      ("from test", test, original), ("from synthetic", synthetic, original)):
+        tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(way)).alias("way")
+        q, r = a.select("id", "vec", tag), b.select("id", "vec", tag)
+        queries = q if queries is None else queries.unionByName(q)
+        refs = r if refs is None else refs.unionByName(r)
+    found = cut(nearest(queries, refs, k=1, metric=metric, group="way").select("way", "id", "distance"), "ways")
+    found = found.withColumn("_dir", F.element_at(F.split("way", r"\|"), -1))
+    if by:
+        found = found.withColumn(by, F.get(F.split("way", r"\|"), 0))
+    back = found.where(F.col("_dir").startswith("from")).select(
+        *keys, F.element_at(F.split("_dir", " "), -1).alias("kind"), "distance")
+    rows = found.where(F.col("_dir").startswith("to")).groupBy(*keys, "id").agg(
+        F.max(F.when(F.col("_dir") == "to test", F.col("distance"))).alias("t"),
+        F.max(F.when(F.col("_dir") == "to synthetic", F.col("distance"))).alias("s"))
+    there = rows.where((F.col("t") != 0) | (F.col("s") != 0)).select(*keys, F.inline(F.array(
         F.struct(F.lit("test").alias("kind"), F.col("t").alias("distance")),
         F.struct(F.lit("synthetic").alias("kind"), F.col("s").alias("distance")))))
-    back = [one(d, original).select(*keys, F.lit(k).alias("kind"), "distance") for k, d in (("test", test), ("synthetic", synthetic))]
-    return cut(there.unionByName(back[0]).unionByName(back[1]), "minima")
+    return there.unionByName(back)
 
 
 def _share_below(values: DataFrame, limits: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -36,8 +36,8 @@ JS = ("greatest(sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end +
       "case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) / 2, 0)")
 
 
-def js_sql(c="c", expr=JS):
-    return SHARES.format(c=c) + f", js as (select metric, round({expr}, 6) as value from s group by metric)"
+def js_sql(c="c", expr=JS, s="s", out="js"):
+    return SHARES.format(c=c).replace("s as (", f"{s} as (", 1) + f", {out} as (select metric, round({expr}, 6) as value from {s} group by metric)"
 
 
 def emd_sql(c="c", out="emd"):
@@ -146,7 +146,7 @@ def suite_sql(numeric, sessions=False):
     extra = ""
     if sessions:
         extra = (" union all select 'flow_size', count(*)::double, half from flows group by half, srcip, dstip, srcport, dstport, proto")
-    return f"""{RLONG}, {RANK_SQL}, {js_sql('rk').replace('s as (', 'rs as (').replace('from s ', 'from rs ').replace('js as (', 'rjs as (')},
+    return f"""{RLONG}, {RANK_SQL}, {js_sql('rk', s='rs', out='rjs')},
 {counts_sql(DOMAIN).replace('long as', 'dlong as').replace('from long', 'from dlong').replace('c as (', 'dc as (')},
 {js_sql('dc')},
 {counts_sql(numeric, extra).replace('long as', 'nlong as').replace('from long', 'from nlong').replace('c as (', 'nc as (')},
@@ -244,8 +244,9 @@ def m13(spark, sf):
 
 CAND_SQL = """cand as (select 'k' || (l_suppkey % 4) as candidate, cast(l_linenumber % 3 as int) as chunk, l_quantity as td, l_extendedprice as byt,
   l_discount as disc, l_returnflag as flag from lineitem),
-scores as (select chunk, candidate, unnest(['td','byt','disc','flag']) as metric,
-  unnest([round(avg(td), 6), round(avg(byt), 6), round(avg(disc), 6), round(avg(case when flag = 'A' then 1e0 else 0e0 end), 6)]) as value from cand group by all)"""
+agg as (select chunk, candidate, round(avg(td), 6) as td, round(avg(byt), 6) as byt, round(avg(disc), 6) as disc,
+  round(avg(case when flag = 'A' then 1e0 else 0e0 end), 6) as flag from cand group by chunk, candidate),
+scores as (""" + " union all ".join(f"select chunk, candidate, '{m}' as metric, {m} as value from agg" for m in ("td", "byt", "disc", "flag")) + ")"
 
 
 def _scores(spark, sf):
@@ -379,8 +380,11 @@ def _sens(spark, sf):
     return V.minima(p.where("u >= 0.4"), p.where("u < 0.2"), p.where("u >= 0.2 and u < 0.4"))
 
 
+GRID = "[" + ", ".join(f"{0.3 * i / 99!r}::double" for i in range(100)) + "]"
+
+
 @query("v4_sensitivity", f"""with {SENS},
-grid as (select 0.3 * i / 99 as q, (select quantile_cont(d, 0.3 * i / 99) from mins where kind = 'test') as lim from range(100) r(i))
+grid as (select unnest({GRID}) as q, unnest(lims) as lim from (select quantile_cont(d, {GRID}) as lims from mins where kind = 'test'))
 select round(avg(share - q), 6) as statistic from (
   select q, (select count(*) filter (where d <= lim) / count(*) from mins where kind = 'synthetic') as share from grid)""")
 def v4(spark, sf):

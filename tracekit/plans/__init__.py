@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["trace", "cleaning", "timeline", "scores"]
+FAMILIES = ["trace", "cleaning", "timeline", "scores", "draws", "encoding"]
 
 
 def load_all() -> None:

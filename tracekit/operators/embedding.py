@@ -21,7 +21,7 @@ from tracekit.operators.ordered import arrange, running
 def fit_embedding(df: DataFrame, cols: Sequence[str], size: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """(word, vector) with unit length; each row is one sentence of its column values."""
     sentences = df.select(F.array(*[F.col(c).cast("string") for c in cols]).alias("words"))
-    n = partitions or max(sentences.rdd.getNumPartitions(), 1)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=size, windowSize=5, minCount=1, seed=seed, numPartitions=n,
                      inputCol="words", outputCol="v").fit(sentences)
     vectors = model.getVectors().select("word", vector_to_array("vector").alias("vector"))

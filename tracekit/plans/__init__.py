@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["trace", "cleaning", "timeline", "scores", "draws", "encoding"]
+FAMILIES = ["trace", "cleaning", "timeline", "scores", "draws", "encoding", "sequences", "usefulness"]
 
 
 def load_all() -> None:

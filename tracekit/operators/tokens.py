@@ -152,7 +152,7 @@ def named(c: Column, name: str) -> Column:
 
 
 def unnamed(c: Column) -> Column:
-    return F.element_at(F.split(c, SEP), -1)
+    return F.substring_index(c, SEP, -1)
 
 
 # ---- tables -----------------------------------------------------------------------------
@@ -194,16 +194,19 @@ def fit_table(
 
 def tokenize(df: DataFrame, codec: TableCodec, key: str, prefix: Sequence[str] | None = None) -> DataFrame:
     """(key, tokens): one named token per processed column; ``prefix`` keeps the columns of a seed."""
+    used = [c for c in codec.columns if prefix is None or c.column in prefix]
+    # the text of a column is a column of its own, so its parts do not repeat the formatting
+    texts = df.select(key, *[
+        (F.coalesce(F.col(c.column).cast("string"), F.lit(NA_TEXT)) if c.kind == CATEGORICAL else digits(c)).alias(f"_{i}")
+        for i, c in enumerate(used)
+    ])
     cells = {}
-    for c in codec.columns:
-        if prefix is not None and c.column not in prefix:
-            continue
+    for i, c in enumerate(used):
         if c.kind == CATEGORICAL:
-            cells[c.name] = F.coalesce(F.col(c.column).cast("string"), F.lit(NA_TEXT))
+            cells[c.name] = F.col(f"_{i}")
         else:
-            for p, x in zip(c.parts(codec.nparts), digit_parts(digits(c), c.width, codec.nparts)):
-                cells[p] = x
-    return df.select(key, F.array(*[named(cells[p], p) for p in codec.processed if p in cells]).alias("tokens"))
+            cells.update(zip(c.parts(codec.nparts), digit_parts(F.col(f"_{i}"), c.width, codec.nparts)))
+    return texts.select(key, F.array(*[named(cells[p], p) for p in codec.processed if p in cells]).alias("tokens"))
 
 
 def seed_columns(codec: TableCodec, given: Sequence[str]) -> list[str]:
@@ -332,16 +335,14 @@ def split_members(tokens: DataFrame, key: str, col_size: int) -> DataFrame:
     return tokens.select(key, F.posexplode(done).alias("member", "tokens"))
 
 
-def join_digits(parts: Sequence[Column], codec: ColumnCodec) -> Column:
-    """Digit text of a column: parts joined, leading zeros gone, surplus decimal points removed."""
-    text = F.regexp_replace(F.concat(*parts), "^0+", "")
+def join_digits(raw: Column, codec: ColumnCodec) -> Column:
+    """Joined parts to a number text: leading zeros gone, surplus decimal points removed."""
+    text = F.regexp_replace(raw, "^0+", "")
     text = F.when(text == "", "0").otherwise(text)
     if codec.kind == DATETIME:
         # only a leading sign may stay: offsets before the mean date are negative
         return F.nullif(F.regexp_replace(text, r"[^0-9\-]|(?<=.)-", ""), F.lit(""))
-    at = F.instr(text, ".")
-    rest = F.regexp_replace(F.substring(text, at + 1, F.length(text)), r"\.", "")
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at), rest)).otherwise(text)
+    return F.regexp_replace(text, r"(?<=\..{0,64})\.", "")
 
 
 def decode_rows(tokens: DataFrame, codec: TableCodec, keys: Sequence[str], offset: int = 1) -> DataFrame:
@@ -353,29 +354,34 @@ def decode_rows(tokens: DataFrame, codec: TableCodec, keys: Sequence[str], offse
     """
     at = {p: F.get("tokens", i + offset) for i, p in enumerate(codec.processed)}
     types = dict(codec.dtypes)
-    cols, valid = [], F.lit(True)
-    done = set()
-    for c in codec.columns:
-        if c.column in done or c.name.split(SEP, 2)[2] != c.column:
-            continue  # the copied target is not a column of the table
-        done.add(c.column)
-        parts = [unnamed(at[p]) for p in c.parts(codec.nparts)]
+    # the copied target is not a column of the table
+    used = [c for c in codec.columns if c.name.split(SEP, 2)[2] == c.column]
+    raws = tokens.select(*keys, *[
+        F.concat(*[unnamed(at[p]) for p in c.parts(codec.nparts)]).alias(f"_raw_{c.column}") for c in used])
+    texts, valid = [], F.lit(True)
+    for c in used:
+        raw = F.col(f"_raw_{c.column}")
         if c.kind == CATEGORICAL:
-            value = F.nullif(parts[0], F.lit(NA_TEXT)) if c.has_missing else parts[0]
-            cols.append(value.try_cast(types[c.column]).alias(c.column))
+            texts.append((F.nullif(raw, F.lit(NA_TEXT)) if c.has_missing else raw).alias(c.column))
             continue
-        raw = F.concat(*parts)
         absent = raw.startswith(NA_PART) if c.has_missing else F.lit(False)
-        text = F.when(~absent, join_digits(parts, c))
+        texts.append(F.when(~absent, join_digits(raw, c)).alias(c.column))
+        if c.kind == NUMERIC:
+            valid = valid & (absent | ~F.coalesce(raw.rlike(NOT_NUMERIC), F.lit(True)))
+    texts = raws.select(*keys, *texts, valid.alias("_ok"))
+    cols = []
+    for c in used:
+        text = F.col(c.column)
         if c.kind == DATETIME:
-            value = F.timestamp_seconds(text.try_cast("bigint") + c.mean_date)
-            cols.append(value.cast(types[c.column]).alias(c.column))
-            continue
-        number = text.try_cast("double") if types[c.column] in ("double", "float") else text.try_cast("decimal(38,0)")
-        bad = ~absent & (F.coalesce(raw.rlike(NOT_NUMERIC), F.lit(True)) | number.isNull())
-        valid = valid & ~bad
-        cols.append(number.try_cast(types[c.column]).alias(c.column))
-    return tokens.where(valid).select(*keys, *cols)
+            cols.append(F.timestamp_seconds(text.try_cast("bigint") + c.mean_date).cast(types[c.column]).alias(c.column))
+        else:
+            cols.append(text.try_cast(types[c.column]).alias(c.column))
+    ok = F.col("_ok")
+    for c in used:
+        if c.kind == NUMERIC:  # a text such as "1-2" does not read as a number
+            ok = ok & (F.col(c.column).isNull() | F.col(c.column).try_cast("double").isNotNull())
+    # one struct per valid row: a filter here would repeat all expressions below it
+    return texts.select(F.inline(F.when(ok, F.array(F.struct(*keys, *cols)))))
 
 
 def pad_labels(df: DataFrame, col: str = "labels", multiple: int | None = None) -> DataFrame:

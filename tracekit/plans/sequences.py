@@ -226,8 +226,8 @@ def k12(spark, sf):
     fit = K.fit_digits(src, ["price", "o_custkey"])
     parts = {c: K.digit_parts(K.digits(f), f.width, 2) for c, f in fit.items()}
     out = src.where("price is not null").select(
-        "key", K.join_digits(parts["o_custkey"], fit["o_custkey"]).alias("id_text"),
-        K.join_digits(parts["price"], fit["price"]).cast("double").alias("price"))
+        "key", K.join_digits(F.concat(*parts["o_custkey"]), fit["o_custkey"]).alias("id_text"),
+        K.join_digits(F.concat(*parts["price"]), fit["price"]).cast("double").alias("price"))
     return out.withColumn("price", tidy("price", 4))
 
 

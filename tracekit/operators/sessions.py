@@ -25,13 +25,19 @@ def sessionize_count(
     return ids.select(*df.columns, name)
 
 
+def _spaced(lo: float, hi: float, k: int) -> list[float]:
+    """k + 1 evenly spaced edges; multiples of one step, so that values on a decimal grid fall as expected."""
+    step = (hi - lo) / k
+    return [lo + i * step for i in range(k)] + [hi]
+
+
 def bin_edges(lo: float, hi: float, k: int) -> list[float]:
     """Edges of k equal bins; the first is lowered by 0.1% of the range. A constant column gets a small range."""
     if lo == hi:
         pad = 0.001 * abs(lo) if lo != 0 else 0.001
         lo, hi = lo - pad, hi + pad
-        return [lo + i * (hi - lo) / k for i in range(k)] + [hi]
-    edges = [lo + i * (hi - lo) / k for i in range(k)] + [hi]
+        return _spaced(lo, hi, k)
+    edges = _spaced(lo, hi, k)
     edges[0] = lo - (hi - lo) * 0.001
     return edges
 
@@ -92,7 +98,7 @@ def chunk_fixed_size(df: DataFrame, order, n: int, name: str = "chunk") -> DataF
 
 
 def time_edges(lo: float, hi: float, n: int) -> list[float]:
-    edges = [lo + i * (hi - lo) / n for i in range(n)] + [hi]
+    edges = _spaced(lo, hi, n)
     edges[-1] *= 1 + 1e-5
     return edges
 

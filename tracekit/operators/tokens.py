@@ -137,14 +137,16 @@ def digits(codec: ColumnCodec, c: Column | str | None = None) -> Column:
 
 
 def digit_parts(text: Column, width: int, nparts: int) -> list[Column]:
-    """Parts of ``nparts`` characters; rows that are missing or not numeric become placeholders."""
+    """Parts of ``nparts`` characters; a null text (missing or not numeric) becomes placeholders."""
     if nparts > width > 2:
         raise ValueError(f"parts of {nparts} characters are longer than the value length {width}")
-    bad = text.isNull() | text.rlike(NOT_NUMERIC)
-    filler = NA_PART * nparts
-    return [
-        F.when(bad, filler).otherwise(F.substring(text, i + 1, nparts)) for i in range(0, width, nparts)
-    ]
+    filler = F.lit(NA_PART * nparts)
+    return [F.coalesce(F.substring(text, i + 1, nparts), filler) for i in range(0, width, nparts)]
+
+
+def numeric_text(text: Column) -> Column:
+    """Null unless the text has digits, signs and points only."""
+    return F.when(~text.rlike(NOT_NUMERIC), text)
 
 
 def named(c: Column, name: str) -> Column:
@@ -197,7 +199,7 @@ def tokenize(df: DataFrame, codec: TableCodec, key: str, prefix: Sequence[str] |
     used = [c for c in codec.columns if prefix is None or c.column in prefix]
     # the text of a column is a column of its own, so its parts do not repeat the formatting
     texts = df.select(key, *[
-        (F.coalesce(F.col(c.column).cast("string"), F.lit(NA_TEXT)) if c.kind == CATEGORICAL else digits(c)).alias(f"_{i}")
+        (F.coalesce(F.col(c.column).cast("string"), F.lit(NA_TEXT)) if c.kind == CATEGORICAL else numeric_text(digits(c))).alias(f"_{i}")
         for i, c in enumerate(used)
     ])
     cells = {}
@@ -229,7 +231,8 @@ def build_vocab(tokens: DataFrame, processed: Sequence[str], special: Sequence[s
                 add_columns: bool = True) -> DataFrame:
     """(id, token, pos): special tokens, then per column its sorted distinct tokens, then column tokens."""
     spark = tokens.sparkSession
-    seen = tokens.select(F.posexplode("tokens").alias("pos", "token")).distinct()
+    # the outer form: the plain one adds a filter on the array, which repeats all its expressions
+    seen = tokens.select(F.posexplode_outer("tokens").alias("pos", "token")).distinct()
     body = ordered_position(seen, ["pos", "token"], name="id").select(
         (F.col("id") + len(special)).alias("id"), "token", "pos")
     body = cut(body, "vocab")

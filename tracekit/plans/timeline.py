@@ -39,7 +39,7 @@ def w1_events(spark, sf):
 
 def edges_sql(c, k):
     """List of bin edges as in the operator: k + 1 values, the first one lowered."""
-    return (f"(select [lo - (hi - lo) * 0.001] || [lo + i * (hi - lo) / {k} for i in range(1, {k})] || [hi] "
+    return (f"(select [lo - (hi - lo) * 0.001] || [lo + i * ((hi - lo) / {k}) for i in range(1, {k})] || [hi] "
             f"from (select min({c}) as lo, max({c}) as hi from lineitem))")
 
 
@@ -102,7 +102,7 @@ def w7(spark, sf):
 
 
 CHUNK_SQL = f"""{FL},
-te as (select [lo + i * (hi - lo) / {N_CHUNKS} for i in range(0, {N_CHUNKS})] || [hi * (1 + 1e-5)] as edges
+te as (select [lo + i * ((hi - lo) / {N_CHUNKS}) for i in range(0, {N_CHUNKS})] || [hi * (1 + 1e-5)] as edges
   from (select min(ts) as lo, max(ts) as hi from flows)),
 chunked as (select f.*, cast(len(list_filter(edges, lambda e: e <= ts)) - 1 as int) as chunk from flows f, te)"""
 
@@ -117,7 +117,7 @@ def w8(spark, sf):
 
 
 @query("w8_dense_ids", """with f as (select event_id, epoch(ts) as t from events where epoch(ts) % 2592000 < 300000 or epoch(ts) % 2592000 > 2000000),
-te as (select [lo + i * (hi - lo) / 30 for i in range(0, 30)] || [hi * (1 + 1e-5)] as edges from (select min(t) as lo, max(t) as hi from f)),
+te as (select [lo + i * ((hi - lo) / 30) for i in range(0, 30)] || [hi * (1 + 1e-5)] as edges from (select min(t) as lo, max(t) as hi from f)),
 c as (select event_id, len(list_filter(edges, lambda e: e <= t)) - 1 as c from f, te)
 select event_id, cast(dense_rank() over (order by c) - 1 as int) as chunk from c""")
 def w8_dense(spark, sf):

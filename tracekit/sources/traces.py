@@ -90,7 +90,7 @@ def parse_ragged_frames(
     rejects = tagged.where(~F.col("_ok")).select(*keep, F.col("_line").alias(text))
     if strict and rejects.limit(1).count():
         raise ValueError("a line does not have 3 + dlc cells (or one more for its label)")
-    frames = tagged.where("_ok").select(
+    frame = F.struct(
         *keep,
         F.get("_c", 0).cast("double").alias("ts"),
         F.get("_c", 1).alias("can_id"),
@@ -98,7 +98,8 @@ def parse_ragged_frames(
         F.slice("_c", 4, F.greatest(F.col("dlc"), F.lit(0))).alias("data"),
         F.when(F.size("_c") == 4 + F.col("dlc"), F.element_at("_c", -1)).alias("label"),
     )
-    return frames, rejects
+    # one struct per sound line: a filter would be pushed below the split and repeat it
+    return tagged.select(F.inline(F.when(F.col("_ok"), F.array(frame)))), rejects
 
 
 def align_frames(frames: DataFrame) -> DataFrame:

@@ -159,24 +159,28 @@ def prefix_sum(df, order, value, by=(), name="running", buckets=None) -> DataFra
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles as rows (by, q, value).
 
-    The sorted position finds the two neighbours of each quantile, so no task
-    holds the values of a whole group.
+    Values are counted first, so a value held by a third of the rows is one row
+    of the sort. A second sort puts the wanted positions between the positions
+    at which the values start; no task holds the values of a whole group.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    pos = running(arrange(rows, ["_v"], by), by, position="_p").select(*by, "_p", "_v")
-    sizes = pos.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    run = running(arrange(counts, ["_v"], by), by, sums={"_c": "_n"})
+    starts = run.select(*by, (F.col("_c") - F.col("_n")).alias("_p"), F.lit(0).alias("_k"), "_v", F.lit(0.0).alias("q"), F.lit(0.0).alias("_w"))
+
+    sizes = run.groupBy(*by).agg(F.max("_c").alias("_n"))
     want = sizes.select(*by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     at = (F.col("_n") - 1) * F.col("q")
     # 1e-9 keeps float noise in (n-1)*q from pushing an exact hit to the row below
-    want = want.select(*by, "q", at.alias("_h"), F.floor(at + 1e-9).alias("_lo"))
-    want = want.withColumn("_p", F.explode(F.array("_lo", F.col("_lo") + 1)))
-    joined = want.withColumn("_p", F.col("_p").cast("bigint")).join(pos, [*by, "_p"])
-    w = F.col("_h") - F.col("_lo")
-    weight = F.when(F.col("_p") == F.col("_lo"), 1 - w).otherwise(w)
-    total = F.sum(F.when(weight != 0, F.col("_v") * weight).otherwise(0.0))
-    # the last row has no upper neighbour; its weight is then 1
-    return joined.groupBy(*by, "q").agg((total / F.sum(weight)).alias(value))
+    want = want.select(*by, "q", at.alias("_h"), F.floor(at + 1e-9).cast("bigint").alias("_lo"))
+    part = F.col("_h") - F.col("_lo")
+    ends = F.array(F.struct(F.col("_lo").alias("_p"), (1 - part).alias("_w")), F.struct((F.col("_lo") + 1).alias("_p"), part.alias("_w")))
+    want = want.select(*by, "q", F.inline(ends)).where("_w <> 0")
+    want = want.select(*by, "_p", F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_v"), "q", "_w")
+
+    found = running(arrange(starts.unionByName(want), ["_p", "_k", "q"], by), by, fills={"_x": "_v"}).where("_k = 1")
+    return found.groupBy(*by, "q").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias(value))
 
 
 def exact_top(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:

@@ -114,9 +114,10 @@ def minima(original: DataFrame, synthetic: DataFrame, test: DataFrame, metric="l
 
 def _share_below(values: DataFrame, limits: DataFrame, by: Sequence[str]) -> DataFrame:
     """For each (by, q, limit): the share of values <= limit, by one sort of both tables together."""
-    both = values.select(*by, F.col("distance").alias("x"), F.lit(0).alias("k"), F.lit(0.0).alias("q")).unionByName(
-        limits.select(*by, F.col("limit").alias("x"), F.lit(1).alias("k"), "q"))
-    run = running(arrange(both, ["x", "k", "q"], by), by, sums={"_c": F.lit(1) - F.col("k")}).where("k = 1")
+    counts = values.groupBy(*by, F.col("distance").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    both = counts.select(*by, "x", F.lit(0).alias("k"), F.lit(0.0).alias("q"), "n").unionByName(
+        limits.select(*by, F.col("limit").alias("x"), F.lit(1).alias("k"), "q", F.lit(0).cast("bigint").alias("n")))
+    run = running(arrange(both, ["x", "k", "q"], by), by, sums={"_c": "n"}).where("k = 1")
     if not by:
         total = values.count()
         return run.select("q", (F.col("_c") / F.lit(total)).alias("share"))

@@ -19,15 +19,28 @@ from tracekit.session import cut, digest, fraction
 
 MAX_CLASSES = 10_000
 INTERVAL_CELLS = 1024
+HEAP_ROWS = 10_000
 
 
 # ---- samples ----------------------------------------------------------------------------
 
 def exact_sample(df: DataFrame, n: int, seed, *key: str) -> DataFrame:
-    """Exactly n rows without replacement."""
+    """Exactly n rows without replacement.
+
+    A large sample sorts only rows whose digest is small enough to be chosen;
+    when that guess keeps too few rows the whole table is sorted.
+    """
+    if n > HEAP_ROWS:
+        likely = df.where(fraction(seed, *key) < _guess(n, df.count()))
+        df = likely if likely.count() >= n else df
     return exact_top(df, n, [digest(seed, *key), *key])
 
 
+def _guess(n: int, total: int) -> float:
+    """A digest fraction below which n of ``total`` rows lie almost surely."""
+    return min(1.0, (n + 6 * math.sqrt(n) + 50) / max(total, 1))
+
+
 def row_cap(df: DataFrame, cap: int, seed, *key: str) -> DataFrame:
     """The table itself, or a sample of ``cap`` rows when it is larger."""
     return exact_sample(df, cap, seed, *key) if df.count() > cap else df
@@ -115,6 +128,12 @@ def bootstrap_rounds(df: DataFrame, rounds: int, frac: float, seed, *key: str, f
     """
     n = df.count()
     copies = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    if not full:
+        # a round uses few rows: sort those that can be among them, unless a round would come short
+        needed = (multiple + 2) * int(n * 2 * frac)
+        likely = copies.where(fraction(seed, "round", *key) < _guess(needed, n))
+        sizes = likely.groupBy("round").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)), F.min("c")).first()
+        copies = likely if sizes[0] == rounds and sizes[1] >= needed else copies
     placed = running(arrange(copies, [digest(seed, "round", *key), *key], ["round"]), ["round"], position="_p")
     p = F.col("_p")
     if full:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracekit.operators import sessions
+from tracekit.operators.processor import SessionProcessor
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
+from tracekit.roles import RoleSpec
 from tracekit.session import tidy
 
 FL = f"with {X.FLOWS_SQL}"
@@ -221,3 +223,13 @@ def w20(spark, sf):
 @query("w21_order_output", f"{FL} select rid, ts from flows order by ts, rid")
 def w21(spark, sf):
     return sessions.order_output(X.flows(spark, sf).select("rid", "ts"), "ts", "rid")
+
+
+@query("x5_session_processor", f"""{FL}, p as (select *, row_number() over (partition by srcip, proto order by ts, rid) - 1 as pos from flows)
+select srcip, proto, cast(pos as int) as pos, round(ts, 0) as ts, type, round(byt, 3) as byt from p where pos < 30""")
+def x5(spark, sf):
+    f = X.flows(spark, sf).select("rid", "srcip", "proto", "ts", "type", "byt")
+    roles = RoleSpec(metadata=("srcip", "proto"), timeseries=("type", "byt"), timestamp="ts", discrete=("srcip", "proto", "type"))
+    p = SessionProcessor(roles, ("rid",), 30).fit(f)
+    back = p.inverse(p.transform(f))
+    return back.select("srcip", "proto", "pos", tidy("ts", 0).alias("ts"), "type", tidy("byt", 3).alias("byt"))

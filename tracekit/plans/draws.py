@@ -312,7 +312,14 @@ def _orders_batch(spark, sf):
     return make
 
 
-@query("r19_validated_refill")
+@query("r19_validated_refill", f"""with n as (select count(*) // 3 as n, (count(*) // 3) // 2 as b from orders),
+batches as (select r.i as round, o_orderkey, o_totalprice, row_number() over (partition by r.i order by md5(concat_ws('|', 'batch-' || r.i, o_orderkey)), o_orderkey) as p
+  from orders, range(0, 12) r(i)),
+valid as (select round, o_orderkey, o_totalprice from batches, n where p <= b and o_totalprice between 1000 and 250000),
+found as (select round, sum(count(*)) over (order by round) - count(*) as earlier from valid group by round),
+pool as (select v.* from valid v join found f using (round), n where f.earlier < n),
+pick as (select *, row_number() over (order by {X.digest_sql('r19', 'round', 'o_orderkey')}, round, o_orderkey) as k from pool)
+select cast(round as int) as round, o_orderkey, o_totalprice from pick, n where k <= n""")
 def r19(spark, sf):
     o = table(spark, sf, "orders")
     n = o.count() // 3

@@ -49,7 +49,7 @@ def e3(spark, sf):
     return f.select("rid", decode_bits("b", 16).alias("port"), weighted.cast("bigint").alias("weighted"))
 
 
-@query("e4_word_embedding")
+@query("e4_word_embedding", f"{FL} select rid, proto, proto as word from flows")
 def e4(spark, sf):
     f = X.flows(spark, sf).select("rid", F.concat(F.lit("p"), F.col("srcip").cast("string")).alias("srcip"), "proto", "type")
     v = cut(W.fit_embedding(f, ["srcip", "proto", "type"], 8), "words")
@@ -74,6 +74,12 @@ def e5(spark, sf):
     return enc.withColumn("back", G.decode("l_extendedprice_u", "l_extendedprice_k", m))
 
 
+@query("e5_round_trip", "select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as rid, round(l_extendedprice, 2) as price from lineitem")
+def e5_back(spark, sf):
+    back = e5(spark, sf)
+    return back.select("rid", tidy("back", 2).alias("price"))
+
+
 @query("e6_drawn_component")
 def e6(spark, sf):
     li, m = _mix(spark, sf)
@@ -112,6 +118,12 @@ def e10(spark, sf):
     return enc.withColumn("back", G.decode("x_u", "x_k", m))
 
 
+@query("e10_round_trip", """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as rid,
+case when l_discount = 0 then 0 else round(l_extendedprice, 2) end as x, cast(l_discount = 0 as int) as modal from lineitem""")
+def e10_back(spark, sf):
+    return e10(spark, sf).select("rid", tidy("back", 2).alias("x"), (F.col("x_k") == 0).cast("int").alias("modal"))
+
+
 @query("e11_frequency_order", f"""{FL}, c as (select list(proto order by n desc, proto) as ch from (select proto, count(*) as n from flows group by 1))
 select rid, cast(list_position(ch, proto) as int) as slot, array_to_string(ch, ',') as layout from flows, c""")
 def e11(spark, sf):

@@ -409,18 +409,31 @@ def v6(spark, sf):
 
 
 
-@query("v7_bootstrap_statistics")
+BOOT_GRID = "[" + ", ".join(f"{0.3 * i / 49!r}::double" for i in range(50)) + "]"
+BOOT = f"""src as (select vec_id as id, embedding::double[64] as v from embeddings), held as (select cast(ceil(count(*) * 0.33) as int) as h from src),
+rr as (select *, case when p < h // 2 then 'synthetic' when p < h then 'test' else 'original' end as role from (
+  select id, v, cast(r.i as int) as round, row_number() over (partition by r.i order by {X.digest_sql(7, 'r.i', 'id')}, id) - 1 as p from src, range(4) r(i)), held),
+pairs as (select a.round, a.id as o, b.id as x, b.role as kind, {L1} as d from rr a join rr b on a.round = b.round where a.role = 'original' and b.role <> 'original'),
+t as (select round, o, min(d) filter (where kind = 'test') as t, min(d) filter (where kind = 'synthetic') as s from pairs group by all),
+mins as (select round, 'test' as kind, t as d from t where t <> 0 or s <> 0 union all select round, 'synthetic', s from t where t <> 0 or s <> 0
+  union all select round, kind, min(d) from pairs group by round, kind, x),
+lims as (select round, unnest({BOOT_GRID}) as q, unnest(lims) as lim from (select round, quantile_cont(d, {BOOT_GRID}) as lims from mins where kind = 'test' group by round)),
+shares as (select l.round, q, avg(case when m.d <= lim then 1e0 else 0e0 end) as share from lims l join mins m on l.round = m.round and m.kind = 'synthetic' group by all),
+stats as (select round, avg(share - q) as statistic from shares group by round)"""
+
+
+@query("v7_bootstrap_statistics", f"with {BOOT} select round, round(statistic, 6) as statistic from stats")
 def v7(spark, sf):
     real, syn = _emb(spark, sf)
     both = real.unionByName(syn).select("id", "vec")
     return _round(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50), "statistic")
 
 
-@query("v7_threshold")
+@query("v7_threshold", f"with {BOOT} select round(quantile_cont(statistic, 0.95), 6) as threshold from stats")
 def v7_threshold(spark, sf):
     real, syn = _emb(spark, sf)
     both = real.unionByName(syn).select("id", "vec")
-    return V.sensitivity_threshold(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50))
+    return _round(V.sensitivity_threshold(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50)), "threshold")
 
 
 @query("v7_settings", """select round(least(0.165, 10000 / count(*)), 6) as frac, round(1 - count(distinct (l_suppkey, l_linenumber, l_quantity)) / count(*), 6) as duplicate_rate,

@@ -1,0 +1,6 @@
+"""Streams: the row-local operators are plain column expressions and take a streaming DataFrame unchanged.
+
+That covers ``functions.codecs``, the ``parse_*`` readers, the flag, range and
+polygon operators of ``operators.clean`` and the fitted encoders. Everything that
+needs an order, a fit or a neighbour works on tables.
+"""

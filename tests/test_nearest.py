@@ -73,3 +73,12 @@ def test_far_blocks_are_not_compared(spark):
     df = spark.createDataFrame(rows, "side int, grp string, block bigint, vid bigint, n bigint, vec array<double>")
     packed = df.groupBy("side", "grp", "block").applyInPandas(N._pack, N.PACKED)
     assert N._prune(packed, "l2", 1).count() <= 30 * 5  # of 900 possible pairs
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_wide_vectors_stay_exact(offset):
+    rng = np.random.default_rng(6)
+    q, b = rng.normal(size=(40, 16)) + offset, rng.normal(size=(300, 16)) + offset
+    b[:5] = q[:5]
+    _, d = N._closest("l2", q, b, 4)
+    np.testing.assert_allclose(np.sort(d, axis=1), brute(q, b, 4, "l2"), rtol=1e-12, atol=0)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.operators import encoders as E
+from tracekit.operators.ordered import arrange, running
 from tracekit.operators.reshape import pack_sessions, unpack_sessions
-from tracekit.operators.sessions import decode_interarrival, encode_interarrival, truncate_sessions
+from tracekit.operators.sessions import decode_interarrival, encode_interarrival
 from tracekit.roles import RoleSpec
 
 
@@ -39,8 +40,10 @@ class SessionProcessor:
         return self
 
     def _gaps(self, df: DataFrame) -> DataFrame:
+        """Truncated sessions with their gaps; the marks of the one sort stay on the rows."""
         keys, ts = list(self.roles.metadata), self.roles.require_timestamp()
-        head = truncate_sessions(df, keys, [ts, *self.order], self.max_len)
+        placed = running(arrange(df, [ts, *self.order], keys), keys, position="_pos")
+        head = placed.where(F.col("_pos") < self.max_len).drop("_pos")
         return encode_interarrival(head, keys, ts, list(self.order))
 
     def _slots(self, c: str) -> list:
@@ -56,7 +59,7 @@ class SessionProcessor:
         keys, ts = list(self.roles.metadata), self.roles.require_timestamp()
         start = E.normalize("flow_start", self.ranges["flow_start"]).alias("flow_start")
         slots = [s for c in self._fields() for s in self._slots(c)]
-        rows = self._gaps(df).select(*keys, ts, *self.order, start, *slots)
+        rows = self._gaps(df).select(*keys, ts, *self.order, start, *slots, "_at", "_bucket")
         return pack_sessions(rows, [*keys, "flow_start"], self._names(), [ts, *self.order], self.max_len)
 
     def inverse(self, sessions: DataFrame) -> DataFrame:

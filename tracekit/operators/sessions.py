@@ -70,10 +70,11 @@ def sample_from_bin(c: Column | str, edges: Sequence[float], u: Column) -> Colum
 
 def check_sessions(df: DataFrame, keys: Sequence[str], session: str = "session_id") -> DataFrame:
     """Distinct sessions, highest id plus one, and (session, key) groups: all equal when sound."""
-    return df.agg(
+    groups = df.groupBy(session, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(
         F.count_distinct(session).alias("n_sessions"),
         (F.max(session) + 1).alias("total"),
-        F.count_distinct(session, *keys).alias("n_groups"),
+        F.count(F.lit(1)).alias("n_groups"),
     ).withColumn("ok", ((F.col("n_sessions") == F.col("total")) & (F.col("total") == F.col("n_groups"))).cast("int"))
 
 

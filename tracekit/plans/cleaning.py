@@ -49,7 +49,7 @@ def p3(spark, sf):
     return filled.drop("was_missing")
 
 
-@query("p3_removed_rows", f"{FILLED} select sum(case when {ALL_SET} then 0 else 1 end) as removed, count(*) as total from filled")
+@query("p3_removed_rows", f"{FILLED} select sum(case when {ALL_SET} then 0 else 1 end)::bigint as removed, count(*) as total from filled")
 def p3_removed(spark, sf):
     return clean.impute_ffill(X.wide_signals(spark, sf), ["timestamp"], SIG)[1]
 

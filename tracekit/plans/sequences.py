@@ -248,7 +248,7 @@ def k13_invalid(spark, sf):
 
 
 @query("k14_pad_labels", f"""with {CONV}, k as (select conv_id, labels, len, max(len) over () as longest from rel where len <= {MAX_LABELS})
-select conv_id, longest as width, longest - len as padded from k""")
+select conv_id, longest::bigint as width, (longest - len)::bigint as padded from k""")
 def k14(spark, sf):
     p = K.pad_labels(_conversations(spark, sf)[2].select("conv_id", "labels"))
     return p.select("conv_id", F.size("labels").cast("bigint").alias("width"),

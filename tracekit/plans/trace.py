@@ -138,7 +138,7 @@ def _tree(spark, sf, name):
 
 
 TREE_SQL = f"""with {X.FRAMES_SQL}
-select 'vehicle=v' || key % 3 as vehicle, can_id, count(*) as n, sum(dlc) as bytes,
+select 'vehicle=v' || key % 3 as vehicle, can_id, count(*) as n, sum(dlc)::bigint as bytes,
        count(case when key % 2 = 1 then label end) as labelled
 from frames where key % 10 <> 3 group by all"""
 

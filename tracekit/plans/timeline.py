@@ -24,8 +24,13 @@ bases as (select {k}, sum(ceil(c / {n}::double)) over (order by {k}) - ceil(c /
 sess as (select n.*, cast(base + floor(rn / {n}) as bigint) as session_id from numbered n join bases b using ({k}))"""
 
 
+def _trace(spark, sf):
+    """The columns a session needs: what goes into a sort is written, so it is pruned first."""
+    return X.flows(spark, sf).select("rid", *KEYS, "ts")
+
+
 def _flow_sessions(spark, sf):
-    return sessions.sessionize_count(X.flows(spark, sf), KEYS, ["ts", "rid"], 50)
+    return sessions.sessionize_count(_trace(spark, sf), KEYS, ["ts", "rid"], 50)
 
 
 @query("w1_sessionize_count", f"{FL}, {sessions_sql('flows', KEYS, 'ts, rid', 50)} select rid, session_id from sess")
@@ -100,7 +105,7 @@ def w6_top(spark, sf):
 @query("w7_chunk_fixed_size", f"""{FL} select rid, cast((row_number() over (order by ts, rid) - 1) //
 cast(ceil((select count(*) from flows) / {N_CHUNKS}::double) as bigint) as int) as chunk from flows""")
 def w7(spark, sf):
-    return sessions.chunk_fixed_size(X.flows(spark, sf), ["ts", "rid"], N_CHUNKS).select("rid", "chunk")
+    return sessions.chunk_fixed_size(X.flows(spark, sf).select("rid", "ts"), ["ts", "rid"], N_CHUNKS).select("rid", "chunk")
 
 
 CHUNK_SQL = f"""{FL},
@@ -154,18 +159,18 @@ def w11(spark, sf):
 
 @query("w12_truncate_sessions", f"""{FL} select rid from (select rid, row_number() over (partition by srcip, proto order by ts, rid) as p from flows) where p <= 25""")
 def w12(spark, sf):
-    return sessions.truncate_sessions(X.flows(spark, sf), KEYS, ["ts", "rid"], 25).select("rid")
+    return sessions.truncate_sessions(_trace(spark, sf), KEYS, ["ts", "rid"], 25).select("rid")
 
 
 @query("w13_interarrival", f"""{FL} select rid, coalesce(ts - lag(ts) over (partition by srcip, proto order by ts, rid), 0e0) as interarrival,
 min(ts) over (partition by srcip, proto) as flow_start from flows""")
 def w13(spark, sf):
-    return sessions.encode_interarrival(X.flows(spark, sf), KEYS, "ts", ["rid"]).select("rid", "interarrival", "flow_start")
+    return sessions.encode_interarrival(_trace(spark, sf), KEYS, "ts", ["rid"]).select("rid", "interarrival", "flow_start")
 
 
 @query("w14_decode_interarrival", f"{FL} select rid, ts from flows")
 def w14(spark, sf):
-    enc = sessions.encode_interarrival(X.flows(spark, sf), KEYS, "ts", ["rid"]).withColumnRenamed("ts", "pos_ts")
+    enc = sessions.encode_interarrival(_trace(spark, sf), KEYS, "ts", ["rid"]).withColumnRenamed("ts", "pos_ts")
     enc = enc.withColumn("pos", F.struct("pos_ts", "rid"))
     return sessions.decode_interarrival(enc, KEYS, "pos", "flow_start", "interarrival").select("rid", "ts")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe
+from tracekit.llm import bpe, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
+from tracekit.session import cut, scratch_path
 
 
 def token_digests(df):
@@ -24,3 +25,18 @@ def op10(spark, sf):
     docs = plain(table(spark, sf, "documents"), "doc_id", "text").withColumn("text", whole_text())
     coded = bpe.encode(docs).drop("text")
     return token_digests(bpe.decode(coded))
+
+
+@query("op7_zipwarc", """
+    with p as (
+      select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+    f as (select payload_digest, min(page_id) as first_id, count(*) as n from p where payload_bytes >= 100 group by 1),
+    r as (select p.*, case when payload_bytes >= 100 and n > 1 and first_id is not null and page_id is distinct from first_id then first_id end as refers_to
+      from p left join f using (payload_digest))
+    select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from r
+    """)
+def op7(spark, sf):
+    records = zipwarc.plan_records(plain(table(spark, sf, "pages"), "page_id", "url", "html"))
+    manifest = cut(zipwarc.write_archives(records, scratch_path(spark, "archives")), "manifest")
+    found = zipwarc.read_records(zipwarc.locate_records(manifest))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, zipwarc
+from tracekit.llm import bpe, langid, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path
@@ -40,3 +40,11 @@ def op7(spark, sf):
     manifest = cut(zipwarc.write_archives(records, scratch_path(spark, "archives")), "manifest")
     found = zipwarc.read_records(zipwarc.locate_records(manifest))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_langid")
+def op9(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

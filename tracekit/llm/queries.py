@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, langid, zipwarc
+from tracekit.llm import bpe, langid, pagetext, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path
@@ -48,3 +48,9 @@ def op9(spark, sf):
     model = langid.fit(langid.training_rows(docs))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query("op6_pagetext")
+def op6(spark, sf):
+    pages = plain(table(spark, sf, "pages"), "page_id", "url", "html")
+    return pagetext.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

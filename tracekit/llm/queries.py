@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, langid, pagetext, zipwarc
+from tracekit.llm import bpe, editprint, langid, pagetext, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path
@@ -54,3 +54,8 @@ def op9(spark, sf):
 def op6(spark, sf):
     pages = plain(table(spark, sf, "pages"), "page_id", "url", "html")
     return pagetext.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_editprint")
+def op2(spark, sf):
+    return editprint.compare_edited(plain(table(spark, sf, "documents"), "doc_id", "text"))

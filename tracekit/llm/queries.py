@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, langid, pagetext, zipwarc
+from tracekit.llm import bpe, editprint, langid, pagetext, repeats, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path
@@ -59,3 +59,30 @@ def op6(spark, sf):
 @query("op2_editprint")
 def op2(spark, sf):
     return editprint.compare_edited(plain(table(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query("op5_repeats", r"""
+    with t as (select doc_id, coalesce(text, '') as text from documents),
+    m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+        '(\n)(\S)', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)(\S)', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)(\S)', '\1' || chr(1) || '\2', 'g'),
+        '(\s)(\p{Lu})', '\1' || chr(1) || '\2', 'g') as marked from t),
+    p as (select doc_id, list_filter(string_split(marked, chr(1)), lambda x: x <> '') as s from m),
+    e as (select doc_id, unnest(s) as piece, generate_subscripts(s, 1) - 1 as i from p),
+    n as (select doc_id, i, piece, lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) as s from e),
+    c as (select doc_id, i, piece, s, case when s = '' then 0 else length(s) - length(replace(s, ' ', '')) + 1 end as w from n),
+    r as (
+      select doc_id, i, s || chr(1) || lead(s) over (partition by doc_id order by i) as h, 2 as width from c
+      union all select doc_id, i, s as h, 1 as width from c where w >= 20),
+    o as (select doc_id, i, width, row_number() over (partition by width, h order by doc_id, i) as place from r where h is not null),
+    f as (select distinct doc_id, i + unnest(range(width)) as i from o where place > 1),
+    g as (select f.doc_id, f.i, c.w, f.i - row_number() over (partition by f.doc_id order by f.i) as island from f join c using (doc_id, i)),
+    k as (select doc_id, i, sum(w) over (partition by doc_id, island) as total from g),
+    x as (select doc_id, i from k where total >= 20),
+    d as (select c.doc_id, string_agg(c.piece, '' order by c.i) filter (where x.i is null) as kept, count(x.i) as sentences_removed
+      from c left join x using (doc_id, i) group by 1)
+    select t.doc_id, coalesce(d.kept, '') as text, length(coalesce(d.kept, '')) as n_chars, coalesce(sentences_removed, 0) as sentences_removed
+    from t left join d using (doc_id)
+    """)
+def op5(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text").withColumn("text", whole_text())
+    return repeats.remove_repeats(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "sentences_removed")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, langid, pagetext, repeats, zipwarc
+from tracekit.llm import bpe, editprint, langid, mixing, pagetext, repeats, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
-from tracekit.session import cut, scratch_path
+from tracekit.session import cut, scratch_path, tidy
 
 
 def token_digests(df):
@@ -86,3 +86,38 @@ def op2(spark, sf):
 def op5(spark, sf):
     docs = plain(table(spark, sf, "documents"), "doc_id", "text").withColumn("text", whole_text())
     return repeats.remove_repeats(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "sentences_removed")
+
+
+def _mix_sql(rounds: int) -> str:
+    """The rounds of ``mixing.rake`` spelled out, one common table per half step."""
+    parts = ["""
+    t as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, coalesce(text, '') as text from documents),
+    d as (select doc_id, source, lang, len(regexp_extract_all(text, '\\S+')) as n_tokens,
+      case when length(text) = 0 then 'empty' when contains(text, ' | ') then 'table'
+        when len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s.,]')) * 20 > length(text) then 'marked'
+        when length(text) < 600 then 'short' when length(text) >= 4000 then 'long' else 'prose' end as topic from t),
+    c as (select source, lang, topic, sum(n_tokens)::double as n from d group by all having sum(n_tokens) > 0),
+    w0 as (select *, n / sum(n) over () as present, n / sum(n) over () as w from c)"""]
+    for dim in ("source", "lang", "topic"):
+        parts.append(f"g_{dim} as (select {dim}, pow(sum(n), 0.8) as part from c group by 1), "
+                     f"s_{dim} as (select {dim}, part / sum(part) over () as share from g_{dim})")
+    k = 0
+    for _ in range(rounds):
+        for dim in ("source", "lang", "topic"):
+            parts.append(f"w{k + 1} as (select * exclude (w, share), w * share / sum(w) over (partition by {dim}) as w from w{k} join s_{dim} using ({dim}))")
+            k += 1
+    return "with " + ",".join(parts) + f""",
+    r as (select source, lang, topic, (w / present) / max(w / present) over () as p from w{k}),
+    f as (select d.*, case when n_tokens > 0 then coalesce(p, 0) else 1.0 end as p from d left join r using (source, lang, topic))
+    select doc_id, source, lang, topic, n_tokens, round(p, 6) as probability,
+      ('0x' || substr(md5('mix|' || doc_id), 1, 8))::bigint / 4294967296 < p as kept from f"""
+
+
+@query("op3_mixing", _mix_sql(mixing.ROUNDS))
+def op3(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text", "lang", "source")
+    text = whole_text()
+    docs = docs.select("doc_id", "source", "lang", mixing.topic(text).alias("topic"), mixing.n_tokens(text).alias("n_tokens"))
+    mixed = mixing.sample_mix(docs, ["source", "lang", "topic"], "n_tokens", "doc_id")
+    named = [F.coalesce(F.col(c), F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
+    return mixed.select("doc_id", *named, "topic", "n_tokens", tidy("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))

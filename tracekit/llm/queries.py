@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, langid, mixing, pagetext, repeats, zipwarc
+from tracekit.llm import bpe, editprint, langid, mixing, neardup, pagetext, repeats, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path, tidy
@@ -121,3 +121,9 @@ def op3(spark, sf):
     mixed = mixing.sample_mix(docs, ["source", "lang", "topic"], "n_tokens", "doc_id")
     named = [F.coalesce(F.col(c), F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
     return mixed.select("doc_id", *named, "topic", "n_tokens", tidy("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+@query("op4_neardup")
+def op4(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text")
+    return neardup.near_classes(docs).select("doc_id", "class_id", "kept")

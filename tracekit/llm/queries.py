@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, pagetext, repeats, zipwarc
+from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, pagetext, repeats, restaurants, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path, tidy
@@ -133,3 +133,8 @@ def op4(spark, sf):
 def op1(spark, sf):
     rows = plain(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return forest.neighbours(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+@query("op8_restaurants")
+def op8(spark, sf):
+    return restaurants.score_corpus(plain(table(spark, sf, "documents"), "doc_id", "text"))

@@ -129,7 +129,7 @@ def bands_udf(a: pd.Series) -> pd.Series:
 def near_links(docs: DataFrame, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Links ``key``, ``leader``, ``likeness`` between fingerprint classes that share a band and are alike.
 
-    Equal fingerprints are one class, named by its smallest key. In each band bucket every class is held
+    Texts of equal fingerprints are one class, named by its smallest key, and are not linked among themselves. In each band bucket every class is held
     against the smallest class name there, so a bucket of any size gives as many pairs as it has classes,
     and verification keeps those of at least ``least``. Null texts are empty texts.
     """
@@ -143,6 +143,8 @@ def near_links(docs: DataFrame, least: float, key: str = "doc_id", text: str = "
 
 
 def _bucket(order_key: Column, bounds: list[float], df: DataFrame) -> DataFrame:
+    if not bounds:
+        return df.withColumn("slot", F.when(order_key.isNotNull(), F.lit(0)))
     splits = [-float("inf"), *bounds, float("inf")]
     keyed = df.withColumn("order_value", order_key.cast("double"))
     cut_up = Bucketizer(splits=splits, inputCol="order_value", outputCol="slot", handleInvalid="keep").transform(keyed)

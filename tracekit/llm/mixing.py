@@ -84,16 +84,18 @@ def sample_mix(docs: DataFrame, dims: Sequence[str], tokens: str, key: str, seed
     in expectation and as many are kept as that allows. Whether a row is kept follows from a digest of the key: repeated rows
     share their fate. Documents without tokens have probability 1, as they weigh nothing. Names that are taken get underscores.
     """
-    probability, kept = free_name(docs, "mix_probability"), free_name(docs, "mix_kept")
-    cells = cut(count_cells(docs, dims, tokens), "cells")
-    fitted = rake(cells, targets or {d: flattened(cells, d) for d in dims}, rounds)
+    probability, kept, chance = (free_name(docs, c) for c in ("mix_probability", "mix_kept", "mix_chance"))
+    inner = [f"dim_{i}" for i in range(len(dims))]
+    counted = docs.select(*[F.col(d).alias(n) for d, n in zip(dims, inner)], F.col(tokens).alias("tokens"))
+    cells = cut(count_cells(counted, inner, "tokens"), "cells")
+    wanted = {n: targets[d].select(F.col(d).alias(n), "share") if targets else flattened(cells, n) for d, n in zip(dims, inner)}
+    fitted = rake(cells, wanted, rounds)
     top = fitted.agg(F.max("ratio").alias("top"))
-    names = [f"cell_{i}_" for i in range(len(dims))]
-    chances = fitted.crossJoin(F.broadcast(top)).select(
-        *[F.col(d).alias(n) for d, n in zip(dims, names)], (F.col("ratio") / F.col("top")).alias("cell_chance_"))
-    on = [F.coalesce(docs[d].cast("string"), F.lit(NONE)) == F.col(n) for d, n in zip(dims, names)]
+    names = [free_name(docs, n) for n in inner]
+    chances = fitted.crossJoin(F.broadcast(top)).select(*[F.col(n).alias(m) for n, m in zip(inner, names)], (F.col("ratio") / F.col("top")).alias(chance))
+    on = [F.coalesce(docs[d].cast("string"), F.lit(NONE)) == F.col(m) for d, m in zip(dims, names)]
     # cells are few beside documents, but their number is the data's: the planner decides how to join them
     joined = docs.join(cut(chances, "chances"), on, "left")
-    p = F.when(F.col(tokens) > 0, F.coalesce("cell_chance_", F.lit(0.0))).otherwise(F.lit(1.0))
+    p = F.when(F.col(tokens) > 0, F.coalesce(chance, F.lit(0.0))).otherwise(F.lit(1.0))
     out = joined.withColumn(probability, p).withColumn(kept, fraction(seed, key) < F.col(probability))
     return out.select(*docs.columns, probability, kept)

@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force, with duplicates, groups and many blocks."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 
@@ -69,12 +71,62 @@ def test_custom_metric(spark):
 
 def test_far_blocks_are_not_compared(spark):
     line = [[float(i), 0.0] for i in range(600)]
-    rows = [(side, "", i // 20, i, 1, line[i]) for side in (0, 1) for i in range(600)]
-    df = spark.createDataFrame(rows, "side int, grp string, block bigint, vid bigint, n bigint, vec array<double>")
-    packed = df.groupBy("side", "grp", "block").applyInPandas(N._pack, N.PACKED)
+    rows = [(side, "", i // 20, i, 1, line[i], i) for side in (0, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "side int, grp string, block bigint, vid bigint, n bigint, vec array<double>, id1 bigint")
+    packed = df.groupBy("side", "grp", "block").applyInPandas(N._pack, N.PACKED.format("bigint"))
     assert N._prune(packed, "l2", 1).count() <= 30 * 5  # of 900 possible pairs
 
 
+def test_true_distances_stop_a_query_block_early():
+    rng = np.random.default_rng(8)
+    points = rng.random((900, 2))
+    points = points[np.lexsort((points[:, 1], np.floor(points[:, 0] * 15)))]
+    blocks = [points[i : i + 60] for i in range(0, 900, 60)]
+    row = lambda b, low: SimpleNamespace(vids=np.arange(60), first=np.arange(60), width=2, mat=b.tobytes(), low=low)
+    met = 0
+    for b in blocks:
+        now = N._Running("l2", 2, row(b, -1.0))
+        bounds = [float(N._gap("l2", b.min(0), b.max(0), c.min(0), c.max(0))[0]) for c in blocks]
+        for low, c in sorted(zip(bounds, blocks), key=lambda x: x[0]):
+            now.meet(row(c, low))
+        met += now.blocks
+    assert met <= 80  # of 225
+
+
+def pairs_brute(a, ids, k, exclude_self):
+    d = np.sqrt(((a[:, None, :] - a[None, :, :]) ** 2).sum(-1))
+    out = {}
+    for i, own in enumerate(ids):
+        near = sorted((float(round(d[i, j], 9)), ids[j]) for j in range(len(ids)) if not (exclude_self and ids[j] == own))
+        out[own] = [x for _, x in near[:k]]
+    return out
+
+
+@pytest.mark.parametrize("width", [2, 6])
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("text", [False, True])
+def test_ids_of_duplicates_and_ties(spark, width, exclude_self, text):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 3, size=(120, width)).astype(float)
+    a[40:80] = a[0]
+    ids = [f"n{i:03}" for i in rng.permutation(120)] if text else [int(i) for i in rng.permutation(120)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, a)], f"id {'string' if text else 'bigint'}, vec array<double>")
+    got = {}
+    for r in N.nearest(df, df, k=3, exclude_self=exclude_self, block_rows=16).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.ref_id)
+    assert got == pairs_brute(a, ids, 3, exclude_self)
+
+
+def test_approximate_recall(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 32)) * 4
+    a = centres[rng.integers(0, 40, 800)] + rng.normal(size=(800, 32)) * 0.3
+    df = frame(spark, a)
+    exact = {(r.id, r.ref_id) for r in N.nearest(df, df, k=5, exclude_self=True).collect()}
+    near = {(r.id, r.ref_id) for r in N.approximate(df, df, 6.0, k=5, exclude_self=True).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e6])
 def test_wide_vectors_stay_exact(offset):
     rng = np.random.default_rng(6)

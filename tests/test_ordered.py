@@ -72,3 +72,29 @@ def test_exact_top_beyond_the_heap(spark):
 def test_order_is_required(hot):
     with pytest.raises(ValueError):
         arrange(hot[0], [])
+
+
+def test_marks_of_another_order_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from tracekit.operators.ordered import arrange, running, same_order
+
+    df = spark.createDataFrame([(i % 7, i) for i in range(40)], "k int, t int")
+    placed = arrange(df, ["t"])
+    with pytest.raises(ValueError, match="sorted by"):
+        arrange(placed, [F.desc("t")])
+    with pytest.raises(ValueError, match="sorted by"):
+        running(arrange(placed, ["t"], ["k"]), ["k"], position="p")
+    tens = same_order(placed.withColumn("ten", F.floor(F.col("t") / 10)), ["t"], ["ten"])
+    rows = running(arrange(tens, ["t"], ["ten"]), ["ten"], position="p").collect()
+    assert all(r.p == r.t % 10 for r in rows)
+
+
+def test_one_exchange_serves_several_passes(spark):
+    from pyspark.sql import functions as F
+
+    from tracekit.operators.sessions import sessionize_count
+
+    df = spark.range(2000).select((F.col("id") % 5).alias("k"), F.col("id").alias("t"))
+    plan = sessionize_count(df, ["k"], ["t"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_bucket") == 1

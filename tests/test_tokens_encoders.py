@@ -74,8 +74,8 @@ def test_members_of_wrong_width_are_left_out(spark):
 
 def test_surplus_decimal_points(spark):
     codec = K.ColumnCodec("x", K.NUMERIC, integral=False)
-    df = spark.createDataFrame([("001.2.3",), ("000",), ("-05.5",)], "t string")
-    assert [r[0] for r in df.select(K.join_digits(F.col("t"), codec)).collect()] == ["1.23", "0", "-05.5"]
+    df = spark.createDataFrame([("001.2.3",), ("000",), ("-05.5",), ("1." + "0" * 99 + ".5",)], "t string")
+    assert [r[0] for r in df.select(K.join_digits(F.col("t"), codec)).collect()] == ["1.23", "0", "-05.5", "1." + "0" * 99 + "5"]
 
 
 def test_min_max_and_log_inverse(spark):

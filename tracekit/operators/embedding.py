@@ -8,9 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +79,20 @@ def n_components(columns: int) -> int:
 def fit_svd(df: DataFrame, vec: str, k: int | None = None) -> np.ndarray:
     """Right singular vectors [columns, k] of the uncentred feature matrix; only the Gram matrix is gathered."""
     width = len(df.select(vec).first()[0])
-    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(vec).alias("v")), "v")
-    svd = RowMatrix(rows.rdd.map(lambda r: r[0])).computeSVD(min(k or n_components(width), width))
-    return svd.V.toArray()
+
+    def gram(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_list())
+                total += x.T @ x
+        yield pd.DataFrame({"at": range(width * width), "x": total.ravel()})
+
+    # one matrix of columns squared per partition, added up by entry
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(gram, "at int, x double")
+    summed = parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()["x"].to_numpy()
+    _, directions = np.linalg.eigh(summed.reshape(width, width))
+    return directions[:, ::-1][:, : min(k or n_components(width), width)]
 
 
 def project(df: DataFrame, vec: str, v: np.ndarray, name: str) -> DataFrame:

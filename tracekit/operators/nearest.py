@@ -1,28 +1,33 @@
 """Exact nearest neighbours without a cross join.
 
-Identical vectors are first collapsed to one row with a count, so a vector held
-by a third of the table costs one comparison. The distinct vectors are sorted
-along a space-filling curve and cut into blocks of fixed size, each with a
-bounding box. Boxes give a lower and an upper bound of the distance between two
-blocks; block pairs whose lower bound exceeds what the k-th neighbour can be at
-most are never formed. The surviving pairs are computed with numpy, one task
-per pair, and reduced to the k best per row.
+Identical vectors are first collapsed to one row that keeps as many of their
+smallest ids as an answer can hold, so a vector held by a third of the table
+costs one comparison. The distinct vectors are sorted along a space-filling
+curve and cut into blocks of fixed size, each with a bounding box. Block pairs
+that cannot hold a neighbour are never formed. A query block reads the others
+in order of their lower bound and stops at its true k-th distances.
+``approximate`` trades exactness for buckets of random projections.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.operators.ordered import arrange
 from tracekit.session import cut
 
 BLOCK_ROWS = 2048
-SUPERS = 256  # outer boxes per side and group
+SUPERS = 256  # least number of outer boxes per side and group
 CURVE_DIMS = 8
 CURVE_BITS = 7
+NEAR_QUERIES = 64  # query blocks that share one copy of their group's outer boxes
 
 
 def _gap(metric: str, qlo, qhi, rlo, rhi) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +40,7 @@ def _gap(metric: str, qlo, qhi, rlo, rhi) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distances(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a to all rows of b, summed dimension by dimension."""
     if callable(metric):
         return metric(a, b)
     out = np.zeros((len(a), len(b)))
@@ -44,12 +50,23 @@ def _distances(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out if metric == "l1" else np.sqrt(out)
 
 
+def _smallest(dist: np.ndarray, take: int) -> np.ndarray:
+    """Columns of the ``take`` smallest values per row in order; of equal ones those further left."""
+    part = np.sort(np.argpartition(dist, take - 1, axis=1)[:, :take], axis=1)
+    kth = np.take_along_axis(dist, part, axis=1).max(axis=1)
+    tied = np.flatnonzero((dist <= kth[:, None]).sum(axis=1) > take)
+    if len(tied):
+        part[tied] = np.sort(np.argsort(dist[tied], axis=1, kind="stable")[:, :take], axis=1)
+    order = np.argsort(np.take_along_axis(dist, part, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(part, order, axis=1)
+
+
 def _closest(metric, q: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, distances) of the ``take`` closest rows of b for each row of q.
+    """(columns, distances) of the ``take`` closest rows of b for each row of q, equal ones by column.
 
-    Euclidean distances are first estimated by one matrix product. Every row the
-    rounding error could hide among the closest is then computed exactly; where
-    that would be too many, all of them are.
+    Euclidean distances are first estimated by one matrix product; every row that
+    the rounding error could hide among the closest is then computed exactly. The
+    exact sums run in one order wherever they are made, so ties stay ties.
     """
     if metric == "l2" and q.shape[1] > 4:
         centre = b.mean(axis=0)
@@ -57,19 +74,18 @@ def _closest(metric, q: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarra
         qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
         guess = qn[:, None] + bn[None, :] - 2.0 * (qc @ bc.T)
         error = 1e-14 * q.shape[1] * (qn.max() + bn.max())
-        limit = np.partition(guess, take - 1, axis=1)[:, take - 1]
-        wide = int((guess <= (limit + 2 * error)[:, None]).sum(axis=1).max())
-        if wide <= take + 32:
-            cand = np.argpartition(guess, wide - 1, axis=1)[:, :wide]
-            exact = np.empty(cand.shape)
-            for i in range(len(q)):
-                d = q[i] - b[cand[i]]
-                exact[i] = np.sqrt((d * d).sum(axis=1))
-            best = np.argsort(exact, axis=1, kind="stable")[:, :take]
-            return np.take_along_axis(cand, best, axis=1), np.take_along_axis(exact, best, axis=1)
-    dist = _distances(metric, q, b)
-    part = np.argpartition(dist, take - 1, axis=1)[:, :take]
-    return part, np.take_along_axis(dist, part, axis=1)
+        limit = np.partition(guess, take - 1, axis=1)[:, take - 1] + 2 * error
+        rows, cols = np.nonzero(guess <= limit[:, None])
+        exact = np.zeros(len(rows))
+        for j in range(q.shape[1]):
+            d = np.abs(q[rows, j] - b[cols, j])
+            exact += d * d
+        dist = np.full(guess.shape, np.inf)
+        dist[rows, cols] = np.sqrt(exact)
+    else:
+        dist = _distances(metric, q, b)
+    best = _smallest(dist, take)
+    return best, np.take_along_axis(dist, best, axis=1)
 
 
 def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -97,16 +113,17 @@ def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per block: its matrix, its keys and its bounding box."""
+    """One row per block: its matrix, its keys in order of the reference ids, and its bounding box."""
+    pdf = pdf.sort_values("id1", kind="stable")
     mat = np.stack(pdf["vec"].to_list()).astype(np.float64)
     return pd.DataFrame({
         "side": [pdf["side"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "block": [pdf["block"].iloc[0]],
-        "ids": [pdf["vid"].to_numpy()], "counts": [pdf["n"].to_numpy()], "width": [mat.shape[1]],
+        "vids": [pdf["vid"].to_numpy()], "first": [pdf["id1"].to_list()], "width": [mat.shape[1]],
         "mat": [mat.tobytes()], "lo": [mat.min(axis=0)], "hi": [mat.max(axis=0)], "weight": [int(pdf["n"].sum())],
     })
 
 
-PACKED = ("side int, grp string, block bigint, ids array<bigint>, counts array<bigint>, width int, mat binary, "
+PACKED = ("side int, grp string, block bigint, vids array<bigint>, first array<{}>, width int, mat binary, "
           "lo array<double>, hi array<double>, weight bigint")
 
 
@@ -144,26 +161,95 @@ def _pair_bounds(metric: str):
     return run
 
 
-def _compare(metric, k: int, exclude_self: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
-            q = np.frombuffer(r.qmat, dtype=np.float64).reshape(-1, r.width)
-            b = np.frombuffer(r.rmat, dtype=np.float64).reshape(-1, r.width)
-            take = min(k + 1, b.shape[0])  # one more: the row itself may be excluded
-            part, near = _closest(metric, q, b, take)
-            rids, counts, qids = np.asarray(r.rids), np.asarray(r.rcounts), np.asarray(r.qids)
-            n = counts[part] - (((near == 0) & exclude_self).astype(np.int64))
-            flat = n.ravel() > 0
-            out.append(pd.DataFrame({
-                "qvid": np.repeat(qids, take)[flat], "rvid": rids[part].ravel()[flat],
-                "distance": near.ravel()[flat], "n": np.minimum(n.ravel()[flat], k),
-            }))
-        return pd.concat(out)
+FOUND = "qvid bigint, rvid bigint, distance double"
+
+
+class _Running:
+    """A query block and the closest distinct vectors that it has met."""
+
+    def __init__(self, metric, take: int, r):
+        self.metric, self.take, self.vids = metric, take, np.asarray(r.vids)
+        self.q = np.frombuffer(r.mat, dtype=np.float64).reshape(-1, r.width)
+        self.dist = self.first = self.rvids = None
+        self.blocks = 0
+
+    def meet(self, r) -> None:
+        # a lower bound and a distance are rounded differently: a hair of slack keeps ties in
+        if self.dist is not None and self.dist.shape[1] == self.take and r.low * (1 - 1e-9) > self.dist[:, -1].max():
+            return
+        self.blocks += 1
+        b = np.frombuffer(r.mat, dtype=np.float64).reshape(-1, r.width)
+        part, near = _closest(self.metric, self.q, b, min(self.take, len(b)))
+        first = np.asarray(r.first)
+        first = (first.astype(str) if first.dtype == object else first)[part]
+        rvids = np.asarray(r.vids)[part]
+        if self.dist is not None:
+            near, first, rvids = (np.concatenate(x, axis=1) for x in ((self.dist, near), (self.first, first), (self.rvids, rvids)))
+            order = np.lexsort((first, near), axis=1)[:, : self.take]
+            near, first, rvids = (np.take_along_axis(x, order, axis=1) for x in (near, first, rvids))
+        self.dist, self.first, self.rvids = near, first, rvids
+
+    def rows(self) -> pd.DataFrame:
+        if self.dist is None:
+            return pd.DataFrame({"qvid": [], "rvid": [], "distance": []})
+        return pd.DataFrame({"qvid": np.repeat(self.vids, self.dist.shape[1]), "rvid": self.rvids.ravel(), "distance": self.dist.ravel()})
+
+
+def _stream(metric, take: int):
+    """Rows of a query block: first the block, then the reference blocks by lower bound."""
+
+    def run(batches):
+        now = None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.low < 0:
+                    if now is not None:
+                        yield now.rows()
+                    now = _Running(metric, take, r)
+                else:
+                    now.meet(r)
+        if now is not None:
+            yield now.rows()
 
     return run
 
 
+def _vector_key(vec: str = "vec") -> list[Column]:
+    """Two hashes of a vector, 96 bits: joins and groups by them never carry the vector."""
+    return [F.xxhash64(vec).alias("key1"), F.hash(vec).alias("key2")]
+
+
+def _distinct_sides(queries: DataFrame, refs: DataFrame, need: int, group: str | None):
+    """Both tables with vector keys, and one row per distinct vector: references with their smallest ids."""
+    grp = F.col(group).cast("string") if group else F.lit("")
+    # adding zero turns -0.0 into 0.0, which is the same place
+    vec = F.transform(F.col("vec").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")
+    sides = [d.select("id", vec, grp.alias("grp")).select("*", *_vector_key()) for d in (queries, refs)]
+    keys = ["grp", "key1", "key2"]
+    q = sides[0].groupBy(*keys).agg(F.first("vec").alias("vec"), F.min("id").alias("id0"))
+    # the limit is applied before the shuffle as well
+    top = sides[1].withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_n") <= need)
+    r = top.groupBy(*keys).agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return sides, q, r
+
+
+def _answers(found: DataFrame, ids: DataFrame, need: int) -> DataFrame:
+    """(qvid, near): up to ``need`` structs (distance, ref_id) of each query vector in order."""
+    rows = found.join(ids, "rvid").select("qvid", "distance", F.explode("ids").alias("ref_id"))
+    best = Window.partitionBy("qvid").orderBy("distance", "ref_id")
+    top = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= need)
+    return top.groupBy("qvid").agg(F.array_sort(F.collect_list(F.struct("distance", "ref_id"))).alias("near"))
+
+
+def _ranked(side: DataFrame, per_vector: DataFrame, k: int, exclude_self: bool, group: str | None) -> DataFrame:
+    """Every query row with the first ``k`` answers of its vector, its own id left out if asked."""
+    out = side.select("id", "grp", "key1", "key2").join(per_vector, ["grp", "key1", "key2"])
+    near = F.filter("near", lambda x: x["ref_id"] != F.col("id")) if exclude_self else F.col("near")
+    out = out.select("id", "grp", F.posexplode(F.slice(near, 1, k)).alias("_p", "_x"))
+    return out.select(*([F.col("grp").alias(group)] if group else []), "id", (F.col("_p") + 1).alias("rank"),
+                      F.col("_x.ref_id").alias("ref_id"), F.col("_x.distance").alias("distance"))
+
+
 def nearest(
     queries: DataFrame,
     refs: DataFrame,
@@ -173,74 +259,60 @@ def nearest(
     group: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """([group,] id, rank, ref_id, distance) for rows (id, vec[, group]); ranks 1..k by distance.
+    """([group,] id, rank, ref_id, distance) for rows (id, vec[, group]); ranks 1..k by distance, ties by ref_id.
 
     ``metric`` is "l1", "l2" or a function of two numpy matrices (then nothing is
     pruned). With ``exclude_self`` both sides are the same table and a row is not
-    its own neighbour, but an identical other row is. ``ref_id`` is the smallest
-    id among identical reference rows. ``group`` restricts neighbours to the same
-    group.
+    its own neighbour, but an identical other row is. ``group`` restricts
+    neighbours to the same group.
     """
-    grp = F.col(group).cast("string") if group else F.lit("")
-    sides = [
-        d.select(F.lit(s).alias("side"), "id", F.col("vec").cast("array<double>").alias("vec"), grp.alias("grp"))
-        for s, d in ((0, queries), (1, refs))
-    ]
-    distinct = [
-        s.groupBy("side", "grp", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")) for s in sides
-    ]
-    id_types = [d.schema["id"].dataType for d in (queries, refs)]
-    distinct = [d.withColumn("id", F.struct(F.col("id").alias(f"id{s}"))) for s, d in enumerate(distinct)]
-    both = distinct[0].select("side", "grp", "vec", "n", F.col("id.id0").alias("id0"), F.lit(None).cast(id_types[1]).alias("id1"))
-    both = both.unionByName(
-        distinct[1].select("side", "grp", "vec", "n", F.lit(None).cast(id_types[0]).alias("id0"), F.col("id.id1").alias("id1")))
+    need = k + int(exclude_self)
+    sides, q, r = _distinct_sides(queries, refs, need, group)
+    types = {f"id{i}": d.schema["id"].dataType for i, d in enumerate((queries, refs))}
+    none = lambda t: F.lit(None).cast(t)
+    columns = ["side", "grp", "key1", "key2", "vec", "id0", "id1", "ids", "n"]
+    both = q.select(F.lit(0).alias("side"), "grp", "key1", "key2", "vec", "id0", none(types["id1"]).alias("id1"),
+                    none(r.schema["ids"].dataType).alias("ids"), F.lit(1).alias("n")).select(columns)
+    both = both.unionByName(r.select(F.lit(1).alias("side"), "grp", "key1", "key2", "vec", none(types["id0"]).alias("id0"),
+                                     F.col("ids")[0].alias("id1"), "ids", F.size("ids").alias("n")))
     raw = sides[0].select("vec").unionByName(sides[1].select("vec"))
     placed = arrange(_curve(both, raw), ["_z", "id0", "id1"], ["side", "grp"])
     # the sort position is a compact key for the distinct vectors; a block is a run of positions
     local = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
-    placed = placed.select(
-        "side", "grp", F.col("_at").alias("vid"), "id0", "id1", "vec", "n",
-        F.shiftleft(F.col("_bucket").cast("bigint"), 32).bitwiseOR(local).alias("block"))
-
-    packed = cut(placed.groupBy("side", "grp", "block").applyInPandas(_pack, PACKED), "blocks")
-    q = packed.where("side = 0").select(
-        "grp", F.col("block").alias("qblock"), F.col("ids").alias("qids"), "width", F.col("mat").alias("qmat"))
-    r = packed.where("side = 1").select(
-        "grp", F.col("block").alias("rblock"), F.col("ids").alias("rids"), F.col("counts").alias("rcounts"),
-        F.col("mat").alias("rmat"))
-    pairs = _prune(packed, metric if metric in ("l1", "l2") else None, k + int(exclude_self))
-
-    work = pairs.join(q, ["grp", "qblock"]).join(r, ["grp", "rblock"])
-    found = work.groupBy("grp", "qblock", "rblock").applyInPandas(
-        _compare(metric, k, exclude_self), "qvid bigint, rvid bigint, distance double, n bigint")
-    best = Window.partitionBy("qvid").orderBy("distance", "rvid")
-    # k + 1 distinct vectors always cover k neighbours; the limit is applied before the shuffle as well
-    found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    copies = found.select("qvid", "rvid", "distance", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_c"))
-    again = Window.partitionBy("qvid").orderBy("distance", "rvid", "_c")  # at most k * k rows each
-    ranked = copies.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
-
-    names = placed.where("side = 1").select(F.col("vid").alias("rvid"), F.col("id1").alias("ref_id"))
-    keys = placed.where("side = 0").select(F.col("vid").alias("qvid"), "grp", "vec")
-    per_vector = ranked.join(names, "rvid").join(keys, "qvid").select("grp", "vec", "rank", "ref_id", "distance")
-    out = sides[0].select("id", "grp", "vec").join(per_vector, ["grp", "vec"])
-    return out.select(*([F.col("grp").alias(group)] if group else []), "id", "rank", "ref_id", "distance")
+    placed = placed.withColumn("block", F.shiftleft(F.col("_bucket").cast("bigint"), 32).bitwiseOR(local)).withColumnRenamed("_at", "vid")
+
+    # dates and decimals are compared as the text that sorts like them
+    plain = types["id1"].simpleString() in ("tinyint", "smallint", "int", "bigint", "double", "float", "string")
+    ordered = placed.select("side", "grp", "block", "vid", "vec", "n", F.col("id1") if plain else F.col("id1").cast("string").alias("id1"))
+    schema = PACKED.format(ordered.schema["id1"].dataType.simpleString())
+    packed = cut(ordered.groupBy("side", "grp", "block").applyInPandas(_pack, schema), "blocks")
+    pairs = _prune(packed, metric if metric in ("l1", "l2") else None, need)
+    blocks = packed.select("side", "grp", "block", "vids", "first", "width", "mat")
+    wanted = pairs.join(blocks.where("side = 1").withColumnRenamed("block", "rblock"), ["grp", "rblock"])
+    columns = ["grp", "qblock", "low", "vids", "first", "width", "mat"]
+    asking = blocks.where("side = 0").withColumnRenamed("block", "qblock").withColumn("low", F.lit(-1.0))
+    laid = asking.select(columns).unionByName(wanted.select(columns)).repartition("grp", "qblock").sortWithinPartitions("grp", "qblock", "low")
+    found = laid.mapInPandas(_stream(metric, need), FOUND)
+    per_vector = _answers(found, placed.where("side = 1").select(F.col("vid").alias("rvid"), "ids"), need)
+    keys = placed.where("side = 0").select(F.col("vid").alias("qvid"), "grp", "key1", "key2")
+    return _ranked(sides[0], keys.join(per_vector, "qvid").drop("qvid"), k, exclude_self, group)
 
 
 def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
-    """Block pairs (grp, qblock, rblock) that can contribute to the ``need`` nearest rows."""
+    """(grp, qblock, rblock, low): block pairs that can contribute to the ``need`` nearest rows, with their lower bound."""
     boxes = packed.select("side", "grp", "block", "lo", "hi", "weight")
     qs = boxes.where("side = 0").select("grp", F.col("block").alias("qblock"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
     rs = boxes.where("side = 1").drop("side")
     bucket, local = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
     n_blocks, buckets, longest = rs.agg(F.count(F.lit(1)), F.max(bucket) + 1, F.max(local) + 1).first()
-    few = (n_blocks or 0) <= SUPERS
-    # outer boxes are runs of blocks; with few blocks every block is its own outer box
-    rs = rs.withColumn("sup", F.col("block") if few else F.floor(
-        (bucket + local / F.lit(longest)) / F.lit(buckets) * SUPERS).cast("bigint"))
     if metric is None:
         # a custom distance has no box bounds: every block pair of the group is needed
-        return qs.select("grp", "qblock").join(rs.select("grp", F.col("block").alias("rblock")), "grp")
+        return qs.select("grp", "qblock").join(rs.select("grp", F.col("block").alias("rblock")), "grp").withColumn("low", F.lit(0.0))
+    # outer boxes are runs of blocks, as many as each then holds; with few blocks every block is its own
+    few = (n_blocks or 0) <= SUPERS
+    supers = max(SUPERS, math.isqrt(n_blocks or 0))
+    rs = rs.withColumn("sup", F.col("block") if few else F.floor(
+        (bucket + local / F.lit(longest)) / F.lit(buckets) * supers).cast("bigint"))
 
     def outer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sup")
@@ -252,23 +324,47 @@ def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
             "sweight": [np.array([g[3] for g in groups], dtype=np.int64)],
         })
 
-    # boxes of one outer box first (spread over tasks), then the at most SUPERS outer boxes of a group
+    # boxes of one outer box first (spread over tasks), then the outer boxes of a group
     inner = rs.groupBy("grp", "sup").applyInPandas(
         lambda p: pd.DataFrame({
             "grp": [p["grp"].iloc[0]], "sup": [p["sup"].iloc[0]], "lo": [np.stack(p["lo"]).min(axis=0)],
             "hi": [np.stack(p["hi"]).max(axis=0)], "weight": [int(p["weight"].sum())]}),
         "grp string, sup bigint, lo array<double>, hi array<double>, weight bigint")
-    supers = inner.groupBy("grp").applyInPandas(
+    tops = inner.groupBy("grp").applyInPandas(
         outer, "grp string, sids array<bigint>, slo binary, shi binary, sweight array<bigint>")
-    near = qs.join(supers, "grp").mapInPandas(
+    # the only key of an ungrouped table is the empty one, so query blocks carry the number of their run
+    qs = qs.withColumn("run", F.floor(F.col("qblock") / NEAR_QUERIES))
+    tops = qs.select("grp", "run").distinct().join(tops, "grp")
+    near = qs.join(tops, ["grp", "run"]).mapInPandas(
         _candidates(metric, need),
         "grp string, qblock bigint, qlo array<double>, qhi array<double>, sup bigint, tau double")
-    if few:
-        return near.select("grp", "qblock", F.col("sup").alias("rblock"))
     inside = rs.select("grp", "sup", F.col("block").alias("rblock"), "lo", "hi", "weight")
     bounded = near.join(inside, ["grp", "sup"]).mapInPandas(
         _pair_bounds(metric), "grp string, qblock bigint, rblock bigint, weight bigint, tau double, low double, high double")
     bounded = cut(bounded, "pairs")
     tight = bounded.where(F.col("weight") >= need).groupBy("grp", "qblock").agg(F.min("high").alias("best"))
     return bounded.join(tight, ["grp", "qblock"], "left").where(
-        F.col("low") <= F.least(F.col("tau"), F.coalesce("best", F.col("tau")))).select("grp", "qblock", "rblock")
+        F.col("low") <= F.least(F.col("tau"), F.coalesce("best", F.col("tau")))).select("grp", "qblock", "rblock", "low")
+
+
+def approximate(
+    queries: DataFrame, refs: DataFrame, width: float, k: int = 1, tables: int = 8, exclude_self: bool = False, seed: int = 1,
+) -> DataFrame:
+    """Like ``nearest`` with "l2", but only among rows that share a bucket of random projections: some neighbours are missed.
+
+    ``width`` is the bucket length, a few times the distances sought; more ``tables`` find more. For wide vectors, where exact
+    search compares all blocks. Rows that share no bucket with any reference get no answer.
+    """
+    need = k + int(exclude_self)
+    sides, q, r = _distinct_sides(queries, refs, need, None)
+    q, r = (d.withColumn("features", array_to_vector("vec")) for d in (q, r))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(r)
+    slot = F.posexplode(F.transform("hashes", lambda h: F.hash(h)))
+    asked, held = (model.transform(d).select("*", slot.alias("table", "slot")) for d in (q, r))
+    asked = asked.select(F.struct("key1", "key2").alias("qvid"), F.col("vec").alias("qvec"), "table", "slot")
+    held = held.select(F.struct("key1", "key2").alias("rvid"), "vec", "table", "slot")
+    square = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    met = asked.join(held, ["table", "slot"]).select("qvid", "rvid", F.sqrt(square).alias("distance")).dropDuplicates(["qvid", "rvid"])
+    per_vector = _answers(met, r.select(F.struct("key1", "key2").alias("rvid"), "ids"), need)
+    per_vector = per_vector.select(F.lit("").alias("grp"), "qvid.key1", "qvid.key2", "near")
+    return _ranked(sides[0], per_vector, k, exclude_self, None)

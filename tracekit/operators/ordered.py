@@ -28,21 +28,36 @@ def arrange(
 ) -> DataFrame:
     """Sort by (by, order), which must end in a unique key, and tag rows with ``_bucket``, ``_at``.
 
-    A table that already carries the marks is returned as it is, so operators
-    over the same order can share one sort.
+    A table that already carries the marks of this order is returned as it is, so
+    operators over the same order can share one sort. Marks of another order are an
+    error; ``same_order`` states that a table sorted one way is sorted another way too.
     """
-    if "_at" in df.columns:
-        return df
     if not order:
         raise ValueError("an explicit order is needed: rows of a DataFrame have none")
     keys = [F.col(b) for b in by] + [col(o) for o in order]
+    wanted = _names(keys)
+    if "_at" in df.columns:
+        present = df.schema["_bucket"].metadata.get("order")
+        if present != wanted:
+            raise ValueError(f"the table is sorted by {present}, not by {wanted}")
+        return df
     if buckets:
         placed = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
     else:
         placed = df.orderBy(*keys)
     placed = placed.withColumn("_at", F.monotonically_increasing_id())
     done = cut(placed.withColumn("_bucket", F.shiftright("_at", _LOCAL_BITS).cast("int")), "arranged")
-    return done.withMetadata("_bucket", {"buckets": len(done.inputFiles())})
+    return done.withMetadata("_bucket", {"buckets": len(done.inputFiles()), "order": wanted})
+
+
+def _names(keys: Sequence[Column]) -> list[str]:
+    return [k._jc.toString() for k in keys]
+
+
+def same_order(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = ()) -> DataFrame:
+    """State that a table from ``arrange`` is sorted by (by, order) as well, as when a day follows from a timestamp."""
+    marks = df.schema["_bucket"].metadata
+    return df.withMetadata("_bucket", {**marks, "order": _names([F.col(b) for b in by] + [col(o) for o in order])})
 
 
 def running(
@@ -110,7 +125,10 @@ def running(
     # sorted partitions. As a local table it also keeps a chain of passes from nesting plans.
     single = arranged.schema["_bucket"].metadata.get("buckets") == 1
     rows = [] if single else carry.collect()
-    out = arranged.select("*", *[e.alias("_l_" + n) for n, e in local.items()])
+    # rows are dealt by bucket once: that serves the windows of every group and of every later pass
+    marks = arranged.schema["_bucket"].metadata
+    dealt = arranged if marks.get("dealt") else arranged.repartition("_bucket").withMetadata("_bucket", {**marks, "dealt": True})
+    out = dealt.select("*", *[e.alias("_l_" + n) for n, e in local.items()])
     if rows:
         cond = F.col("_bucket") == F.col("_cb")
         for b in by:

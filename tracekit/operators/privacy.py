@@ -53,12 +53,13 @@ def median_closest(distances: DataFrame) -> DataFrame:
 
 
 def six_numbers(
-    real: DataFrame, syn: DataFrame, numeric: Sequence[str], key: str, percent: float | None = 15, seed=42
+    real: DataFrame, syn: DataFrame, numeric: Sequence[str], key: str, percent: float | None = None, seed=42
 ) -> DataFrame:
     """5th percentiles of the closest distance and of the nearest/second-nearest ratio.
 
     For real rows against synthetic ones and inside each table. Rows with a
     duplicate are left out, and each side is scaled by its own mean and spread.
+    ``percent`` asks for a sample of that share of either table.
     """
     vecs = {}
     for name, df in (("r", real), ("f", syn)):
@@ -147,13 +148,14 @@ def tail_ks(mins: DataFrame, qt_max: float = 0.05) -> DataFrame:
 
 
 def sensitivity_settings(
-    df: DataFrame, columns: Sequence[str], frac: float = 0.165, max_rows: int = 10_000, qt_max: float | str = 0.05,
+    df: DataFrame, columns: Sequence[str], frac: float = 0.165, max_rows: int | None = None, qt_max: float | str = 0.05,
     qt_default: float = 0.05, qt_interval: int = 1000, qt_interval_unique: int = 100, full: bool = True,
 ) -> dict:
-    """Sample share, quantile cap and grid size adapted to the table."""
+    """Sample share, quantile cap and grid size adapted to the table; ``max_rows`` asks for a smaller sample."""
     rows = df.count()
     rate = duplicate_rate(df.select(*columns)).first()[0]
-    frac = min(frac, max_rows / rows)
+    if max_rows:
+        frac = min(frac, max_rows / rows)
     if qt_max == "compute":
         qt_max = rate / 2 if rate > 0 else qt_default
     if rate == 0:

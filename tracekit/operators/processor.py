@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.operators import encoders as E
-from tracekit.operators.ordered import arrange, running
+from tracekit.operators.ordered import arrange, running, same_order
 from tracekit.operators.reshape import pack_sessions, unpack_sessions
 from tracekit.operators.sessions import decode_interarrival, encode_interarrival
 from tracekit.roles import RoleSpec
@@ -60,6 +60,8 @@ class SessionProcessor:
         start = E.normalize("flow_start", self.ranges["flow_start"]).alias("flow_start")
         slots = [s for c in self._fields() for s in self._slots(c)]
         rows = self._gaps(df).select(*keys, ts, *self.order, start, *slots, "_at", "_bucket")
+        # the start of a session is the same on all its rows
+        rows = same_order(rows, [ts, *self.order], [*keys, "flow_start"])
         return pack_sessions(rows, [*keys, "flow_start"], self._names(), [ts, *self.order], self.max_len)
 
     def inverse(self, sessions: DataFrame) -> DataFrame:

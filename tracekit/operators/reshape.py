@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.operators.ordered import arrange, running
+from tracekit.operators.tokens import TARGET_PREFIX
 from tracekit.session import col
 
 ZERO = 0.0
@@ -159,10 +160,9 @@ def split_parent_child(df: DataFrame, keys: Sequence[str], join_on: str) -> tupl
 def collect_children(
     parent: DataFrame, child: DataFrame, join_on: str, order, cols: Sequence[str], max_rows: int = 10_000
 ) -> DataFrame:
-    """Child rows of every parent as an array, empty when there are none.
+    """Child rows of every parent as arrays; one row per (``join_on``, ``segment``), segment 0 empty when there are none.
 
-    A parent with more than ``max_rows`` children continues in further rows
-    (``segment`` 1, 2, ...): nothing is lost and no list is unbounded.
+    Segments hold ``max_rows`` children each: nothing is lost and no list is unbounded.
     """
     placed = running(arrange(child, order, [join_on]), [join_on], position="_pos")
     placed = placed.withColumn("segment", F.floor(F.col("_pos") / max_rows).cast("int"))
@@ -193,4 +193,4 @@ def place_target(df: DataFrame, target: str, where: str = "last", copy_as: str |
     """Move the target last, or put a copy of it first."""
     if where == "last":
         return df.select(*[c for c in df.columns if c != target], target)
-    return df.select(F.col(target).alias(copy_as or f"_TEACHER_FORCING_{target}"), *df.columns)
+    return df.select(F.col(target).alias(copy_as or f"{TARGET_PREFIX}_{target}"), *df.columns)

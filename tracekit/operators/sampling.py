@@ -123,8 +123,8 @@ def bootstrap_rounds(df: DataFrame, rounds: int, frac: float, seed, *key: str, f
     """One copy of the table per round, each row with the role it plays there.
 
     full: the test share 2*frac is halved into stand-in and test, the rest is
-    the original. Otherwise original : stand-in : test are multiple : 1 : 1
-    parts of 2*frac each and the other rows are left out of the round.
+    the original. Otherwise a round is a sample: original : stand-in : test are
+    multiple : 1 : 1 parts of 2*frac each, and no other row is drawn.
     """
     n = df.count()
     copies = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -166,11 +166,13 @@ def category_table(df: DataFrame, cols: Sequence[str], log: bool = False) -> Dat
     totals = counts.groupBy("column_id").agg(F.sum("_w").alias("_t"), F.count(F.lit(1)).alias("_k"))
     placed = arrange(counts, ["value"], ["column_id"])
     run = running(placed, ["column_id"], position="_p", sums={"_c": "_w"})
+    run = running(run, ["column_id"], lags={"_before": "_c"})
     run = running(run, (), position="category_id").join(F.broadcast(totals), "column_id")  # one row per column
     last = F.col("_p") == F.col("_k") - 1
     return run.select(
         "column_id", "column", "category_id", "value", "n", (F.col("_w") / F.col("_t")).alias("prob"),
-        F.when(F.col("_p") == 0, F.lit(0.0)).otherwise((F.col("_c") - F.col("_w")) / F.col("_t")).alias("lo"),
+        # the lower end is the very quotient that ends the category before, so no draw falls between two
+        F.when(F.col("_p") == 0, F.lit(0.0)).otherwise(F.col("_before") / F.col("_t")).alias("lo"),
         F.when(last, F.lit(1.0)).otherwise(F.col("_c") / F.col("_t")).alias("hi"),
     )
 

@@ -154,7 +154,7 @@ def encode_interarrival(
     """Add ``flow_start`` and ``interarrival`` (0 for the first row of a session)."""
     order = [ts, *tie]
     moved = running(arrange(df, order, keys, buckets), keys, lags={"_prev": ts}, firsts={"flow_start": ts})
-    gap = F.coalesce(F.col(ts) - F.col("_prev"), F.lit(0.0))
+    gap = F.col(ts) - F.coalesce("_prev", ts)
     return moved.withColumn("interarrival", gap).select(*df.columns, "flow_start", "interarrival")
 
 

@@ -306,8 +306,9 @@ def fill_unknown(ids: DataFrame, key: str, batch: str | None = None) -> DataFram
 # ---- decoding ---------------------------------------------------------------------------
 
 def ids_to_tokens(ids: DataFrame, vocab: DataFrame, key: str, col: str = "input_ids") -> DataFrame:
+    """(key, tokens): the token of every id; an id that the vocabulary lacks is an unknown token, so no position shifts."""
     long = ids.select(key, F.posexplode(col).alias("_p", "id"))
-    rows = long.join(vocab.select("id", "token"), "id")
+    rows = long.join(vocab.select("id", "token"), "id", "left").withColumn("token", F.coalesce("token", F.lit("[UNK]")))
     # the list of a row is as long as its sequence
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_t"))
     return lists.select(key, F.transform("_t", lambda s: s["token"]).alias("tokens"))
@@ -345,7 +346,10 @@ def join_digits(raw: Column, codec: ColumnCodec) -> Column:
     if codec.kind == DATETIME:
         # only a leading sign may stay: offsets before the mean date are negative
         return F.nullif(F.regexp_replace(text, r"[^0-9\-]|(?<=.)-", ""), F.lit(""))
-    return F.regexp_replace(text, r"(?<=\..{0,64})\.", "")
+    point = F.lit(".")
+    later = lambda t: F.concat(F.substring_index(t, ".", 1), point, F.replace(F.substr(t, F.instr(t, point) + 1), point, F.lit("")))
+    # one element of an array, so that the text is not written out again at each use
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.instr(t, point) == 0, t).otherwise(later(t))), 0)
 
 
 def decode_rows(tokens: DataFrame, codec: TableCodec, keys: Sequence[str], offset: int = 1) -> DataFrame:

@@ -288,23 +288,23 @@ def t1_selected(spark, sf):
     return w.select("timestamp", F.col("error").cast("double").alias("error"), F.col("view").cast("double").alias("view"))
 
 
-VALID = "1 + vec_id % 8"
+VALID = "1 + vec_id % 32"
 
 
 def _series(spark, sf):
-    """Embeddings as eight steps of two series, valid for 1 to 8 steps."""
+    """Embeddings as 32 steps of two series, valid for 1 to 32 steps."""
     e = table(spark, sf, "embeddings")
     wide = e.select(
-        "vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"a{i}") for i in range(8)],
-        *[F.get("embedding", 8 + i).cast("double").alias(f"b{i}") for i in range(8)])
+        "vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"a{i}") for i in range(32)],
+        *[F.get("embedding", 32 + i).cast("double").alias(f"b{i}") for i in range(32)])
     return wide
 
 
-GROUPS = {"a": [f"a{i}" for i in range(8)], "b": [f"b{i}" for i in range(8)]}
+GROUPS = {"a": [f"a{i}" for i in range(32)], "b": [f"b{i}" for i in range(32)]}
 
 
 @query("t2_columns_to_series", """select vec_id, label, i as step, round(embedding[i + 1]::double, 6) as a,
-round(embedding[i + 9]::double, 6) as b from embeddings, range(8) r(i)""")
+round(embedding[i + 33]::double, 6) as b from embeddings, range(32) r(i)""")
 def t2(spark, sf):
     s = reshape.columns_to_series(_series(spark, sf), GROUPS)
     rows = s.select("vec_id", "label", F.posexplode(F.arrays_zip("a", "b")).alias("step", "x"))
@@ -312,12 +312,12 @@ def t2(spark, sf):
 
 
 @query("t3_series_to_columns", "select vec_id, label, " + ", ".join(
-    f"case when {i} < {VALID} then round(embedding[{i + 1 + o}]::double, 6) end as {n}{i}" for n, o in (("a", 0), ("b", 8)) for i in range(8))
+    f"case when {i} < {VALID} then round(embedding[{i + 1 + o}]::double, 6) end as {n}{i}" for n, o in (("a", 0), ("b", 32)) for i in range(32))
     + " from embeddings")
 def t3(spark, sf):
     s = reshape.columns_to_series(_series(spark, sf), GROUPS)
-    n = (F.col("vec_id") % 8 + 1).cast("int")
-    s = s.withColumn("flag", F.concat(F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(0.0), 8 - n)))
+    n = (F.col("vec_id") % 32 + 1).cast("int")
+    s = s.withColumn("flag", F.concat(F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(0.0), 32 - n)))
     return rounded(reshape.series_to_columns(s, GROUPS, "flag"), GROUPS["a"] + GROUPS["b"])
 
 
@@ -423,17 +423,15 @@ def t13(spark, sf):
 
 
 def _noisy_flags(spark, sf):
-    """Generated flags near 0 and 1: step i of a vector is on while its rounded value is not 0."""
+    """Generated flags around 1: step i of a vector is on while its rounded value is not 0."""
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.when((F.col("vec_id") * 7 + i * 3) % 5 == 0, 0.3).otherwise(0.9)).alias("flag"))
+    return e.select("vec_id", F.transform("embedding", lambda x: F.lit(0.7) + x.cast("double")).alias("flag"))
 
 
-@query("t14_trim_flags", """with f as (select vec_id, i, case when (vec_id * 7 + i * 3) % 5 = 0 then 0e0 else 1e0 end as f from embeddings, range(8) r(i))
-select vec_id, i as pos, cast(min(f) over (partition by vec_id order by i) as double) as flag,
-cast(sum(g) over (partition by vec_id) as double) as length
-from (select *, min(f) over (partition by vec_id order by i) as g from f)""")
+@query("t14_trim_flags", """with f as (select vec_id, i, round(0.7e0 + embedding[i + 1]::double) as f from embeddings, range(64) r(i)),
+z as (select vec_id, i, f, min(f) over (partition by vec_id order by i) as low from f)
+select vec_id, i as pos, case when low = 0 then 0e0 else f end as flag,
+sum(case when low = 0 then 0e0 else f end) over (partition by vec_id) as length from z""")
 def t14(spark, sf):
     t = _noisy_flags(spark, sf).select("vec_id", reshape.trim_flags("flag").alias("flag"))
     t = t.withColumn("length", reshape.array_sum("flag"))

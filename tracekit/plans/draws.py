@@ -216,7 +216,7 @@ def r14_swap(spark, sf):
 
 # ---- over-sampling ----------------------------------------------------------------------
 
-DIMS = [f"x{i}" for i in range(6)]
+DIMS = [f"x{i}" for i in range(64)]
 
 
 def _wide(spark, sf):
@@ -270,7 +270,7 @@ def r16(spark, sf):
     return _round(R.oversample(c, ["bal", "k"], "seg", "key", ["nation"], frac=0.5, seed=16), "bal", "k")
 
 
-@query("r17_oversample_regression", f"""with {WIDE_SQL}, h as (select vec_id, cast(x5 > (select quantile_cont(x5, 0.5) from w) as int) as half, {', '.join(DIMS)} from w),
+@query("r17_oversample_regression", f"""with {WIDE_SQL}, h as (select vec_id, cast(x63 > (select quantile_cont(x63, 0.5) from w) as int) as half, {', '.join(DIMS)} from w),
 {oversample_sql('h', 'vec_id', 'half', DIMS, 1.0, 0.0, 17, 5)} select draw, {', '.join(f'round({d}, 6) as {d}' for d in DIMS)} from made""")
 def r17(spark, sf):
     return _round(R.oversample_regression(_wide(spark, sf).drop("label"), DIMS[:-1], DIMS[-1], "vec_id", seed=17), *DIMS)
@@ -335,6 +335,13 @@ def r20(spark, sf):
     return R.bootstrap_rounds(table(spark, sf, "embeddings").select("vec_id"), 5, 0.165, 20, "vec_id")
 
 
+@query("r20_bootstrap_sample", f"""with n as (select cast(floor(count(*) * 2 * 0.05) as int) as size from embeddings),
+p as (select vec_id, cast(r.i as int) as round, row_number() over (partition by r.i order by {X.digest_sql(21, 'r.i', 'vec_id')}, vec_id) - 1 as p from embeddings, range(5) r(i))
+select vec_id, round, case when p < 3 * size then 'original' when p < 4 * size then 'synthetic' else 'test' end as role from p, n where p < 5 * size""")
+def r20_sample(spark, sf):
+    return R.bootstrap_rounds(table(spark, sf, "embeddings").select("vec_id"), 5, 0.05, 21, "vec_id", full=False)
+
+
 @query("r21_head_rows", "select event_id from events order by ts, event_id limit 2001")
 def r21(spark, sf):
     return R.head_rows(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 2000).select("event_id")

@@ -49,17 +49,13 @@ def e3(spark, sf):
     return f.select("rid", decode_bits("b", 16).alias("port"), weighted.cast("bigint").alias("weighted"))
 
 
-@query("e4_word_embedding", f"{FL} select rid, proto, proto as word from flows")
+@query("e4_word_embedding", f"{FL} select distinct word, word as back from (select 'p' || srcip as word from flows union all select proto from flows union all select type from flows)")
 def e4(spark, sf):
     f = X.flows(spark, sf).select("rid", F.concat(F.lit("p"), F.col("srcip").cast("string")).alias("srcip"), "proto", "type")
     v = cut(W.fit_embedding(f, ["srcip", "proto", "type"], 8), "words")
-    protos = f.select(F.col("proto").alias("word")).distinct()
-    rows = W.embed(f.select("rid", "proto"), "proto", v, "vec")
-    back = W.nearest_word(rows, "rid", "vec", v.join(protos, "word", "left_semi"))
-    return f.select("rid", "proto").join(back, "rid")
-
-
-MIX_COLS = ["l_extendedprice", "l_quantity"]
+    words = f.select(F.explode(F.array("srcip", "proto", "type")).alias("word")).distinct()
+    back = W.nearest_word(W.embed(words, "word", v, "vec").withColumnRenamed("word", "asked"), "asked", "vec", v)
+    return back.select(F.col("asked").alias("word"), F.col("word").alias("back"))
 
 
 def _mix(spark, sf, c="l_extendedprice", k=5):
@@ -203,12 +199,15 @@ def e18(spark, sf):
                        tidy(F.get("attr", 1)).alias("mid"), tidy(F.get("attr", 2)).alias("half"), tidy(F.get("s.b", 0)).alias("back"))
 
 
+SPANS = [(0, 3), (3, 5), (8, 24), (32, 32)]
+
+
 @query("e19_hard_one_hot", "select vec_id, " + ", ".join(
-    f"cast(embedding[{i + 1}] >= list_max(embedding[{g[0] + 1}:{g[0] + g[1]}]) as double) as h{i}" for g in ((0, 3), (3, 5)) for i in range(g[0], g[0] + g[1]))
+    f"cast(embedding[{i + 1}] >= list_max(embedding[{g[0] + 1}:{g[0] + g[1]}]) as double) as h{i}" for g in SPANS for i in range(g[0], g[0] + g[1]))
     + " from embeddings")
 def e19(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", hard_one_hot("embedding", [(0, 3), (3, 5)]).alias("h"))
-    return e.select("vec_id", *[F.get("h", i).alias(f"h{i}") for i in range(8)])
+    e = table(spark, sf, "embeddings").select("vec_id", hard_one_hot("embedding", SPANS).alias("h"))
+    return e.select("vec_id", *[F.get("h", i).alias(f"h{i}") for i in range(64)])
 
 
 @query("e21_truncated_svd")

@@ -78,8 +78,9 @@ def _bins_sql(col):
 
 CONT = ["byt", "td"]
 for _compat in (False, True):
-    # a narrower real side, so that synthetic values fall outside its range
-    _sql = (f"with {X.FLOWS_SQL.replace('flows as', 'all_flows as')}, flows as (select * from all_flows where half = 0 or (byt > 5000 and td < 45)), "
+    # synthetic values are moved, so that some fall outside the real range
+    _sql = (f"with {X.FLOWS_SQL.replace('flows as', 'all_flows as')}, flows as (select * replace (case when half = 0 then byt * 1.25 - 2000 else byt end as byt, "
+            + "case when half = 0 then td + 5 else td end as td) from all_flows), "
             + ", ".join(_bins_sql(c) for c in CONT) + ", long as ("
             + " union all ".join(f"select '{c}' as metric, {_hist_sql(c, _compat)} as value, half from flows, b_{c}" for c in CONT)
             + "), c as (select metric, value, count(*) filter (where half = 1) as n_real, count(*) filter (where half = 0) as n_syn "
@@ -87,7 +88,7 @@ for _compat in (False, True):
 
     def _m3(spark, sf, compat=_compat):
         real, syn = _halves(spark, sf)
-        return _round(M.js_continuous(real.where("byt > 5000 and td < 45"), syn, CONT, compat), "value")
+        return _round(M.js_continuous(real, syn.withColumns({"byt": F.col("byt") * 1.25 - 2000, "td": F.col("td") + 5}), CONT, compat), "value")
 
     query("m3_js_continuous_compat" if _compat else "m3_js_continuous", _sql)(_m3)
 
@@ -302,6 +303,16 @@ def j6(spark, sf):
     return _round(nearest(syn, real, k=3), "distance")
 
 
+@query("j6_nearest_duplicates", """with s as (select p_partkey as id, p_size // 5 as x, p_partkey % 4 as y from part)
+select id, rank, ref_id, round(d, 6) as distance from (select a.id, b.id as ref_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d,
+  row_number() over (partition by a.id order by pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.id) as rank from s a join s b on a.id <> b.id) where rank <= 3""")
+def j6_duplicates(spark, sf):
+    """Two coarse columns of part: nearly every vector is there many times, and every neighbourhood has ties."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(
+        F.floor(F.col("p_size") / 5).cast("double"), (F.col("p_partkey") % 4).cast("double")).alias("vec"))
+    return _round(nearest(rows, rows, k=3, exclude_self=True), "distance")
+
+
 V1_SQL = f"select a.id, round(min({L1}), 6) as distance from sy a, rl b group by a.id"
 
 
@@ -342,10 +353,8 @@ def v2_median(spark, sf):
 
 SIX = """src as (select p_partkey as id, cast(p_partkey % 2 as int) as half, p_size::double as x, p_retailprice as y from part),
 u as (select half, x, y, min(id) as id from src group by half, x, y having count(*) = 1),
-smp as (select * from (select *, row_number() over (partition by half order by {dg}, id) as rn, count(*) over (partition by half) as n from u)
-  where rn <= cast(floor(n * 0.01 * {pc}) as int)),
-z as (select s.id, s.half, (x - mx) / sx as x, (y - my) / sy as y from smp s join
-  (select half, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy from smp group by half) m on s.half = m.half),
+z as (select s.id, s.half, (x - mx) / sx as x, (y - my) / sy as y from u s join
+  (select half, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy from u group by half) m on s.half = m.half),
 d as (select case when a.half = 1 and b.half = 0 then 'rf' when a.half = 1 then 'rr' else 'ff' end as kind, a.id,
   sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from z a, z b where a.id <> b.id and not (a.half = 0 and b.half = 1)),
 t as (select kind, id, d as d1, lead(d) over (partition by kind, id order by d) as d2, row_number() over (partition by kind, id order by d) as k from d),
@@ -353,11 +362,11 @@ l as (select 'dcr_' || kind as metric, d1 as value from t where k = 1 union all
 select metric, round(quantile_cont(value, 0.05), 6) as value from l group by metric"""
 
 
-@query("v3_six_numbers", "with " + SIX.format(dg=X.digest_sql(42, "id"), pc=60))
+@query("v3_six_numbers", "with " + SIX)
 def v3(spark, sf):
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return _round(V.six_numbers(p.where("key % 2 = 1"), p.where("key % 2 = 0"), ["x", "y"], "key", percent=60), "value")
+    return _round(V.six_numbers(p.where("key % 2 = 1"), p.where("key % 2 = 0"), ["x", "y"], "key"), "value")
 
 
 
@@ -436,7 +445,7 @@ def v7_threshold(spark, sf):
     return _round(V.sensitivity_threshold(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50)), "threshold")
 
 
-@query("v7_settings", """select round(least(0.165, 10000 / count(*)), 6) as frac, round(1 - count(distinct (l_suppkey, l_linenumber, l_quantity)) / count(*), 6) as duplicate_rate,
+@query("v7_settings", """select 0.165::double as frac, round(1 - count(distinct (l_suppkey, l_linenumber, l_quantity)) / count(*), 6) as duplicate_rate,
 round((1 - count(distinct (l_suppkey, l_linenumber, l_quantity)) / count(*)) / 2, 6) as qt_max, 1000 as qt_interval from lineitem""")
 def v7_settings(spark, sf):
     s = V.sensitivity_settings(table(spark, sf, "lineitem"), ["l_suppkey", "l_linenumber", "l_quantity"], qt_max="compute")

@@ -238,6 +238,16 @@ def k13(spark, sf):
     return back.select("key", "o_custkey", "price", X.seconds("o_orderdate").alias("ordered"), "o_orderpriority")
 
 
+@query("k13_unknown_ids", f"""with {VOCAB} select key, count(*) + 2 as n, case when key % 4 = 0 then '[UNK]' else max(token) filter (where pos = 1) end as second,
+max(token) filter (where pos = 2) as third from flat group by key""")
+def k13_unknown(spark, sf):
+    """Every fourth row gets an id that the vocabulary lacks: its place stays, and so do all others."""
+    codec, tokens, ids = _ids(spark, sf)
+    spoiled = ids.withColumn("input_ids", F.transform("input_ids", lambda x, i: F.when((i == 2) & (F.col("key") % 4 == 0), F.lit(10**9).cast("bigint")).otherwise(x)))
+    t = K.ids_to_tokens(cut(spoiled, "spoiled"), _vocab(tokens, codec), "key")
+    return t.select("key", F.size("tokens").cast("bigint").alias("n"), F.get("tokens", 2).alias("second"), F.get("tokens", 3).alias("third"))
+
+
 @query("k13_invalid_rows", f"with {SRC} select key, o_custkey, price from src where key % 5 <> 0")
 def k13_invalid(spark, sf):
     """Every fifth row gets a letter inside the customer number and must disappear."""

@@ -123,13 +123,14 @@ def w8(spark, sf):
     return _chunked(spark, sf).select("rid", "chunk")
 
 
-@query("w8_dense_ids", """with f as (select event_id, epoch(ts) as t from events where epoch(ts) % 2592000 < 300000 or epoch(ts) % 2592000 > 2000000),
+@query("w8_dense_ids", """with f as (select event_id, epoch(ts) + floor(epoch(ts) / 2592000) * 9000000 as t from events),
 te as (select [lo + i * ((hi - lo) / 30) for i in range(0, 30)] || [hi * (1 + 1e-5)] as edges from (select min(t) as lo, max(t) as hi from f)),
 c as (select event_id, len(list_filter(edges, lambda e: e <= t)) - 1 as c from f, te)
 select event_id, cast(dense_rank() over (order by c) - 1 as int) as chunk from c""")
 def w8_dense(spark, sf):
     e = table(spark, sf, "events").select("event_id", (X.micros("ts") / 1_000_000).alias("t"))
-    e = e.where((F.col("t") % 2592000 < 300000) | (F.col("t") % 2592000 > 2000000))
+    # months moved apart leave empty chunks between them
+    e = e.withColumn("t", F.col("t") + F.floor(F.col("t") / 2592000) * 9000000)
     return sessions.chunk_fixed_time(e, "t", 30, dense_ids=True).select("event_id", "chunk")
 
 

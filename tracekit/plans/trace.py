@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracekit.functions import codecs as C
 from tracekit.operators import clean, sessions
-from tracekit.operators.ordered import arrange
+from tracekit.operators.ordered import arrange, same_order
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
 from tracekit.session import scratch_path, tidy
@@ -56,8 +56,8 @@ def flagship(spark, sf):
     # day grows with the timestamp, so one sort serves the fill, the sessions and the gaps
     wide = arrange(X.wide_signals(spark, sf), ["timestamp"])
     filled, _ = clean.impute_ffill(wide, ["timestamp"], SIG)
-    filled = filled.withColumn("day", F.floor(F.col("timestamp") / 86400))
-    cut_up = sessions.sessionize_count(filled, ["day"], ["timestamp"], 8)
+    filled = same_order(filled.withColumn("day", F.floor(F.col("timestamp") / 86400)), ["timestamp"], ["day"])
+    cut_up = same_order(sessions.sessionize_count(filled, ["day"], ["timestamp"], 8), ["timestamp"], ["session_id"])
     gaps = sessions.encode_interarrival(cut_up, ["session_id"], "timestamp", [])
     return gaps.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -131,7 +131,7 @@ def s5(spark, sf):
 def _tree(spark, sf, name):
     """Ragged lines written as <root>/<vehicle>/<file>, three vehicles."""
     root = scratch_path(spark, name)
-    lines = _ragged_lines(spark, sf).where("key % 10 <> 3")
+    lines = _ragged_lines(spark, sf)  # with every tenth line of a wrong length, which the reader turns away
     lines.select(F.concat(F.lit("v"), (F.col("key") % 3).cast("string")).alias("vehicle"), "value").write.partitionBy(
         "vehicle").text(root)
     return root

@@ -65,7 +65,8 @@ def test_refill_keeps_only_far_rows(spark):
         return spark.createDataFrame([(seed * 1000 + i, [float(v) for v in r]) for i, r in enumerate(pts)], "id bigint, vec array<double>")
 
     dist = lambda r, s: V.distance_to_closest(r, s, "l2")
-    kept = R.privacy_refill(real, generator, dist, 0.3, 40, "id")
+    kept, report = R.privacy_refill(real, generator, dist, 0.3, 40, "id")
+    assert report["missing"] == 40 - kept.count()
     rows = {r.id: np.array(r.vec) for r in kept.collect()}
     assert len(rows) == 40
     ref = np.array([r.vec for r in real.collect()])

@@ -184,11 +184,11 @@ def privacy_sweep(
     real: DataFrame, generator: Callable[[int, int], DataFrame], distance: Callable, score: Callable[[DataFrame], float],
     n: int, key: str, quantiles: Sequence[float] = (0.1, 0.2, 0.3, 0.4),
 ) -> DataFrame:
-    """(q, median closest distance, utility score) for refills at several cut quantiles."""
+    """(q, median closest distance, utility score): all rows as generated (q 0), then refills at several cut quantiles."""
     rows = []
-    for q in quantiles:
-        kept = privacy_refill(real, generator, distance, q, n, key)
-        median = median_closest(distance(real, kept.drop("round"))).first()[0]
-        rows.append((float(q), float(median), float(score(kept.drop("round")))))
+    for q in (0.0, *quantiles):
+        kept = cut(generator(0, n), "unfiltered") if q == 0 else privacy_refill(real, generator, distance, q, n, key)[0].drop("round")
+        median = median_closest(distance(real, kept)).first()[0]
+        rows.append((float(q), float(median), float(score(kept))))
     return real.sparkSession.createDataFrame(rows, "q double, median double, score double")
 

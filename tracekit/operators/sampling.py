@@ -342,12 +342,13 @@ Generator = Callable[[int, int], DataFrame]
 def privacy_refill(
     real: DataFrame, generator: Generator, distance: Callable[[DataFrame, DataFrame], DataFrame], q: float, n: int,
     key: str, rounds: int = 10,
-) -> DataFrame:
+) -> tuple[DataFrame, dict]:
     """Drop rows closer to the real table than the q-quantile of the first batch, refill up to n rows.
 
     ``generator(seed, n)`` returns rows with a unique ``key``;
     ``distance(real, rows)`` returns (key, distance). One bounded set of jobs per
-    round, each result written so that no lineage builds up.
+    round, each result written so that no lineage builds up. The report has the
+    limit, the rows kept and how many are missing after the last round.
     """
     first = cut(generator(0, n), "batch")
     dist = cut(distance(real, first), "distances")
@@ -366,7 +367,7 @@ def privacy_refill(
         fresh = exact_top(fresh, n - have, [key])
         kept = cut(kept.unionByName(fresh), "kept")
         have = kept.count()
-    return kept
+    return kept, {"limit": limit, "kept": have, "missing": max(0, n - have)}
 
 
 class EmptySampleLimit(RuntimeError):

@@ -6,17 +6,16 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-    RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.operators.encoders import bench_features
-from tracekit.operators.sampling import two_way_split
+from tracekit.operators.sampling import exact_sample, two_way_split
 from tracekit.session import cut
 
 FEATURES, LABEL = "features_vec", "label"
@@ -60,11 +59,35 @@ def boosted(task: str, n_classes: int = 2, validation: str | None = None, rounds
     if task == "regression":
         return GBTRegressor(**common)
     if n_classes > 2:
-        common.pop("validationIndicatorCol", None)  # the one-vs-rest wrapper hides the indicator column
-        return OneVsRest(classifier=GBTClassifier(**common), featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
+        return BoostedClasses(GBTClassifier(**common), n_classes)
     return GBTClassifier(**common)
 
 
+class BoostedClasses:
+    """One boosted binary model per class, each stopped early on its own; the class of the highest probability wins.
+
+    Spark's one-vs-rest wrapper hides the validation column, so early stopping needs the models one by one.
+    """
+
+    def __init__(self, binary: GBTClassifier, n_classes: int, models: Sequence = ()):
+        self.binary, self.n_classes, self.models = binary, n_classes, list(models)
+
+    def fit(self, rows: DataFrame) -> BoostedClasses:
+        one = lambda c: self.binary.copy().fit(rows.withColumn(LABEL, (F.col(LABEL) == c).cast("double")))
+        return BoostedClasses(self.binary, self.n_classes, [one(c) for c in range(self.n_classes)])
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out, chances = rows, []
+        for c, model in enumerate(self.models):
+            names = [f"_prediction{c}", f"_raw{c}", f"_chance{c}"]
+            model = model.copy().setPredictionCol(names[0]).setRawPredictionCol(names[1]).setProbabilityCol(names[2])
+            out = model.transform(out)
+            chances.append(F.get(vector_to_array(names[2]), 1))
+        best = F.array(*chances)
+        out = out.withColumn("prediction", (F.array_position(best, F.array_max(best)) - 1).cast("double"))
+        return out.drop(*[f"_{n}{c}" for c in range(self.n_classes) for n in ("prediction", "raw", "chance")])
+
+
 def early_stopping_rows(train: DataFrame, val: DataFrame, name: str = "is_val") -> DataFrame:
     return train.withColumn(name, F.lit(False)).unionByName(val.withColumn(name, F.lit(True)))
 
@@ -148,6 +171,23 @@ def score_learners(
     return spark.createDataFrame(rows, "source string, learner string, split string, metric string, value double")
 
 
+def repeat_scores(
+    datasets: Callable[[int], tuple[Mapping[str, DataFrame], Mapping[str, DataFrame]]], models: Callable[[int], Mapping[str, Estimator]],
+    dataset_seeds: Sequence[int], model_seeds: Sequence[int], score: Callable,
+) -> DataFrame:
+    """The scores of ``score_learners`` for every dataset seed and model seed, written as one table with both seeds.
+
+    ``datasets(seed)`` returns the training sources and the tests made with that seed, ``models(seed)`` the learners.
+    """
+    long = None
+    for d in dataset_seeds:
+        sources, tests = datasets(d)
+        for m in model_seeds:
+            rows = score_learners(models(m), sources, tests, score).withColumns({"dataset_seed": F.lit(d), "model_seed": F.lit(m)})
+            long = rows if long is None else long.unionByName(rows)
+    return cut(long, "scores")
+
+
 def summarize_scores(scores: DataFrame, by: Sequence[str] = ("source", "split", "metric")) -> DataFrame:
     """count, mean and standard deviation (population) over seeds and learners."""
     return scores.groupBy(*by).agg(
@@ -156,6 +196,9 @@ def summarize_scores(scores: DataFrame, by: Sequence[str] = ("source", "split",
 
 def discriminate(model: Estimator, real: DataFrame, syn: DataFrame, key: str, seed, ratio: float = 0.5) -> DataFrame:
     """(key, label, prediction) on the held-out part: can real (1) and synthetic (0) rows be told apart?"""
+    # as many rows of either kind: a larger table would be the safer guess for every row
+    n = min(real.count(), syn.count())
+    real, syn = (exact_sample(d, n, f"{seed}-{name}", key) for d, name in ((real, "real"), (syn, "synthetic")))
     both = real.withColumn(LABEL, F.lit(1.0)).unionByName(syn.withColumn(LABEL, F.lit(0.0)))
     both = cut(two_way_split(both, ratio, seed, key, LABEL), "labelled")
     fitted = model.fit(both.where("split = 'train'"))

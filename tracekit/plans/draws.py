@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tracekit.operators import privacy as V
 from tracekit.operators import sampling as R
+from tracekit.operators import utility as U
 from tracekit.operators.clean import RowValidator, in_range
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
@@ -299,7 +301,7 @@ def _distance(real, rows):
 @query("r18_privacy_refill")
 def r18(spark, sf):
     real, other = _vectors(spark, sf)
-    kept = R.privacy_refill(real, _near_copies(other), _distance, 0.2, other.count(), "id")
+    kept, _ = R.privacy_refill(real, _near_copies(other), _distance, 0.2, other.count(), "id")
     return kept.select("id", "round")
 
 
@@ -351,5 +353,7 @@ def r21(spark, sf):
 def v8(spark, sf):
     real, other = _vectors(spark, sf)
     real, other = cut(real, "real"), cut(other, "other")
-    width = lambda rows: rows.agg(F.avg(F.get("vec", 0))).first()[0]
-    return V.privacy_sweep(real, _near_copies(other), _distance, width, other.count(), "id", (0.1, 0.2, 0.3, 0.4))
+    # utility: how well a learner trained on the kept rows predicts the first coordinate of real ones
+    labelled = lambda rows: rows.select(array_to_vector(F.slice("vec", 2, F.size("vec") - 1)).alias("features_vec"), F.get("vec", 0).alias("label"))
+    score = lambda rows: U.regression_scores(U.regressors()["ridge"].fit(labelled(rows)).transform(labelled(real)))["rmse"]
+    return V.privacy_sweep(real, _near_copies(other), _distance, score, other.count(), "id", (0.1, 0.2, 0.3, 0.4))

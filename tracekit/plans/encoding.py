@@ -76,6 +76,58 @@ def e5_back(spark, sf):
     return back.select("rid", tidy("back", 2).alias("price"))
 
 
+# the encoders themselves, on a mixture that is given: what they compute can then be said in SQL
+GIVEN = G.Mixture("l_extendedprice", (0.5, 0.3, 0.2), (20000.0, 40000.0, 70000.0), (8100.0, 9100.0, 15700.0))
+GIVEN_SQL = ("li as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as rid, l_extendedprice as x, l_discount from lineitem), "
+             "sc as (select *, [" + ", ".join(f"ln({w}e0) - ln({s}e0) - pow(x - {m}e0, 2) / (2 * pow({s}e0, 2))"
+                                               for w, m, s in zip(GIVEN.weights, GIVEN.means, GIVEN.stds)) + "] as s from li), "
+             "co as (select *, list_position(s, list_max(s)) - 1 as k from sc)")
+OFFSET_SQL = f"round(least(greatest((x - {list(GIVEN.means)}[k + 1]) / (4 * {list(GIVEN.stds)}[k + 1]), -0.99), 0.99), 6)"
+
+
+def _given(spark, sf, *more):
+    return table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rid"), "l_extendedprice", *more)
+
+
+@query("e5_given_mixture", f"with {GIVEN_SQL} select rid, {OFFSET_SQL} as u, cast(k as int) as k from co")
+def e5_given(spark, sf):
+    return G.encode(_given(spark, sf), GIVEN).select("rid", tidy("l_extendedprice_u").alias("u"), F.col("l_extendedprice_k").alias("k"))
+
+
+@query("e6_given_draw", f"""with {GIVEN_SQL}, p as (select rid, x, [exp(s[i] - list_max(s)) for i in range(1, 4)] as r from co),
+q as (select rid, x, [(r[i] / list_sum(r) + 1e-6) / (1 + 3e-6) for i in range(1, 4)] as p, {X.fraction_sql('e6', 'rid')} as u from p),
+d as (select rid, x, least(cast(p[1] <= u as int) + cast(p[1] + p[2] <= u as int) + cast(p[1] + p[2] + p[3] <= u as int), 2) as k from q)
+select rid, {OFFSET_SQL} as u, cast(k as int) as k from d""")
+def e6_given(spark, sf):
+    drawn = G.drawn_component(_given(spark, sf), "l_extendedprice", GIVEN, fraction("e6", "rid"), "comp")
+    return G.encode(drawn, GIVEN, "comp").select("rid", tidy("l_extendedprice_u").alias("u"), F.col("l_extendedprice_k").alias("k"))
+
+
+@query("e7_given_counts", f"with {GIVEN_SQL} select cast(k as int) as component, count(*) as n from co group by k")
+def e7_given(spark, sf):
+    """A fourth component far from all rows is never the most probable one and goes."""
+    far = G.Mixture(GIVEN.column, (*GIVEN.weights, 0.1), (*GIVEN.means, 1e9), (*GIVEN.stds, 10.0))
+    rows = _given(spark, sf)
+    return G.component_counts(rows, "l_extendedprice", G.keep_modal(rows, far))
+
+
+@query("e8_given_order", f"""with {GIVEN_SQL}, f as (select k, row_number() over (order by count(*) desc, k) - 1 as slot from co group by k)
+select rid, cast(slot as int) as slot from co join f using (k)""")
+def e8_given(spark, sf):
+    rows = _given(spark, sf)
+    m = G.order_by_frequency(rows, GIVEN)
+    hot = G.slots(G.modal_component("l_extendedprice", m), m)
+    return rows.select("rid", (F.array_position(hot, F.lit(1.0)) - 1).cast("int").alias("slot"))
+
+
+@query("e10_given_mixed", f"""with {GIVEN_SQL} select rid, case when l_discount = 0 then 0e0 else {OFFSET_SQL} end as u,
+cast(case when l_discount = 0 then 0 else k + 1 end as int) as k from co""")
+def e10_given(spark, sf):
+    rows = _given(spark, sf, "l_discount").withColumn("l_extendedprice", F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice")))
+    m = G.Mixture(GIVEN.column, GIVEN.weights, GIVEN.means, GIVEN.stds, (0.0,))
+    return G.encode(rows, m).select("rid", tidy("l_extendedprice_u").alias("u"), F.col("l_extendedprice_k").alias("k"))
+
+
 @query("e6_drawn_component")
 def e6(spark, sf):
     li, m = _mix(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracekit.operators import utility as U
 from tracekit.operators.sampling import three_way_split
 from tracekit.plans.registry import query, table
-from tracekit.session import scratch_path, tidy
+from tracekit.session import fraction, scratch_path, tidy
 from tracekit.sources import results
 
 NUM = ["size", "price", "stock"]
@@ -51,8 +51,7 @@ def u2(spark, sf):
 def u3(spark, sf):
     train, syn, val, test = _prepared(spark, sf)
     sources = {k: U.training_source(train, syn, k) for k in ("real", "synthetic", "merged")}
-    models = {k: v for k, v in U.learners(_width(train), 2).items() if k in ("tree", "logistic")}
-    return U.score_learners(models, sources, {"val": val, "test": test}, lambda p: U.evaluate(p, 2))
+    return U.score_learners(U.learners(_width(train), 2), sources, {"val": val, "test": test}, lambda p: U.evaluate(p, 2))
 
 
 @query("u3_simple_regressors")
@@ -71,9 +70,26 @@ def u4(spark, sf):
 
 @query("u4_boosted_multiclass")
 def u4_multi(spark, sf):
-    train, _, _, test = _prepared(spark, sf, "grade")
-    return U.score_learners({"boosted": U.boosted("multiclass", 3, rounds=5)}, {"real": train}, {"test": test},
-                            lambda p: U.evaluate(p, 3))
+    train, syn, val, test = _prepared(spark, sf, "grade")
+    sources = {"real": U.early_stopping_rows(train, val), "synthetic": U.early_stopping_rows(syn, val)}
+    return U.score_learners({"boosted": U.boosted("multiclass", 3, validation="is_val")}, sources, {"test": test}, lambda p: U.evaluate(p, 3))
+
+
+@query("u5_repeated_seeds", """select source, 'test' as split, metric, 4 as count, true as within from (select unnest(['real', 'synthetic']) as source),
+(select unnest(['acc', 'f1', 'roc_auc']) as metric)""")
+def u5_seeds(spark, sf):
+    """Two dataset seeds and two model seeds; what the scores are depends on the learner, that they are four and lie in [0, 1] does not."""
+    train, syn, _, test = _prepared(spark, sf)
+
+    def datasets(seed):
+        return {"real": train, "synthetic": bernoulli(syn, seed)}, {"test": test}
+
+    def bernoulli(rows, seed):
+        return rows.where(fraction(f"u5-{seed}", "key") < 0.8)
+
+    forest = lambda seed: {"forest": U.learners(_width(train), 2, seed)["forest"]}
+    s = U.summarize_scores(U.repeat_scores(datasets, forest, (1, 2), (1, 2), lambda p: U.evaluate(p, 2)))
+    return s.select("source", "split", "metric", "count", F.col("mean").between(0, 1).alias("within"))
 
 
 SCORES_SQL = "select l_returnflag as source, l_linestatus as split, cast(l_linenumber as varchar) as metric, l_discount as value from lineitem"

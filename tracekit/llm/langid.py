@@ -22,6 +22,8 @@ BUCKETS, SIZE, LENGTHS = 1 << 16, 16, (2, 3, 4)
 #: The bounded training sample: windows per language, their characters, and the most languages.
 WINDOWS, WINDOW_CHARS, MOST_LANGS = 1500, 400, 500
 UNKNOWN = "und"
+#: Least steps of gradient descent: small samples are passed over more often.
+LEAST_STEPS = 1000
 #: Share of calibration windows that the rejection threshold may turn away.
 REJECT_SHARE = 0.001
 
@@ -133,7 +135,9 @@ def fit_windows(texts: list[str], labels: list[str], epochs: int = 6, rate: floa
     table = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     weight = rng.normal(0, 0.1, (SIZE, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), dtype=np.float32)
-    step, steps = 0, max(1, epochs * ((len(train) + 31) // 32))
+    batches = (len(train) + 31) // 32
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, batches)))
+    step, steps = 0, max(1, epochs * batches)
     for _ in range(epochs):
         rng.shuffle(train)
         for low in range(0, len(train), 32):
@@ -173,13 +177,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        F.xxhash64(F.col(key).cast("string"), text_col).alias("draw"))
     rows = rows.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
+    counts = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values in {lang_col}")
+    if not counts:
+        return fit_windows([], [])
+    # only rows whose draw can be among the smallest are ranked: three times the wanted number is expected to
+    # pass, and far fewer rows of a language than that pass only where it has few
+    cut_off = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * WINDOWS / r["count"]))])
+    rows = rows.where(F.col("draw") / F.lit(2.0**64) + 0.5 <= cut_off[F.col("lang")])
     start = F.expr(f"cast(pmod(draw, greatest(char_length(text) - {WINDOW_CHARS}, 0) + 1) as int) + 1")
     windows = rows.select("lang", "draw", F.col("text").substr(start, F.lit(WINDOW_CHARS)).alias("part"))
     order = Window.partitionBy("lang").orderBy("draw", "part")
     picked = windows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= WINDOWS)
-    names = picked.groupBy("lang").count().limit(MOST_LANGS + 1)
-    if names.count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} values in {lang_col}")
     sample = sorted((r.lang, r.draw, r.part) for r in picked.select("lang", "draw", "part").collect())
     return fit_windows([x[2] for x in sample], [x[0] for x in sample])
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.llm.common import free_name
+from tracekit.session import cut
 
 #: Sentences in a run, words from which a sentence is a run of its own and a stretch is removed.
 RUN, LEAST_WORDS = 2, 20
@@ -50,7 +51,8 @@ def repeated_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("at"),
                        F.xxhash64(text).alias("draw"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = _runs(rows, run, least_words)
-    first = found.groupBy("h").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that the join below reads two plain shuffles, whose large partitions Spark can split
+    first = cut(found.groupBy("h").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     later = found.join(first, "h").where("again or at > first_at")
     # `j` of a run's sentences and their words; one exchange by document serves all that follows
     covered = later.select("at", "draw", F.col("i").alias("start"), F.posexplode("words").alias("j", "w"))

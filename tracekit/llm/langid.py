@@ -161,7 +161,8 @@ def fit_windows(texts: list[str], labels: list[str], epochs: int = 6, rate: floa
         loss = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         best = grid[int(np.argmin(loss))]
         top = _softmax(z / best).max(axis=1)
-        threshold = min(0.5, float(np.quantile(top, REJECT_SHARE)))
+        # short windows are less sure than whole texts: only a text near the level of guessing is turned away
+        threshold = min(1.5 / max(3, len(langs)), float(np.quantile(top, REJECT_SHARE)))
     else:
         best, threshold = 1.0, 0.0
     return LanguageModel(langs, (rows / best).astype(np.float32), bias / best, threshold)

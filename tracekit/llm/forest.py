@@ -134,7 +134,9 @@ class _Best:
         lengths = [len(s) for s in self.scores]
         if not lengths:
             return pd.DataFrame({"query": [], "name": [], "score": []})
-        return pd.DataFrame({"query": np.repeat(np.array(list(self.at), dtype=object), lengths), "name": np.concatenate(self.names), "score": np.concatenate(self.scores)})
+        # plain lists: arrays of objects that numpy repeats and joins may reach Arrow in chunks
+        queries = [q for q, n in zip(self.at, lengths) for _ in range(n)]
+        return pd.DataFrame({"query": queries, "name": [x for n in self.names for x in n], "score": np.concatenate(self.scores).astype(np.float64)})
 
 
 def _meet(k: int):
@@ -173,7 +175,8 @@ def _meet(k: int):
                     index.append(v)
                     names.append(name)
         rank()
-        yield best.frame()
+        if best.at:
+            yield best.frame()
 
     return run
 

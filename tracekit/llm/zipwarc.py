@@ -263,7 +263,9 @@ def read_records(locations: DataFrame) -> DataFrame:
 
     Revisits have no payload; bytes and digest are those of the payload they stand for.
     """
-    spread = locations.repartition("archive", F.floor(F.col("offset") / F.lit(READ_BYTES)))
+    # a location is few bytes here and many to read: the number of tasks must not follow from the size of the rows
+    tasks = int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = locations.repartition(tasks, "archive", F.floor(F.col("offset") / F.lit(READ_BYTES)))
 
     def run(batches):
         for batch in batches:

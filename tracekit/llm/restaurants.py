@@ -81,9 +81,9 @@ def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength
         j = np.arange(n)
         for part in np.array_split(rows, -(-len(rows) * n // (1 << 20))):
             opened = np.cumsum(np.log(strength + d * (others[part, None] + j)), axis=1)
-            noise = uniform(keys[part, None] + j.astype(np.uint64) * _PRIME, seed)
-            weight = log_stirling(d)[n, 1 : n + 1] + (j + 1) * np.log(base[part, None]) + opened - np.log(-np.log(noise))
-            t[part] = 1 + weight.argmax(axis=1)
+            weight = log_stirling(d)[n, 1 : n + 1] + (j + 1) * np.log(base[part, None]) + opened
+            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            t[part] = 1 + (share < (share[:, -1] * uniform(keys[part], seed))[:, None]).sum(axis=1)
     many = np.flatnonzero(c > EXACT)
     if len(many):
         goal, mass, tables, seated = c[many].astype(np.float64), base[many], np.ones(len(many)), np.ones(len(many))
@@ -193,14 +193,30 @@ class _Block:
         self.words = words[self.order]
         self.word_slices = _slices(self.words, 64, shares[0])
         if pairs:
-            before = np.empty_like(self.numbers)
-            before[0], before[1:] = 0, self.numbers[:-1]  # a text follows the end of another
+            n = np.uint64(len(words))
+            self.pairs = self.numbers.astype(np.uint64)
+            self.pairs[1:] += self.numbers[:-1] * n  # a text follows the end of another, which is number 0
+            self.distinct = np.unique(self.pairs)
+            u, w = self.distinct // n, self.distinct % n
             bits = PAIR_BITS + max(0, (shares[1] - 1).bit_length())
-            keys = mix(words[before] * _PRIME + words[self.numbers]) >> np.uint64(64 - bits)
-            self.keys, first, self.type = np.unique(keys, return_index=True, return_inverse=True)
-            self.u, self.w = before[first].astype(np.int64), self.numbers[first].astype(np.int64)
+            keys = mix(words[u] * _PRIME + words[w]) >> np.uint64(64 - bits)
+            self.by_key = np.argsort(keys)
+            self.keys, self.u, self.w = keys[self.by_key], u[self.by_key].astype(np.int64), w[self.by_key].astype(np.int64)
             self.pair_slices = _slices(self.keys, bits, shares[1])
 
+    def learnt_counts(self) -> np.ndarray:
+        """How often each pair occurs in the documents that are learnt from, in key order."""
+        found, n = np.unique(self.pairs[self.learnt], return_counts=True)
+        counts = np.zeros(len(self.distinct), dtype=np.int64)
+        counts[np.searchsorted(self.distinct, found)] = n
+        return counts[self.by_key]
+
+    def of_tokens(self, x: np.ndarray) -> np.ndarray:
+        """Values of pairs in key order, spread to the tokens."""
+        plain = np.empty_like(x)
+        plain[self.by_key] = x
+        return plain[np.searchsorted(self.distinct, self.pairs)]
+
     def by_number(self, rows: pd.DataFrame, column: str) -> np.ndarray:
         """Values that came back per share of words, in the order of the block's numbers."""
         values = np.concatenate([unpack(x) for x in rows.sort_values("share")[column]])
@@ -225,7 +241,7 @@ def _pairs_of(shares, fold):
         for batch in batches:
             for row in _rows(batch):
                 b = _Block(row, shares, fold)
-                counts = np.bincount(b.type[b.learnt], minlength=len(b.keys))
+                counts = b.learnt_counts()
                 cuts = list(zip(b.pair_slices[:-1], b.pair_slices[1:]))
                 yield pd.DataFrame([(s, row["block"], pack_keys(b.keys[i:j]), pack(counts[i:j])) for s, (i, j) in enumerate(cuts) if j > i], columns=["share", "block", "keys", "counts"])
 
@@ -356,7 +372,7 @@ def _score(shares, fold, scalars: dict[int, dict]):
                 "key": pd.array(b.ids, dtype="Int64"), "held_out": b.held, "n_tokens": b.sizes, "train_tokens": n,
                 "n_known": np.add.reduceat((counts > 0).astype(np.int64)[b.numbers], starts),
                 "base_score": np.add.reduceat(np.log10((counts + 1) / (n + v + 1))[b.numbers], starts),
-                "score": np.add.reduceat(np.log10(p)[b.type], starts)}))
+                "score": np.add.reduceat(b.of_tokens(np.log10(p)), starts)}))
         columns = [x.split(" ")[0] for x in SCORES.split(", ")]
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
@@ -366,7 +382,7 @@ def _score(shares, fold, scalars: dict[int, dict]):
 def _bucketed(df: DataFrame, column: str, buckets: int, name: str) -> tuple[DataFrame, str]:
     """The table written to the shared folder, bucketed by a column: later groupings by it read it without a shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", scratch_path(spark, name)).saveAsTable(table)
+    df.write.bucketBy(buckets, column).option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table), table
 
 
@@ -377,15 +393,25 @@ def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folds
     the averaged model, ``base_score`` that of add-one unigrams. Null and empty texts are their end alone; repeated rows each
     get a row; an empty table gives no rows. If nothing is held in, every word is as likely as the unknown one.
     """
-    spark, fold_ = docs.sparkSession, (folds, fold)
-    plain_blocks = cut(read_blocks(docs, key, text), "blocks")
-    size = plain_blocks.agg(F.sum("tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
-    shares = (-(-(size.words or 1) // WORD_SHARE), -(-(size.tokens or 1) // PAIR_SHARE))
+    tables: list[str] = []
+    try:
+        return _score_corpus(docs, key, text, (folds, fold), tables)
+    finally:  # the result is written; only the names of the bucketed tables are left
+        for name in tables:
+            docs.sparkSession.sql(f"drop table if exists {name}")
+
+
+def _score_corpus(docs: DataFrame, key: str, text: str, fold_: tuple[int, int], tables: list[str]) -> DataFrame:
+    spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables = []
-    blocks, name = _bucketed(plain_blocks.drop("tokens", "n_words"), "block", buckets, "blocks")
+    # a block is one row, so each task writes few files
+    written, name = _bucketed(read_blocks(docs, key, text), "block", buckets, "blocks")
     tables.append(name)
-    words, name = _bucketed(blocks.mapInPandas(_words_of(shares, fold_), WORDS), "share", min(buckets, shares[0]), "words")
+    size = written.agg(F.sum("tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
+    shares = (-(-(size.words or 1) // WORD_SHARE), -(-(size.tokens or 1) // PAIR_SHARE))
+    blocks = written.drop("tokens", "n_words")
+    word_buckets = min(buckets, shares[0])
+    words, name = _bucketed(blocks.mapInPandas(_words_of(shares, fold_), WORDS).repartition(word_buckets, "share"), "share", word_buckets, "words")
     tables.append(name)
     types = cut(blocks.mapInPandas(_pairs_of(shares, fold_), PAIRS).groupBy("share").applyInPandas(_count_pairs, TYPES), "types")
     seen = types.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
@@ -409,6 +435,4 @@ def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folds
     for sweep in range(BURN, BURN + KEEP + 1):
         answers = answers.union(states[sweep])
     scored = cut(blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(_score(shares, fold_, scalars), SCORES), "scores")
-    for name in tables:
-        spark.sql(f"drop table {name}")
     return scored.withColumnRenamed("key", key)

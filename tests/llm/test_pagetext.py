@@ -39,3 +39,15 @@ def test_articles_of_the_table(spark):
         body = r.html.split("<article>")[1].split("</article>")[0]
         words = body.replace("<br>", " ").replace("<p>", " ").replace("</p>", " ").replace("<h1>", " ").replace("</h1>", " ").replace("<b>", "").replace("</b>", "")
         assert r.text.split() == html.unescape(words).split()
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content has-sidebar'>{ARTICLE}</div>", f"<div id='top'>{ARTICLE}</div>", f"<div class='elementor-widget-container'>{ARTICLE}</div>",
+    f"<div class='social-post'>{ARTICLE}</div>", f"<form action='/'><div>{ARTICLE}</div></form>", f"<div class='widget'><article>{ARTICLE}</article></div>",
+    f"<div id='top'><div class='sidebar'><p>Not, this; one.</p></div><article>{ARTICLE}</article></div>",
+    f"<form><div>{ARTICLE}</div><div class='widget-area'><p>Not, this.</p></div><ol class='comments'><li>{'I agree, fully; yes. ' * 40}</li></ol></form>",
+    f"<main>{ARTICLE}</main><div class='related'><article><p>Another, text.</p></article></div>",
+    f"<header class='site-header'><p>Site, name.</p></header><div class='wrapper' role='form'>{ARTICLE}</div>",
+])
+def test_marks_do_not_take_the_article(page):
+    assert main_text(page) == TEXT

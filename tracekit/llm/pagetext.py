@@ -3,7 +3,8 @@
 A page is cut into blocks; each block stands on a root-to-leaf path of block elements with their classes. Per
 path, text and punctuation are averaged over its blocks and fused with the share of text outside links; the
 fused values are smoothed over neighbouring blocks of one parent and held against a share of the page's
-largest. Elements whose tag, class, id or role says that they are no article text never take part.
+largest. Elements whose tag says that they are no article text, and hidden ones, never take part. A class, id or
+role that says so is only a mark: it is ignored if the elements that carry it hold most of the text.
 """
 
 from __future__ import annotations
@@ -34,12 +35,16 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = set("ul ol dl table article section main body div td th blockquote aside nav form".split())
-_NOT_TEXT = set("head script style title noscript template iframe object svg canvas math nav footer aside form button select option textarea dialog menu xmp noembed noframes audio video".split())
+_NOT_TEXT = set("head script style title noscript template iframe object svg canvas math nav footer aside button select option textarea dialog menu xmp noembed noframes audio video".split())
 _MARKS = set("""ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar
     navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets footer foot masthead topbar toolbar cookie cookies
     consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related
     recommended recommendations teaser pagination pager comment comments commentlist disqus respond replies reply skip hidden""".split())
-_HEADERS = {"header", "site-header", "page-header", "top"}
+_HEADERS = {"header", "top"}
+#: Words that change nothing beside a mark: ``widget-area`` is one, ``has-sidebar`` and ``social-post`` are none.
+_AROUND = set("area bar block bottom box container inner item items left list main outer page right section site slot top unit wrap wrapper".split())
+#: Marks of what can be longer than the article: they count unless nothing else is there.
+_APART = set("comment comments commentlist disqus respond replies reply cookie cookies consent gdpr".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？«»\"()-]")
 
@@ -52,21 +57,66 @@ class Block:
     links: int
 
 
+@dataclass
+class Piece:
+    text: str
+    link: bool
+    marks: frozenset[tuple[str, str]]
+    home: int
+
+
 def _attributes(data: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(data)}
 
 
-def _unwanted(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     if tag in _NOT_TEXT or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
+    return tag not in ("html", "body", "article", "main") and bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def _marks(tag: str, attributes: dict[str, str], in_article: bool) -> frozenset[tuple[str, str]]:
+    """Tag and reason of each sign that an element is no article text: whole class or id tokens, a role, a tag."""
     if tag in ("html", "body", "article", "main"):
-        return False
-    if re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    names = set(re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    if names & _MARKS or attributes.get("role", "").lower() in _ROLES:
-        return True
-    return not in_article and (tag == "header" or bool(names & _HEADERS))
+        return frozenset()
+    known = _MARKS if in_article else _MARKS | _HEADERS
+    found = []
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(re.split(r"[^a-z]+", token)) - {""}
+        if words & known and words <= known | _AROUND:
+            found.append(token)
+    if (role := attributes.get("role", "").lower()) in _ROLES:
+        found.append(f"role {role}")
+    if tag == "form" or tag == "header" and not in_article:
+        found.append("")
+    return frozenset((tag, x) for x in found)
+
+
+def _apart(mark: tuple[str, str]) -> bool:
+    return not _APART.isdisjoint(re.split(r"[^a-z]+", mark[1]))
+
+
+def _ignored(pieces: list[Piece], marks: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """Marks whose elements together hold at least half of the text outside links.
+
+    Text in articles decides where it is at least a quarter of the page's; comments and the like decide only if there is
+    nothing else.
+    """
+    if not marks:
+        return marks
+    weights = [(0 if x.link else len(x.text.strip()), x) for x in pieces]
+    pool = [(w, x) for w, x in weights if w and not any(map(_apart, x.marks))]
+    alone = not pool
+    pool = pool or [(w, x) for w, x in weights if w]
+    total = sum(w for w, _ in pool)
+    at_home = [(w, x) for w, x in pool if x.home]
+    if 4 * sum(w for w, _ in at_home) >= total:
+        pool, total = at_home, sum(w for w, _ in at_home)
+    held: dict[tuple[str, str], int] = defaultdict(int)
+    for w, x in pool:
+        for mark in x.marks:
+            held[mark] += w
+    return {mark for mark in marks if 2 * held[mark] >= total > 0 and (alone or not _apart(mark))}
 
 
 def blocks(page: str) -> list[Block]:
@@ -75,25 +125,22 @@ def blocks(page: str) -> list[Block]:
     ``home`` numbers the innermost article or main element around a block, 0 if there is none. Open tags that
     are never closed, and closing tags that were never opened, are tolerated.
     """
-    out: list[Block] = []
-    # of an open element: tag, name in paths, inside something unwanted, inside a link, number of its article
-    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
-    parts: list[str] = []
-    links, homes, at = 0, 0, 0
+    # path, number of the article and pieces of each block, before marks are judged
+    raw: list[tuple[tuple[str, ...], int, list[Piece]]] = []
+    # of an open element: tag, name in paths, inside something unwanted, inside a link, number of its article, marks
+    stack: list[tuple[str, str, bool, bool, int, frozenset[tuple[str, str]]]] = [("", "", False, False, 0, frozenset())]
+    parts: list[Piece] = []
+    homes, at = 0, 0
 
     def flush() -> None:
-        nonlocal links
-        if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append(Block(tuple(x[1] for x in stack if x[1]), stack[-1][4], text, links))
+        if parts:
+            raw.append((tuple(x[1] for x in stack if x[1]), stack[-1][4], parts.copy()))
         parts.clear()
-        links = 0
 
     def say(data: str) -> None:
-        nonlocal links
-        if data and not stack[-1][2]:
-            parts.append(data)
-            if stack[-1][3]:
-                links += len(data.strip())
+        _, _, bad, link, home, marks = stack[-1]
+        if data and not bad:
+            parts.append(Piece(data, link, marks, home))
 
     def close_to(k: int) -> None:
         if any(x[0] not in _INLINE for x in stack[k:]):
@@ -129,16 +176,17 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in _HOLDS:
                     break
             flush()
-        _, _, bad, link, home = stack[-1]
+        _, _, bad, link, home, marks = stack[-1]
         attributes = _attributes(m[3])
-        bad = bad or _unwanted(tag, attributes, home > 0)
+        bad = bad or _unwanted(tag, attributes)
+        marks |= _marks(tag, attributes, home > 0)
         if tag in ("article", "main") or attributes.get("role") == "main":
             homes += 1
             home = homes
         name = "" if inline else f"{tag}.{attributes['class']}" if attributes.get("class") else tag
         if m[3].endswith("/") and tag not in ("p", "div", "article", "span"):
             continue
-        stack.append((tag, name, bad, link or tag == "a", home))
+        stack.append((tag, name, bad, link or tag == "a", home, marks))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             say(page[at : end.start()] if end else page[at:])
@@ -148,6 +196,14 @@ def blocks(page: str) -> list[Block]:
     rest = page[at:]
     say(rest if not re.match(r"[^<]*<[a-zA-Z/!][^>]*\Z", rest) else rest[: rest.index("<")])
     flush()
+    pieces = [x for _, _, some in raw for x in some]
+    marked = set().union(*(x.marks for x in pieces))
+    counting = marked - _ignored(pieces, marked)
+    out: list[Block] = []
+    for path, home, some in raw:
+        left = [x for x in some if counting.isdisjoint(x.marks)]
+        if text := " ".join(html.unescape("".join(x.text for x in left)).split()):
+            out.append(Block(path, home, text, sum(len(x.text.strip()) for x in left if x.link)))
     return out
 
 

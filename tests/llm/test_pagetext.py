@@ -51,3 +51,20 @@ def test_articles_of_the_table(spark):
 ])
 def test_marks_do_not_take_the_article(page):
     assert main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("tag", ["pre", "blockquote", "p class='lead'"])
+def test_paragraphs_beside_a_long_block(tag):
+    paragraphs = [f"Paragraph {i}, with words; " + "some more of them " * 9 + "end." for i in range(8)]
+    long = "A long passage, with words. " * 75
+    texts = [*paragraphs[:4], long.strip(), *paragraphs[4:]]
+    tags = ["p"] * 4 + [tag] + ["p"] * 4
+    inner = "".join(f"<{t}>{x}</{t.split()[0]}>" for t, x in zip(tags, texts))
+    page = f"<ul><li><a href='a'>One</a></li></ul><div class='text'><h1>Title</h1>{inner}<p>Bye</p></div><div><p><a href='b'>Terms</a></p></div>"
+    assert main_text(page) == " ".join(["Title", *texts, "Bye"])
+    assert main_text(f"<body>{inner}</body>") == " ".join(texts)
+
+
+def test_short_articles_beside_long_ones():
+    long, short = "A long passage, with words. " * 75, "A short note, with some words in it; no more than that."
+    assert main_text(f"<article><p>{short}</p></article><article><p>{long}</p></article>") == f"{short} {long.strip()}"

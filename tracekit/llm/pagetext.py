@@ -1,15 +1,16 @@
 """Main text of web pages by ratios of text and punctuation per tag path.
 
 A page is cut into blocks; each block stands on a root-to-leaf path of block elements with their classes. Per
-path, text and punctuation are averaged over its blocks and fused with the share of text outside links; the
-fused values are smoothed over neighbouring blocks of one parent and held against a share of the page's
-largest. Elements whose tag says that they are no article text, and hidden ones, never take part. A class, id or
+path, text and punctuation are averaged over its blocks, up to the size of a paragraph, and fused by their geometric
+mean and the share of text outside links; the fused values are smoothed over neighbouring blocks of one parent and
+held against a share of the page's largest. What stands beside chosen blocks in one element is chosen with them. Elements whose tag says that they are no article text, and hidden ones, never take part. A class, id or
 role that says so is only a mark: it is ignored if the elements that carry it hold most of the text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 from tracekit.llm.common import free_name
 
 #: Share of the page's largest smoothed value from which a block counts as content.
-THRESHOLD = 0.1
+THRESHOLD = 0.3
+#: Average length and punctuation of a path from which it is no more text-like: one long block does not set the limit.
+FULL_LENGTH, FULL_MARKS = 200, 5
 #: Weights of a block's neighbours at distance 0, 1 and 2.
 SMOOTH = (0.4, 0.24, 0.06)
 #: Share of link text from which a block counts as a menu.
@@ -55,6 +58,8 @@ class Block:
     home: int
     text: str
     links: int
+    #: Numbers of the elements around the block, from the outermost to its own, inline ones left out.
+    around: tuple[int, ...] = ()
 
 
 @dataclass
@@ -126,19 +131,19 @@ def blocks(page: str) -> list[Block]:
     are never closed, and closing tags that were never opened, are tolerated.
     """
     # path, number of the article and pieces of each block, before marks are judged
-    raw: list[tuple[tuple[str, ...], int, list[Piece]]] = []
-    # of an open element: tag, name in paths, inside something unwanted, inside a link, number of its article, marks
-    stack: list[tuple[str, str, bool, bool, int, frozenset[tuple[str, str]]]] = [("", "", False, False, 0, frozenset())]
+    raw: list[tuple[tuple[str, ...], int, tuple[int, ...], list[Piece]]] = []
+    # of an open element: tag, name in paths, inside something unwanted, inside a link, number of its article, marks, place in the page
+    stack: list[tuple[str, str, bool, bool, int, frozenset[tuple[str, str]], int]] = [("", "", False, False, 0, frozenset(), 0)]
     parts: list[Piece] = []
     homes, at = 0, 0
 
     def flush() -> None:
         if parts:
-            raw.append((tuple(x[1] for x in stack if x[1]), stack[-1][4], parts.copy()))
+            raw.append((tuple(x[1] for x in stack if x[1]), stack[-1][4], tuple(x[6] for x in stack if x[1]), parts.copy()))
         parts.clear()
 
     def say(data: str) -> None:
-        _, _, bad, link, home, marks = stack[-1]
+        _, _, bad, link, home, marks, _ = stack[-1]
         if data and not bad:
             parts.append(Piece(data, link, marks, home))
 
@@ -176,7 +181,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in _HOLDS:
                     break
             flush()
-        _, _, bad, link, home, marks = stack[-1]
+        _, _, bad, link, home, marks, _ = stack[-1]
         attributes = _attributes(m[3])
         bad = bad or _unwanted(tag, attributes)
         marks |= _marks(tag, attributes, home > 0)
@@ -186,7 +191,7 @@ def blocks(page: str) -> list[Block]:
         name = "" if inline else f"{tag}.{attributes['class']}" if attributes.get("class") else tag
         if m[3].endswith("/") and tag not in ("p", "div", "article", "span"):
             continue
-        stack.append((tag, name, bad, link or tag == "a", home, marks))
+        stack.append((tag, name, bad, link or tag == "a", home, marks, at))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             say(page[at : end.start()] if end else page[at:])
@@ -196,14 +201,14 @@ def blocks(page: str) -> list[Block]:
     rest = page[at:]
     say(rest if not re.match(r"[^<]*<[a-zA-Z/!][^>]*\Z", rest) else rest[: rest.index("<")])
     flush()
-    pieces = [x for _, _, some in raw for x in some]
+    pieces = [x for *_, some in raw for x in some]
     marked = set().union(*(x.marks for x in pieces))
     counting = marked - _ignored(pieces, marked)
     out: list[Block] = []
-    for path, home, some in raw:
+    for path, home, around, some in raw:
         left = [x for x in some if counting.isdisjoint(x.marks)]
         if text := " ".join(html.unescape("".join(x.text for x in left)).split()):
-            out.append(Block(path, home, text, sum(len(x.text.strip()) for x in left if x.link)))
+            out.append(Block(path, home, text, sum(len(x.text.strip()) for x in left if x.link), around))
     return out
 
 
@@ -215,7 +220,7 @@ def path_values(found: list[Block]) -> list[float]:
         marks[b.path] += len(_PUNCTUATION.findall(b.text))
         linked[b.path] += b.links
         count[b.path] += 1
-    fused = {p: (length[p] / n) * ((marks[p] + 1) / n) * max(0.0, 1 - linked[p] / length[p]) for p, n in count.items()}
+    fused = {p: math.sqrt(min(FULL_LENGTH, length[p] / n) * min(FULL_MARKS, (marks[p] + 1) / n)) * max(0.0, 1 - linked[p] / length[p]) for p, n in count.items()}
     raw, out = [fused[b.path] for b in found], []
     for i, b in enumerate(found):
         total = 0.0
@@ -226,6 +231,25 @@ def path_values(found: list[Block]) -> list[float]:
     return out
 
 
+def _widened(found: list[Block], chosen: list[bool]) -> list[bool]:
+    """Chosen blocks, and all blocks outside menus in the elements that chosen blocks stand in.
+
+    A block's element is its parent, or itself if other blocks lie in it. Where that is the body or nothing, only
+    blocks right below it are taken.
+    """
+    inner = {x for b in found for x in b.around[:-1]}
+
+    def place(b: Block) -> tuple[int, bool]:
+        """Number of the element a block stands in, and whether that is the page itself."""
+        depth = len(b.around) - (not b.around or b.around[-1] not in inner)
+        return (b.around[depth - 1], b.path[depth - 1] in ("html", "body") or b.path[depth - 1].startswith(("html.", "body."))) if depth > 0 else (0, True)
+
+    places = [place(b) for b in found]
+    held = {p for p, c in zip(places, chosen) if c}
+    deep = {x for x, page in held if not page}
+    return [b.links < MOST_LINKS * len(b.text) and (c or p in held or not deep.isdisjoint(b.around)) for b, p, c in zip(found, places, chosen)]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by one space; empty if there are none."""
     found = blocks(page or "")
@@ -238,11 +262,11 @@ def main_text(page: str | None) -> str:
     for b, c in zip(found, chosen):
         weight[b.home] += c * len(b.text)
     total = sum(weight.values())
-    homes = {h for h, w in weight.items() if h and 10 * w >= total}
+    homes = {h for h, w in weight.items() if h and w}
     if homes and sum(weight[h] for h in homes) * 2 >= total:
         # the chosen paths lie in articles: their other blocks (headings, lists) belong to them too
         return " ".join(b.text for b in found if b.home in homes)
-    places = [i for i, c in enumerate(chosen) if c]
+    places = [i for i, c in enumerate(_widened(found, chosen)) if c]
     if not places:
         return ""
     span = found[places[0] : places[-1] + 1]

@@ -15,6 +15,10 @@ from tracekit.plans.registry import query, table
 from tracekit.session import cut
 
 
+#: Least share of the tokens that the mixture keeps.
+MIX_SHARE = 0.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and texts below the calibrated level go."""
     model = langid.fit(langid.training_rows(docs))
@@ -35,10 +39,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that tokens follow the raked targets of source, language and topic."""
+    """Documents drawn so that tokens follow the raked targets of source, language and topic, ``MIX_SHARE`` of the tokens at least."""
     topic, tokens, kept = free_name(docs, "topic"), free_name(docs, "mix_tokens"), free_name(docs, "mix_kept")
     counted = docs.withColumns({topic: mixing.topic(F.col("text")), tokens: mixing.n_tokens(F.col("text"))})
-    return mixing.sample_mix(counted, ["source", "lang", topic], tokens, "doc_id").where(kept).select(*docs.columns)
+    return mixing.sample_mix(counted, ["source", "lang", topic], tokens, "doc_id", share=MIX_SHARE).where(kept).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as P
 from tracekit.llm import mixing as M
 
 
@@ -51,3 +52,27 @@ def test_counts_and_topics(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(M.n_tokens(F.col("t")).alias("n"), M.topic(F.col("t")).alias("topic")).collect()
     assert [r.n for r in got] == [0, 0, 0, 3, 3, 3, 400, 4000]
     assert [r.topic for r in got] == ["empty", "empty", "short", "short", "table", "marked", "prose", "long"]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.9, 1.0])
+def test_scale_keeps_the_share(spark, share):
+    cells = [(1000.0, 0.4), (300.0, 1.0), (100.0, 1.7), (5.0, 9.0), (1.0, 80.0), (2.0, 0.0)]
+    scale = M.scale_for(spark.createDataFrame(cells, "cell_tokens double, ratio double"), share)
+    kept = sum(n * min(1.0, scale * r) for n, r in cells)
+    assert kept == pytest.approx(min(share * 1408, 1406))
+
+
+def test_scale_keeps_more_where_the_targets_allow(spark):
+    fitted = spark.createDataFrame([(10.0, 1.0), (10.0, 0.8)], "cell_tokens double, ratio double")
+    assert M.scale_for(fitted, 0.5) == 1.0
+    assert M.scale_for(fitted.limit(0), 0.5) == 1.0
+
+
+def test_one_rare_document_does_not_thin_out_the_rest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.limit(1).select(*[F.lit(v).cast(docs.schema[c].dataType).alias(c) for c, v in
+                                 (("doc_id", 10**9), ("text", "a few rare words"), ("lang", "xx"), ("source", "rare"), ("n_chars", 16))])
+    one = docs.unionByName(odd)
+    total = one.agg(F.sum(M.n_tokens(F.col("text")))).first()[0]
+    kept = {r.doc_id: r.n for r in P.mixed(spark, one, "").select("doc_id", M.n_tokens(F.col("text")).alias("n")).collect()}
+    assert 10**9 in kept and sum(kept.values()) >= 0.4 * total

@@ -17,6 +17,8 @@ from tracekit.session import cut, fraction
 
 #: Full rounds over all dimensions, and the power that flattens natural shares to the default targets.
 ROUNDS, POWER = 6, 0.8
+#: Steps that ``scale_for`` takes at most; each but the last saturates a cell, and a few do in practice.
+STEPS = 60
 #: Stands for a null category.
 NONE = "(none)"
 
@@ -76,12 +78,40 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return weighted().withColumn("ratio", F.when(F.col("present") > 0, F.col("wanted") / F.col("present")).otherwise(F.lit(0.0))).select(*dims, "cell_tokens", "ratio")
 
 
+def scale_for(fitted: DataFrame, share: float) -> float:
+    """The scale at which min(1, scale * ratio) keeps ``share`` of the tokens of the cells in expectation.
+
+    Newton's steps on a sum that is concave and piecewise linear in the scale: from below they never overshoot, and
+    they end when no further cell saturates. Never below 1 over the largest ratio, which needs no saturation. If cells
+    with ratio 0 leave less than the share, all others saturate.
+    """
+    tokens, ratio = F.col("cell_tokens"), F.col("ratio")
+    first = fitted.agg(F.sum("cell_tokens").alias("tokens"), F.max("ratio").alias("top")).first()
+    if not first.top:
+        return 1.0
+    scale = 1 / first.top
+    for _ in range(STEPS):
+        full = ratio * F.lit(scale) >= 1
+        row = fitted.agg(F.sum(F.when(full, tokens)).alias("full"), F.sum(F.when(~full, tokens * ratio)).alias("rest"),
+                         F.min(F.when(ratio > 0, ratio)).alias("least")).first()
+        if not row.rest:
+            break
+        # beyond 1 over the least ratio nothing changes any more
+        following = min((share * first.tokens - (row.full or 0.0)) / row.rest, 1 / row.least)
+        if following <= scale * (1 + 1e-12):
+            break
+        scale = following
+    return scale
+
+
 def sample_mix(docs: DataFrame, dims: Sequence[str], tokens: str, key: str, seed: str = "mix",
-               targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+               targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """Every row with ``mix_probability`` and ``mix_kept``.
 
-    The probability of a document is its cell's ratio over the largest one, so the kept tokens follow the targets
-    in expectation and as many are kept as that allows. Whether a row is kept follows from a digest of the key: repeated rows
+    Without ``share`` the probability of a document is its cell's ratio over the largest one, so the kept tokens follow
+    the targets in expectation and as many are kept as that allows: the rarest cell decides how many. With ``share``, at
+    least that share of all tokens is kept in expectation: cells whose ratio is too large for it are kept whole, and
+    the others keep their proportions. Whether a row is kept follows from a digest of the key: repeated rows
     share their fate. Documents without tokens have probability 1, as they weigh nothing. Names that are taken get underscores.
     """
     probability, kept, chance = (free_name(docs, c) for c in ("mix_probability", "mix_kept", "mix_chance"))
@@ -90,9 +120,14 @@ def sample_mix(docs: DataFrame, dims: Sequence[str], tokens: str, key: str, seed
     cells = cut(count_cells(counted, inner, "tokens"), "cells")
     wanted = {n: targets[d].select(F.col(d).alias(n), "share") if targets else flattened(cells, n) for d, n in zip(dims, inner)}
     fitted = rake(cells, wanted, rounds)
-    top = fitted.agg(F.max("ratio").alias("top"))
     names = [free_name(docs, n) for n in inner]
-    chances = fitted.crossJoin(F.broadcast(top)).select(*[F.col(n).alias(m) for n, m in zip(inner, names)], (F.col("ratio") / F.col("top")).alias(chance))
+    if share is None:
+        top = fitted.agg(F.max("ratio").alias("top"))
+        scaled, p = fitted.crossJoin(F.broadcast(top)), F.col("ratio") / F.col("top")
+    else:
+        scaled = cut(fitted, "fitted")
+        p = F.least(F.lit(1.0), F.col("ratio") * F.lit(scale_for(scaled, share)))
+    chances = scaled.select(*[F.col(n).alias(m) for n, m in zip(inner, names)], p.alias(chance))
     on = [F.coalesce(docs[d].cast("string"), F.lit(NONE)) == F.col(m) for d, m in zip(dims, names)]
     # cells are few beside documents, but their number is the data's: the planner decides how to join them
     joined = docs.join(cut(chances, "chances"), on, "left")

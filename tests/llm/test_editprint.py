@@ -64,3 +64,69 @@ def test_links_of_near_texts(spark):
     docs = spark.createDataFrame([(3, base), (1, base), (2, base[:700] + "xx" + base[700:]), (4, "quite another text " * 30), (5, None)], "doc_id long, text string")
     links = {(r.doc_id, r.leader) for r in E.near_links(docs, 0.8).collect()}
     assert links == {(2, 1)}
+
+
+def _hot_rows():
+    """Texts of one opening that is a band of its own, in pairs alike to each other but not to the other pairs, and copies."""
+    opening = _prose(50, 60)
+    rows = []
+    for i in range(12):
+        text = opening + _prose(100 + i, 240)
+        rows += [(10 * i, text), (10 * i + 1, text[:-100] + "q" + text[-99:]), (10 * i + 2, text)]
+    long = _prose(7, 4000)
+    at = next(k for k in range(len(long) // 2, len(long)) if E.text_fingerprint(long[:k] + "#" + long[k + 1 :]) == E.text_fingerprint(long))
+    return [*rows, (500, long), (501, long[:at] + "#" + long[at + 1 :]), (502, None), (503, "")]
+
+
+def _brute(rows, least):
+    prints = {i: E.text_fingerprint(t or "") for i, t in rows}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, p in prints.items():
+        for j, q in prints.items():
+            if i < j and set(E.bands(p)) & set(E.bands(q)) and E.likeness(p, q) >= least:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in prints}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_classes_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    rows = _hot_rows()
+    want = _brute(rows, E.LEAST)
+    assert len(set(want.values())) == 14
+    got = E.with_classes(spark.createDataFrame(rows, "doc_id long, text string"), E.LEAST, 3).collect()
+    assert {r.doc_id: r.near_class for r in got} == want and len(got) == len(rows)
+    sizes = list(want.values())
+    assert all(r.near_rows == sizes.count(r.near_class) for r in got)
+
+
+def test_links_beside_the_leader(spark, monkeypatch):
+    """All share the first band only; each pair differs in one sample of every other band."""
+    monkeypatch.setattr(E, "BLOCK", 3)
+    rng, rows = random.Random(3), []
+    for i in range(10):
+        own = "0" * E.BAND + "".join(rng.choices("0123456789abcde", k=E.SAMPLES - E.BAND))
+        other = own[: E.BAND] + "".join("f" if k % E.BAND == 0 else c for k, c in enumerate(own[E.BAND :]))
+        rows += [(2 * i, bytes([7 * i % 10, 0]), f"11:{own}:{'.' * E.SAMPLES}"), (2 * i + 1, bytes([7 * i % 10, 1]), f"11:{other}:{'.' * E.SAMPLES}")]
+    got = E.near_members(spark.createDataFrame(rows, "key long, name binary, print string"), E.LEAST).collect()
+    names = {bytes(name): key for key, name, _ in rows}
+    assert {names[bytes(r.name)]: (r.near_class, r.near_rows) for r in got} == {k: (k - k % 2, 2) for k in range(20)}
+
+
+def test_links_of_equal_fingerprints(spark):
+    links = {(r.doc_id, r.leader) for r in E.near_links(spark.createDataFrame(_hot_rows(), "doc_id long, text string"), E.LEAST).collect()}
+    assert links == {(10 * i + 1, 10 * i) for i in range(12)} | {(501, 500)}
+
+
+def test_likeness_to_all_is_likeness():
+    prints = [E.text_fingerprint(_prose(k % 5, 40 + 30 * (k % 7))) for k in range(25)] + [E.text_fingerprint(""), E.text_fingerprint("a")]
+    scales, rows = E._parts(prints)
+    for i, p in enumerate(prints):
+        assert E._likeness_to(i, scales, rows).tolist() == pytest.approx([E.likeness(p, q) for q in prints])

@@ -19,8 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracekit.llm.components import components
+from tracekit.session import cut, scratch_path
+
 #: Samples per scale, samples per band, and the seed of walks and places.
 SAMPLES, BAND, SEED = 256, 8, 20240
+#: Likeness from which texts are near, and classes in a block of comparisons.
+LEAST, BLOCK = 0.8, 1024
 #: The random bits repeat after so many steps; characters fall into so many classes of bits.
 PERIOD, CLASSES = 4096, 256
 _CHUNK = 1 << 16
@@ -126,20 +131,124 @@ def bands_udf(a: pd.Series) -> pd.Series:
     return a.map(bands)
 
 
+def _parts(prints: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Scales, and for each fingerprint its samples at that scale and the next one."""
+    cut_up = [x.split(":") for x in prints]
+    rows = np.frombuffer("".join(x + y for _, x, y in cut_up).encode(), dtype=np.uint8).reshape(len(cut_up), 2, SAMPLES)
+    return np.array([int(x[0]) for x in cut_up]), rows
+
+
+def _likeness_to(i: int, scales: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``likeness`` of fingerprint ``i`` and all of them."""
+    out = np.zeros(len(scales))
+    for other, mine, theirs in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
+        at = np.flatnonzero(scales == scales[i] + other)
+        p, q = rows[i, mine], rows[at, theirs]
+        some = (q != ord(_PAD)) | (p != ord(_PAD))
+        n = some.sum(axis=1)
+        out[at] = np.where(n > 0, ((q == p) & some).sum(axis=1) / np.maximum(n, 1), 0.0)
+    out[(scales == scales[i]) & (rows == rows[i]).all(axis=(1, 2))] = 1.0
+    return out
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Links within buckets between classes that their leaders left in different components.
+
+    As in ``neardup``: all but a bucket's largest component ("strays") are held against all classes of other
+    components, in blocks of about ``BLOCK`` classes that are dealt to tasks. A block pair returns one link per
+    pair of components it joins.
+    """
+    rooted = buckets.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = main.select("band", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("strays"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("mains"))
+    rows = rooted.join(cut(main, "main"), "band").withColumn("stray", F.col("root") != F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("name", "band"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    with_strays = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("mixed")))
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("mixed")))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda j: F.struct(j.alias("i"), F.col("block").alias("j"), F.lit(True).alias("mixed")))
+    to = F.when(F.col("stray"), F.concat(with_strays, with_mains)).otherwise(of_main)
+    dealt = rows.join(classes.select("name", "print"), "name").select("band", "name", "root", "stray", "print", F.explode(to).alias("to"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        scales, samples = _parts(group["print"])
+        names, roots_, stray = group["name"].tolist(), group["root"].tolist(), group["stray"].tolist()
+        mixed = bool(group["mixed"].iloc[0])
+        out, joined = [], set()
+        for i in range(len(names)):
+            if mixed and not stray[i]:
+                continue
+            alike = _likeness_to(i, scales, samples)
+            for j in np.flatnonzero(alike >= least):
+                pair = (min(roots_[i], roots_[j]), max(roots_[i], roots_[j]))
+                if pair[0] != pair[1] and pair not in joined and not (mixed and stray[j]):
+                    joined.add(pair)
+                    out.append((max(names[i], names[j]), min(names[i], names[j]), float(alike[j])))
+        return pd.DataFrame(out, columns=["a", "b", "likeness"])
+
+    flat = dealt.select("band", "name", "root", "stray", "print", "to.*")
+    return flat.groupBy("band", "i", "j", "mixed").applyInPandas(compare, "a binary, b binary, likeness double").distinct()
+
+
+def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``name`` (digest of the text; null: empty) and ``print`` of every row."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("key"), F.unhex(F.md5(whole.cast("binary"))).alias("name"), fingerprint_udf(whole).alias("print"))
+
+
+def _classes_and_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (``name``, smallest ``key``, ``rows``, ``print``), links ``a``, ``b``, ``likeness`` of names, and roots."""
+    classes = cut(rows.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("print").alias("print")), "classes")
+    keyed = classes.select("name", F.explode(bands_udf("print")).alias("band")).select("name", F.xxhash64("band").alias("band"))
+    leaders = keyed.groupBy("band").agg(F.min("name").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a leader stays in its bucket: it may be left in another component than the others
+    buckets = cut(keyed.join(cut(leaders, "leaders"), "band"), "buckets")
+    pairs = buckets.where("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
+    one, two = (classes.select(F.col("name").alias(c), F.col("print").alias(f"print_{c}")) for c in ("a", "b"))
+    alike = pairs.join(one, "a").join(two, "b").select("a", "b", likeness_udf("print_a", "print_b").alias("likeness"))
+    links = cut(alike.where(F.col("likeness") >= least), "links")
+    roots = cut(components(links.select("a", "b")), "roots")
+    more = cut(_rest(buckets.drop("leader"), roots, classes, least), "more")
+    if more.limit(1).count():
+        links = links.union(more)
+        roots = cut(components(links.select("a", "b")), "roots")
+    return classes, links, roots
+
+
 def near_links(docs: DataFrame, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links ``key``, ``leader``, ``likeness`` between fingerprint classes that share a band and are alike.
+    """Links ``key``, ``leader``, ``likeness`` between texts that share a band and are alike.
 
-    Texts of equal fingerprints are one class, named by its smallest key, and are not linked among themselves. In each band bucket every class is held
-    against the smallest class name there, so a bucket of any size gives as many pairs as it has classes,
-    and verification keeps those of at least ``least``. Null texts are empty texts.
+    Equal texts are one class, named by its smallest key, and are not linked among themselves. In each band bucket every
+    class is first held against one leader; classes of a bucket that the leaders' links leave in different components are
+    then compared in blocks. So any two classes that share a band and have a likeness of at least ``least`` are
+    connected, if not always directly. Null texts are empty texts; ``near_members`` tells the class of every row.
     """
-    classes = docs.select(F.col(key).alias("name"), fingerprint_udf(F.col(text)).alias("print")).groupBy("print").agg(F.min("name").alias("name"))
-    keyed = classes.withColumn("band", F.explode(bands_udf("print")))
-    leaders = keyed.groupBy("band").agg(F.min(F.struct("name", "print")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keyed.join(leaders.select("band", "l"), "band").where("name <> l.name")
-    pairs = pairs.select("name", "print", F.col("l.name").alias("leader"), F.col("l.print").alias("leader_print")).distinct()
-    alike = pairs.withColumn("likeness", likeness_udf("print", "leader_print"))
-    return alike.where(F.col("likeness") >= least).select(F.col("name").alias(key), "leader", "likeness")
+    classes, links, _ = _classes_and_links(prints(docs, key, text), least)
+    one, two = classes.select(F.col("name").alias("a"), F.col("key").alias("key_a")), classes.select(F.col("name").alias("b"), F.col("key").alias("key_b"))
+    named = links.join(one, "a").join(two, "b")
+    return named.select(F.greatest("key_a", "key_b").alias(key), F.least("key_a", "key_b").alias("leader"), "likeness")
+
+
+def near_members(rows: DataFrame, least: float) -> DataFrame:
+    """``name``, ``near_class`` and ``near_rows`` of every text of ``prints``: texts connected by links are one class.
+
+    ``near_class`` is the smallest key of the class, ``near_rows`` the number of its rows, copies counted.
+    """
+    classes, _, roots = _classes_and_links(rows, least)
+    rooted = classes.select("name", "key", "rows").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    sums = rooted.groupBy("root").agg(F.min("key").alias("near_class"), F.sum("rows").alias("near_rows"))
+    return rooted.select("name", "root").join(cut(sums, "sums"), "root").select("name", "near_class", "near_rows")
+
+
+def with_classes(docs: DataFrame, least: float, slots: int | None = None) -> DataFrame:
+    """``compare_edited`` of all documents with ``near_class`` and ``near_rows``, see ``near_members``."""
+    edited = compare_edited(docs, slots)
+    path = scratch_path(docs.sparkSession, "edited")
+    edited.write.option("compression", "zstd").parquet(path)
+    edited = docs.sparkSession.read.schema(edited.schema).parquet(path)
+    members = cut(near_members(edited.select(F.col("doc_id").alias("key"), F.col("text_md5").alias("name"), F.col("fingerprint").alias("print")), least), "members")
+    joined = edited.join(members, edited["text_md5"] == members["name"])
+    return joined.select(*[c for c in edited.columns if c != "text_md5"], "near_class", "near_rows")
 
 
 def _bucket(order_key: Column, bounds: list[float], df: DataFrame) -> DataFrame:
@@ -177,7 +286,7 @@ def with_next(docs: DataFrame, slots: int) -> DataFrame:
 
 
 EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double, shared_bands int")
+          "near_edited double, near_next double, shared_bands int, text_md5 binary")
 
 
 def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
@@ -186,7 +295,7 @@ def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
     ``docs`` has doc_id and text (null: empty). Edited: the last third of the code points, rounded down, replaced by
     as many from the start of the next text in descending doc_id. The walk of the kept part is not repeated. Repeated
     rows each get a row; a single document is its own successor; an empty table gives no rows. ``shared_bands``
-    counts the bands that both fingerprints have.
+    counts the bands that both fingerprints have; ``text_md5`` is the digest of the whole text.
     """
     spark = docs.sparkSession
     slots = slots or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -198,7 +307,8 @@ def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
         edited_leave = np.concatenate([leave[:kept], walk(tail, int(leave[kept - 1]) if kept else 0)])
         edited = fingerprint(edited_leave, np.concatenate([codes[:kept], _codes(tail)]))
         digest = hashlib.sha256((text[:kept] + tail).encode("utf-8", "surrogatepass")).hexdigest()
-        return (doc_id, n, digest, own, edited, likeness(own, edited), likeness(own, next_print), len(set(bands(own)) & set(bands(edited))))
+        return (doc_id, n, digest, own, edited, likeness(own, edited), likeness(own, next_print), len(set(bands(own)) & set(bands(edited))),
+                hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_slot = None, None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, pagetext, repeats, restaurants, zipwarc
+from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, packing, pagetext, repeats, restaurants, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path, tidy
@@ -138,3 +138,9 @@ def op1(spark, sf):
 @query("op8_restaurants")
 def op8(spark, sf):
     return restaurants.score_corpus(plain(table(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query("op11_packing")
+def op11(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text")
+    return packing.pack(packing.pieces(docs).drop("ids"))

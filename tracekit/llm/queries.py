@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, packing, pagetext, repeats, restaurants, zipwarc
+from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, packing, pagetext, periodic, repeats, restaurants, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path, tidy
@@ -144,3 +144,29 @@ def op8(spark, sf):
 def op11(spark, sf):
     docs = plain(table(spark, sf, "documents"), "doc_id", "text")
     return packing.pack(packing.pieces(docs).drop("ids"))
+
+
+def _periodic_tail():
+    """The text, in a tenth of the documents (by checksum of doc_id) with a tail of words that repeats itself."""
+    return F.expr(r"""
+        case when text <> '' and crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 then
+          array_join(transform(
+            array(named_struct('w', regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 'g', crc32(cast(cast(doc_id as string) as binary)) div 10)),
+            x -> if(size(x.w) = 0, '', array_join(transform(x.w, (word, i) -> if(i < x.g % size(x.w), word,
+              element_at(x.w, cast(x.g % size(x.w) + (i - x.g % size(x.w)) % (1 + (size(x.w) - x.g % size(x.w)) div (3 + x.g % 8)) as int) + 1))), ' '))), '')
+        else text end""")
+
+
+@query("op12_periodic")
+def op12(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text").withColumn("text", whole_text())
+    found = periodic.find_runs(docs.select("doc_id", _periodic_tail().alias("text"))).drop("text")
+    # the longest run; of equal ones the first, then that of the smallest period, which is the order of the list
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    found = found.withColumn("best", longest)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.expr("best.length * 1000 div -best.less").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

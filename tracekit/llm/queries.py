@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, packing, pagetext, periodic, repeats, restaurants, zipwarc
+from tracekit.llm import bpe, editprint, forest, langid, mixing, neardup, packing, pagetext, periodic, repeats, restaurants, variants, zipwarc
 from tracekit.llm.common import plain, whole_text
 from tracekit.plans.registry import query, table
 from tracekit.session import cut, scratch_path, tidy
@@ -170,3 +172,22 @@ def op12(spark, sf):
         (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
         F.expr("best.length * 1000 div -best.less").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def lost_letter(key: bytes, words: list[bytes]) -> list[bytes]:
+    """One in 31 of a document's words, by checksum, without one of its letters."""
+    head, out = zlib.crc32(key + b":"), []
+    for word in words:
+        h = zlib.crc32(word, head)
+        if h % 31 == 0:
+            letters = word.decode("utf-8")
+            at = h % len(letters)
+            word = (letters[:at] + letters[at + 1 :]).encode("utf-8")
+        out.append(word)
+    return out
+
+
+@query("op13_variants")
+def op13(spark, sf):
+    docs = plain(table(spark, sf, "documents"), "doc_id", "text")
+    return variants.group_variants(variants.count_words(docs, change=lost_letter).where("n >= 2"))

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracekit.operators import nearest as N
 
@@ -73,7 +74,7 @@ def test_far_blocks_are_not_compared(spark):
     line = [[float(i), 0.0] for i in range(600)]
     rows = [(side, "", i // 20, i, 1, line[i], i) for side in (0, 1) for i in range(600)]
     df = spark.createDataFrame(rows, "side int, grp string, block bigint, vid bigint, n bigint, vec array<double>, id1 bigint")
-    packed = df.groupBy("side", "grp", "block").applyInPandas(N._pack, N.PACKED.format("bigint"))
+    packed = df.groupBy("side", "grp", "block").applyInPandas(N._packer("l2"), N.PACKED.format("bigint"))
     assert N._prune(packed, "l2", 1).count() <= 30 * 5  # of 900 possible pairs
 
 
@@ -134,3 +135,76 @@ def test_wide_vectors_stay_exact(offset):
     b[:5] = q[:5]
     _, d = N._closest("l2", q, b, 4)
     np.testing.assert_allclose(np.sort(d, axis=1), brute(q, b, 4, "l2"), rtol=1e-12, atol=0)
+
+
+def clustered(rng, n, width, clusters, spread=4.0, noise=0.3):
+    return (rng.normal(size=(clusters, width)) * spread)[rng.integers(0, clusters, n)] + rng.normal(size=(n, width)) * noise
+
+
+def formed(spark, monkeypatch, mat, metric, pivots, block_rows):
+    """Block pairs of a table with itself, with and without the pivot index, and all there are with it."""
+    if not pivots:
+        monkeypatch.setattr(N, "_pivots", lambda rows, metric: None)
+    df = frame(spark, mat).select("id", "vec", *N._vector_key())
+    both = df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit("").alias("grp"), "key1", "key2", "vec",
+                     F.col("id").alias("id0"), F.col("id").alias("id1"), F.lit(1).alias("n"))
+    placed, held = N._blocks(both, metric, block_rows)
+    monkeypatch.undo()
+    packed = N.cut(placed.groupBy("side", "grp", "block").applyInPandas(N._packer(metric, held), N.PACKED.format("bigint")), "blocks")
+    return N._prune(packed, metric, 4, len(held) if pivots else 0).count(), packed.where("side = 0").count() ** 2
+
+
+def test_pivots_form_under_a_third_of_the_pairs_that_boxes_form(spark, monkeypatch):
+    mat = clustered(np.random.default_rng(21), 6000, 64, 40)
+    boxes, every = formed(spark, monkeypatch, mat, "l2", False, 32)
+    pivots, _ = formed(spark, monkeypatch, mat, "l2", True, 32)
+    assert 3 * pivots < boxes < every
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("supers", [256, 3])
+@pytest.mark.parametrize("self_join", [False, True])
+def test_wide_clusters_with_duplicates_and_ties(spark, monkeypatch, metric, supers, self_join):
+    monkeypatch.setattr(N, "SUPERS", supers)
+    rng = np.random.default_rng(22)
+    b = np.round(clustered(rng, 500, 12, 9, 3.0, 0.4), 1)
+    b[100:260] = b[3]  # a third of the rows are one vector
+    a = b if self_join else np.concatenate([np.round(clustered(rng, 110, 12, 9, 3.0, 0.4), 1), b[:40]])
+    rows = frame(spark, a), frame(spark, b, 0 if self_join else 100_000)
+    got = N.nearest(*rows, k=3, metric=metric, exclude_self=self_join, block_rows=16)
+    np.testing.assert_allclose(collected(got, len(a), 3), brute(a, b, 3, metric, self_join), atol=1e-9)
+
+
+@pytest.mark.parametrize("width", [2, 16])
+def test_declared_metric_is_exact_and_pruned(spark, monkeypatch, width):
+    chebyshev = lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).max(-1)
+    rng = np.random.default_rng(23)
+    a = np.round(clustered(rng, 700, width, 25, 6.0, 0.3), 1)
+    a[50:90] = a[0]
+    ids = list(range(len(a)))
+    df = frame(spark, a)
+    got = {}
+    for r in N.nearest(df, df, k=3, metric=N.Metric(chebyshev), exclude_self=True, block_rows=16).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.ref_id)
+    d = chebyshev(a, a)
+    for i in ids:
+        assert got[i] == sorted((j for j in ids if j != i), key=lambda j: (d[i, j], j))[:3]
+    pairs, every = formed(spark, monkeypatch, a, N.Metric(chebyshev), True, 16)
+    assert pairs < every / 3
+
+
+def test_groups_of_wide_vectors_and_few_rows(spark):
+    rng = np.random.default_rng(24)
+    a, b = rng.normal(size=(60, 10)), rng.normal(size=(90, 10))
+    ga, gb = ["x" if i % 10 else "y" for i in range(60)], ["x" if i % 30 else "y" for i in range(90)]
+    got = N.nearest(frame(spark, a, group=ga), frame(spark, b, 100_000, gb), k=5, group="g", block_rows=8)
+    want = brute(a, b, 5, "l2", ga=ga, gb=gb)  # group y has three references only
+    np.testing.assert_allclose(collected(got, 60, 5), want, atol=1e-9)
+    assert N.nearest(frame(spark, a).limit(0), frame(spark, b), k=2).count() == 0
+    assert N.nearest(frame(spark, a), frame(spark, b).limit(0), k=2).count() == 0
+
+
+def test_far_apart_rows():
+    rows = np.array([[0.0], [1.0], [10.0], [10.0], [4.0]])
+    assert N.far_apart("l2", rows, 9).ravel().tolist() == [10.0, 0.0, 4.0, 1.0]
+    assert len(N.far_apart("l2", rows[:0], 3)) == 0

@@ -6,6 +6,13 @@ costs one comparison. The distinct vectors are sorted along a space-filling
 curve and cut into blocks of fixed size, each with a bounding box. Block pairs
 that cannot hold a neighbour are never formed. A query block reads the others
 in order of their lower bound and stops at its true k-th distances.
+
+Wide vectors and declared metrics use a pivot index. Rows are dealt by the nearest
+of some far-apart centres instead of the curve, and a block also knows its least and
+largest distance to each pivot: by the triangle inequality, two blocks whose rings
+around a pivot are far apart are far apart themselves. Each query block first meets
+its two most promising blocks, and its true k-th distances there decide which other
+pairs are formed.
 ``approximate`` trades exactness for buckets of random projections.
 """
 
@@ -28,15 +35,59 @@ SUPERS = 256  # least number of outer boxes per side and group
 CURVE_DIMS = 8
 CURVE_BITS = 7
 NEAR_QUERIES = 64  # query blocks that share one copy of their group's outer boxes
+PIVOTS = 32  # rings that a block keeps
+CENTRES = 256  # most cells by which wide vectors are dealt
+CELL_BLOCKS = 2  # least number of full blocks to a cell, on average
+SAMPLE_VALUES = 1 << 20  # values of the vectors among which centres are looked for
+MET_FIRST = 2  # blocks that give a query block its first true distances
+SLACK = 1e-12  # rounding of distances to pivots, relative to them
+
+
+class Metric:
+    """A function of two numpy matrices (all rows to all rows) that is declared to be a metric.
+
+    It must be symmetric and obey the triangle inequality, which is what pivots prune by; a plain function
+    may be anything, so all block pairs are compared then.
+    """
 
+    def __init__(self, distances):
+        self.distances = distances
 
-def _gap(metric: str, qlo, qhi, rlo, rhi) -> tuple[np.ndarray, np.ndarray]:
-    """(lower, upper) distance between one box and many boxes."""
-    low = np.maximum(0.0, np.maximum(qlo - rhi, rlo - qhi))
-    high = np.maximum(np.abs(qhi - rlo), np.abs(rhi - qlo))
-    if metric == "l1":
-        return low.sum(axis=-1), high.sum(axis=-1)
-    return np.sqrt((low * low).sum(axis=-1)), np.sqrt((high * high).sum(axis=-1))
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.distances(a, b)
+
+
+def _gap(metric, qlo, qhi, rlo, rhi, rings: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) distance between one box and many boxes, whose last ``rings`` sides are distances to pivots."""
+    cut_at = qlo.shape[-1] - rings
+    if cut_at:
+        (a, b), (c, d) = ([x[..., :cut_at] for x in side] for side in ((qlo, qhi), (rlo, rhi)))
+        low = np.maximum(0.0, np.maximum(a - d, c - b))
+        high = np.maximum(np.abs(b - c), np.abs(d - a))
+        if metric == "l1":
+            low, high = low.sum(axis=-1), high.sum(axis=-1)
+        else:
+            low, high = np.sqrt((low * low).sum(axis=-1)), np.sqrt((high * high).sum(axis=-1))
+    else:
+        low, high = 0.0, np.inf
+    if rings:
+        (a, b), (c, d) = ([x[..., cut_at:] for x in side] for side in ((qlo, qhi), (rlo, rhi)))
+        apart = (np.maximum(a - d, c - b) - SLACK * (b + d)).max(axis=-1)
+        low = np.maximum(low, apart)
+        high = np.minimum(high, ((b + d) * (1 + SLACK)).min(axis=-1))
+    return low, high
+
+
+def far_apart(metric, rows: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` different rows, each the farthest from those before it; the first is the farthest from the first row."""
+    if not len(rows):
+        return rows
+    chosen = [int(_distances(metric, rows[:1], rows)[0].argmax())]
+    near = _distances(metric, rows[chosen[:1]], rows)[0]
+    while len(chosen) < n and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, _distances(metric, rows[chosen[-1:]], rows)[0])
+    return rows[chosen]
 
 
 def _distances(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,22 +163,78 @@ def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.withColumn("_z", morton("vec"))
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per block: its matrix, its keys in order of the reference ids, and its bounding box."""
-    pdf = pdf.sort_values("id1", kind="stable")
-    mat = np.stack(pdf["vec"].to_list()).astype(np.float64)
-    return pd.DataFrame({
-        "side": [pdf["side"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "block": [pdf["block"].iloc[0]],
-        "vids": [pdf["vid"].to_numpy()], "first": [pdf["id1"].to_list()], "width": [mat.shape[1]],
-        "mat": [mat.tobytes()], "lo": [mat.min(axis=0)], "hi": [mat.max(axis=0)], "weight": [int(pdf["n"].sum())],
-    })
+def _pivots(rows: DataFrame, metric) -> np.ndarray | None:
+    """Far-apart vectors of a bounded sample of the table; none for narrow vectors, whose boxes prune better."""
+    width = (rows.select(F.size("vec").alias("w")).first() or [0])[0]
+    if width <= CURVE_DIMS and not isinstance(metric, Metric):
+        return None
+    sample = rows.select("vec").orderBy("key1", "key2").limit(max(CENTRES, SAMPLE_VALUES // max(width, 1))).collect()
+    return far_apart(metric, np.array([r["vec"] for r in sample], dtype=np.float64).reshape(len(sample), -1), CENTRES)
+
+
+def _cells(df: DataFrame, metric, centres: np.ndarray) -> DataFrame:
+    """Add ``_z``: the cell of the nearest centre, cells of one pivot side by side, and in a cell the distance to its centre."""
+    place = np.zeros(len(centres), dtype=np.int64)
+    if len(centres):
+        home = _distances(metric, centres, centres[:PIVOTS]).argmin(axis=1)
+        place[np.argsort(home, kind="stable")] = np.arange(len(centres))
+
+    @F.pandas_udf("bigint")
+    def cell(vecs: pd.Series) -> pd.Series:
+        if not len(vecs):
+            return pd.Series([], dtype="int64")
+        x = np.stack(vecs.to_list())
+        if metric == "l2":  # the order may be off by rounding: it only decides who shares a block
+            away = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)))
+        else:
+            away = _distances(metric, x, centres)
+        near = away.argmin(axis=1)
+        ring = away[np.arange(len(x)), near].astype(np.float32).view(np.int32).astype(np.int64)  # orders like the float
+        return pd.Series((place[near] << 32) | ring)
+
+    return df.withColumn("_z", cell("vec"))
+
+
+def _blocks(both: DataFrame, metric, block_rows: int) -> tuple[DataFrame, np.ndarray | None]:
+    """The vectors in sorted order with ``vid``, their place, and ``block``, a run of places; and the pivots, if any.
+
+    With pivots a block ends where a cell ends as well: a block across two clusters would have to look far.
+    """
+    pivots = _pivots(both, metric)
+    if pivots is None:
+        keyed, cell = _curve(both, both), F.lit(0)
+    else:
+        keyed = _cells(both, metric, pivots[: max(1, both.count() // (CELL_BLOCKS * block_rows))])
+        cell = F.shiftright("_z", 32)
+    placed = arrange(keyed, ["_z", "id0", "id1"], ["side", "grp"])
+    # the sort position is a compact key for the distinct vectors; places and cells both grow along the order
+    local = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows) + cell
+    placed = placed.withColumn("block", F.shiftleft(F.col("_bucket").cast("bigint"), 32).bitwiseOR(local)).withColumnRenamed("_at", "vid")
+    return placed, None if pivots is None or not len(pivots) else pivots[:PIVOTS]
+
+
+def _packer(metric, pivots: np.ndarray | None = None):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row per block: its matrix, its keys in order of the reference ids, its bounding box and its rings."""
+        pdf = pdf.sort_values("id1", kind="stable")
+        mat = np.stack(pdf["vec"].to_list()).astype(np.float64)
+        sides = mat[:, :0] if callable(metric) else mat
+        if pivots is not None:
+            sides = np.concatenate([sides, _distances(metric, mat, pivots)], axis=1)
+        return pd.DataFrame({
+            "side": [pdf["side"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "block": [pdf["block"].iloc[0]],
+            "vids": [pdf["vid"].to_numpy()], "first": [pdf["id1"].to_list()], "width": [mat.shape[1]],
+            "mat": [mat.tobytes()], "lo": [sides.min(axis=0)], "hi": [sides.max(axis=0)], "weight": [int(pdf["n"].sum())],
+        })
+
+    return pack
 
 
 PACKED = ("side int, grp string, block bigint, vids array<bigint>, first array<{}>, width int, mat binary, "
           "lo array<double>, hi array<double>, weight bigint")
 
 
-def _candidates(metric: str, need: int):
+def _candidates(metric, need: int, rings: int):
     """Per query block: outer reference boxes that may hold a neighbour, and the bound that says so."""
 
     def run(batches):
@@ -137,24 +244,25 @@ def _candidates(metric: str, need: int):
                 d = len(r.qlo)
                 lo = np.frombuffer(r.slo, dtype=np.float64).reshape(-1, d)
                 hi = np.frombuffer(r.shi, dtype=np.float64).reshape(-1, d)
-                low, high = _gap(metric, np.asarray(r.qlo), np.asarray(r.qhi), lo, hi)
+                low, high = _gap(metric, np.asarray(r.qlo), np.asarray(r.qhi), lo, hi, rings)
                 weight = np.asarray(r.sweight)
                 order = np.argsort(high, kind="stable")
                 enough = np.cumsum(weight[order]) >= need
                 tau = high[order][np.argmax(enough)] if enough.any() else np.inf
                 for i in np.nonzero(low <= tau)[0]:
                     out.append((r.grp, r.qblock, r.qlo, r.qhi, int(r.sids[i]), float(tau)))
-            yield pd.DataFrame(out, columns=["grp", "qblock", "qlo", "qhi", "sup", "tau"])
+            if out:
+                yield pd.DataFrame(out, columns=["grp", "qblock", "qlo", "qhi", "sup", "tau"])
 
     return run
 
 
-def _pair_bounds(metric: str):
+def _pair_bounds(metric, rings: int):
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            low, high = _gap(metric, np.stack(pdf["qlo"]), np.stack(pdf["qhi"]), np.stack(pdf["lo"]), np.stack(pdf["hi"]))
+            low, high = _gap(metric, np.stack(pdf["qlo"]), np.stack(pdf["qhi"]), np.stack(pdf["lo"]), np.stack(pdf["hi"]), rings)
             keep = pdf.assign(low=low, high=high)[["grp", "qblock", "rblock", "weight", "tau", "low", "high"]]
             yield keep[keep["low"] <= keep["tau"]]
 
@@ -169,6 +277,7 @@ class _Running:
 
     def __init__(self, metric, take: int, r):
         self.metric, self.take, self.vids = metric, take, np.asarray(r.vids)
+        self.grp, self.qblock = getattr(r, "grp", None), getattr(r, "qblock", None)
         self.q = np.frombuffer(r.mat, dtype=np.float64).reshape(-1, r.width)
         self.dist = self.first = self.rvids = None
         self.blocks = 0
@@ -190,12 +299,14 @@ class _Running:
         self.dist, self.first, self.rvids = near, first, rvids
 
     def rows(self) -> pd.DataFrame:
-        if self.dist is None:
-            return pd.DataFrame({"qvid": [], "rvid": [], "distance": []})
         return pd.DataFrame({"qvid": np.repeat(self.vids, self.dist.shape[1]), "rvid": self.rvids.ravel(), "distance": self.dist.ravel()})
 
+    def reach(self) -> pd.DataFrame:
+        """How far the block has to look, if the blocks it met hold enough rows."""
+        return pd.DataFrame({"grp": [self.grp], "qblock": [self.qblock], "reach": [float(self.dist[:, -1].max())]})
+
 
-def _stream(metric, take: int):
+def _stream(metric, take: int, result=_Running.rows):
     """Rows of a query block: first the block, then the reference blocks by lower bound."""
 
     def run(batches):
@@ -203,17 +314,25 @@ def _stream(metric, take: int):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.low < 0:
-                    if now is not None:
-                        yield now.rows()
+                    if now is not None and now.blocks:
+                        yield result(now)
                     now = _Running(metric, take, r)
                 else:
                     now.meet(r)
-        if now is not None:
-            yield now.rows()
+        if now is not None and now.blocks:
+            yield result(now)
 
     return run
 
 
+def _laid(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every query block followed by the reference blocks it is paired with, by lower bound."""
+    wanted = pairs.join(blocks.where("side = 1").withColumnRenamed("block", "rblock"), ["grp", "rblock"])
+    columns = ["grp", "qblock", "low", "vids", "first", "width", "mat"]
+    asking = blocks.where("side = 0").withColumnRenamed("block", "qblock").withColumn("low", F.lit(-1.0))
+    return asking.select(columns).unionByName(wanted.select(columns)).repartition("grp", "qblock").sortWithinPartitions("grp", "qblock", "low")
+
+
 def _vector_key(vec: str = "vec") -> list[Column]:
     """Two hashes of a vector, 96 bits: joins and groups by them never carry the vector."""
     return [F.xxhash64(vec).alias("key1"), F.hash(vec).alias("key2")]
@@ -261,8 +380,8 @@ def nearest(
 ) -> DataFrame:
     """([group,] id, rank, ref_id, distance) for rows (id, vec[, group]); ranks 1..k by distance, ties by ref_id.
 
-    ``metric`` is "l1", "l2" or a function of two numpy matrices (then nothing is
-    pruned). With ``exclude_self`` both sides are the same table and a row is not
+    ``metric`` is "l1", "l2", a ``Metric`` (pruned by pivots) or any function of two numpy matrices (then nothing
+    is pruned). With ``exclude_self`` both sides are the same table and a row is not
     its own neighbour, but an identical other row is. ``group`` restricts
     neighbours to the same group.
     """
@@ -275,30 +394,22 @@ def nearest(
                     none(r.schema["ids"].dataType).alias("ids"), F.lit(1).alias("n")).select(columns)
     both = both.unionByName(r.select(F.lit(1).alias("side"), "grp", "key1", "key2", "vec", none(types["id0"]).alias("id0"),
                                      F.col("ids")[0].alias("id1"), "ids", F.size("ids").alias("n")))
-    raw = sides[0].select("vec").unionByName(sides[1].select("vec"))
-    placed = arrange(_curve(both, raw), ["_z", "id0", "id1"], ["side", "grp"])
-    # the sort position is a compact key for the distinct vectors; a block is a run of positions
-    local = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
-    placed = placed.withColumn("block", F.shiftleft(F.col("_bucket").cast("bigint"), 32).bitwiseOR(local)).withColumnRenamed("_at", "vid")
+    placed, pivots = _blocks(cut(both, "vectors"), metric, block_rows)
 
     # dates and decimals are compared as the text that sorts like them
     plain = types["id1"].simpleString() in ("tinyint", "smallint", "int", "bigint", "double", "float", "string")
     ordered = placed.select("side", "grp", "block", "vid", "vec", "n", F.col("id1") if plain else F.col("id1").cast("string").alias("id1"))
     schema = PACKED.format(ordered.schema["id1"].dataType.simpleString())
-    packed = cut(ordered.groupBy("side", "grp", "block").applyInPandas(_pack, schema), "blocks")
-    pairs = _prune(packed, metric if metric in ("l1", "l2") else None, need)
+    packed = cut(ordered.groupBy("side", "grp", "block").applyInPandas(_packer(metric, pivots), schema), "blocks")
+    pairs = _prune(packed, None if callable(metric) and not isinstance(metric, Metric) else metric, need, 0 if pivots is None else len(pivots))
     blocks = packed.select("side", "grp", "block", "vids", "first", "width", "mat")
-    wanted = pairs.join(blocks.where("side = 1").withColumnRenamed("block", "rblock"), ["grp", "rblock"])
-    columns = ["grp", "qblock", "low", "vids", "first", "width", "mat"]
-    asking = blocks.where("side = 0").withColumnRenamed("block", "qblock").withColumn("low", F.lit(-1.0))
-    laid = asking.select(columns).unionByName(wanted.select(columns)).repartition("grp", "qblock").sortWithinPartitions("grp", "qblock", "low")
-    found = laid.mapInPandas(_stream(metric, need), FOUND)
+    found = _laid(blocks, pairs).mapInPandas(_stream(metric, need), FOUND)
     per_vector = _answers(found, placed.where("side = 1").select(F.col("vid").alias("rvid"), "ids"), need)
     keys = placed.where("side = 0").select(F.col("vid").alias("qvid"), "grp", "key1", "key2")
     return _ranked(sides[0], keys.join(per_vector, "qvid").drop("qvid"), k, exclude_self, group)
 
 
-def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
+def _prune(packed: DataFrame, metric, need: int, rings: int = 0) -> DataFrame:
     """(grp, qblock, rblock, low): block pairs that can contribute to the ``need`` nearest rows, with their lower bound."""
     boxes = packed.select("side", "grp", "block", "lo", "hi", "weight")
     qs = boxes.where("side = 0").select("grp", F.col("block").alias("qblock"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
@@ -306,7 +417,7 @@ def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
     bucket, local = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
     n_blocks, buckets, longest = rs.agg(F.count(F.lit(1)), F.max(bucket) + 1, F.max(local) + 1).first()
     if metric is None:
-        # a custom distance has no box bounds: every block pair of the group is needed
+        # a distance that may be anything has no bounds: every block pair of the group is needed
         return qs.select("grp", "qblock").join(rs.select("grp", F.col("block").alias("rblock")), "grp").withColumn("low", F.lit(0.0))
     # outer boxes are runs of blocks, as many as each then holds; with few blocks every block is its own
     few = (n_blocks or 0) <= SUPERS
@@ -336,15 +447,24 @@ def _prune(packed: DataFrame, metric: str | None, need: int) -> DataFrame:
     qs = qs.withColumn("run", F.floor(F.col("qblock") / NEAR_QUERIES))
     tops = qs.select("grp", "run").distinct().join(tops, "grp")
     near = qs.join(tops, ["grp", "run"]).mapInPandas(
-        _candidates(metric, need),
+        _candidates(metric, need, rings),
         "grp string, qblock bigint, qlo array<double>, qhi array<double>, sup bigint, tau double")
     inside = rs.select("grp", "sup", F.col("block").alias("rblock"), "lo", "hi", "weight")
     bounded = near.join(inside, ["grp", "sup"]).mapInPandas(
-        _pair_bounds(metric), "grp string, qblock bigint, rblock bigint, weight bigint, tau double, low double, high double")
+        _pair_bounds(metric, rings), "grp string, qblock bigint, rblock bigint, weight bigint, tau double, low double, high double")
     bounded = cut(bounded, "pairs")
-    tight = bounded.where(F.col("weight") >= need).groupBy("grp", "qblock").agg(F.min("high").alias("best"))
-    return bounded.join(tight, ["grp", "qblock"], "left").where(
-        F.col("low") <= F.least(F.col("tau"), F.coalesce("best", F.col("tau")))).select("grp", "qblock", "rblock", "low")
+    enough = bounded.where(F.col("weight") >= need)
+    tight = enough.groupBy("grp", "qblock").agg(F.min("high").alias("best"))
+    limit = F.least(F.col("tau"), F.coalesce("best", F.col("tau")))
+    if rings:
+        order = Window.partitionBy("grp", "qblock").orderBy("high", "rblock")
+        first = enough.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= MET_FIRST).select("grp", "rblock", "qblock", "low")
+        first = _laid(packed.select("side", "grp", "block", "vids", "first", "width", "mat"), first)
+        reach = first.mapInPandas(_stream(metric, need, _Running.reach), "grp string, qblock bigint, reach double")
+        tight = tight.join(cut(reach, "reach"), ["grp", "qblock"], "left")
+        # bounds and distances are rounded differently: a hair of slack keeps ties in
+        limit = F.least(limit, F.coalesce(F.col("reach") * (1 + 1e-9), limit))
+    return bounded.join(tight, ["grp", "qblock"], "left").where(F.col("low") <= limit).select("grp", "qblock", "rblock", "low")
 
 
 def approximate(

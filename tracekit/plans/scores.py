@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracekit.operators import fidelity as M
 from tracekit.operators import privacy as V
-from tracekit.operators.nearest import nearest
+from tracekit.operators.nearest import Metric, nearest
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
 from tracekit.roles import RoleSpec
@@ -313,6 +314,26 @@ def j6_duplicates(spark, sf):
     return _round(nearest(rows, rows, k=3, exclude_self=True), "distance")
 
 
+def _chebyshev(a, b):
+    """Largest difference in any dimension, of all rows of one matrix to all rows of another."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        np.maximum(out, np.abs(a[:, j, None] - b[None, :, j]), out=out)
+    return out
+
+
+CHEB = "list_max([abs(a.v[i] - b.v[i]) for i in range(1, 65)])"
+
+
+@query("x2_custom_metric", f"""with {EMB}, twice as (select id, v, half from e union all select id + 1000000, v, half from e where id % 5 = 0),
+d as (select a.id, b.id as ref_id, {CHEB} as d from twice a, twice b where a.half = 0 and b.half = 1)
+select id, rank, ref_id, round(d, 6) as distance from (select *, row_number() over (partition by id order by d, ref_id) as rank from d) where rank <= 3""")
+def x2(spark, sf):
+    """Every fifth vector is there twice, so nearest rows are tied; the distance is declared a metric and pruned by pivots."""
+    sides = [d.select("id", "vec").unionByName(d.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), "vec")) for d in _emb(spark, sf)]
+    return _round(nearest(sides[1], sides[0], k=3, metric=Metric(_chebyshev)), "distance")
+
+
 V1_SQL = f"select a.id, round(min({L1}), 6) as distance from sy a, rl b group by a.id"
 
 

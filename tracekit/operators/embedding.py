@@ -76,23 +76,71 @@ def n_components(columns: int) -> int:
     return max(5, math.ceil(math.sqrt(columns)))
 
 
-def fit_svd(df: DataFrame, vec: str, k: int | None = None) -> np.ndarray:
-    """Right singular vectors [columns, k] of the uncentred feature matrix; only the Gram matrix is gathered."""
-    width = len(df.select(vec).first()[0])
+OVERSAMPLED = 10  # directions beyond those wanted
+POWER_PASSES = (2, 12)  # least and most
+GROWTH = 1e-3  # further passes add less than this share of the squared length kept
 
-    def gram(batches):
-        total = np.zeros((width, width))
+
+def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """A'A times a block of directions in one scan: partitions send columns x directions sums, never columns x columns."""
+    shape = block.shape
+
+    def part(batches):
+        total = np.zeros(shape)
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_list())
-                total += x.T @ x
-        yield pd.DataFrame({"at": range(width * width), "x": total.ravel()})
-
-    # one matrix of columns squared per partition, added up by entry
-    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(gram, "at int, x double")
-    summed = parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()["x"].to_numpy()
-    _, directions = np.linalg.eigh(summed.reshape(width, width))
-    return directions[:, ::-1][:, : min(k or n_components(width), width)]
+                total += x.T @ (x @ block)
+        yield pd.DataFrame({"at": range(total.size), "x": total.ravel()})
+
+    summed = rows.mapInPandas(part, "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    out = np.zeros(block.size)
+    for r in summed.collect():  # columns x directions values
+        out[r["at"]] = r["x"]
+    return out.reshape(shape)
+
+
+def fit_svd(df: DataFrame, vec: str, k: int | None = None, seed: int = 0) -> np.ndarray:
+    """Right singular vectors [columns, k] of the uncentred feature matrix, largest first, by a randomised range finder.
+
+    A random block of k + 10 directions goes through A'A again and again, each time followed by a small QR: two
+    power passes at least, more while the squared length that the best k directions of the span keep still grows. What A'A
+    does within the span is solved exactly. A pass is one scan that adds up columns x (k + 10) numbers. With as many
+    directions as columns the result is exact after one. An empty table has no directions: shape (0, 0).
+    """
+    rows = df.select(F.col(vec).cast("array<double>").alias("v"))
+    first = rows.first()
+    if first is None:
+        return np.zeros((0, 0))
+    width = len(first[0])
+    k = min(k or n_components(width), width)
+    span = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(k + OVERSAMPLED, width))))[0]
+    least, most = POWER_PASSES if span.shape[1] < width else (0, 0)
+    kept = 0.0
+    for done in range(most + 1):
+        image = _gram_times(rows, span)
+        inner = span.T @ image
+        values, turned = np.linalg.eigh((inner + inner.T) / 2)
+        before, kept = kept, values[-k:].sum()
+        if done == most or done >= least and kept <= before * (1 + GROWTH):
+            break
+        span = np.linalg.qr(image)[0]
+    return span @ turned[:, ::-1][:, :k]
+
+
+def reduce_widths(fitted: DataFrame, others: Sequence[DataFrame], vec: str = "vec", max_col_nums: int | None = 50,
+                  directions: np.ndarray | None = None) -> list[DataFrame]:
+    """All tables with ``vec`` projected, if it has ``max_col_nums`` dimensions or directions are given; else as they are.
+
+    Directions are fitted on the first table alone: max(5, root of the dimensions) of them.
+    """
+    tables = [fitted, *others]
+    if directions is None:
+        first = fitted.select(vec).first() if max_col_nums is not None else None
+        if first is None or len(first[0]) < max_col_nums:
+            return tables
+        directions = fit_svd(fitted, vec)
+    return [project(d, vec, directions, vec) for d in tables]
 
 
 def project(df: DataFrame, vec: str, v: np.ndarray, name: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.operators.clean import duplicate_rate
+from tracekit.operators.embedding import reduce_widths
 from tracekit.operators.encoders import fit_choices, fit_moments, fit_ranges, normalize, one_hot, standardize
 from tracekit.operators.nearest import nearest
 from tracekit.operators.ordered import arrange, exact_quantiles, running
@@ -84,12 +87,17 @@ def six_numbers(
 
 # ---- sensitivity ------------------------------------------------------------------------
 
-def minima(original: DataFrame, synthetic: DataFrame, test: DataFrame, metric="l1", by: str | None = None) -> DataFrame:
+def minima(
+    original: DataFrame, synthetic: DataFrame, test: DataFrame, metric="l1", by: str | None = None, max_col_nums: int | None = 50,
+    directions: np.ndarray | None = None,
+) -> DataFrame:
     """(by, kind, distance): closest distances of originals to test and synthetic rows, and back.
 
-    Originals that have an exact copy in both other tables are left out.
+    Originals that have an exact copy in both other tables are left out. Vectors of ``max_col_nums`` dimensions or more
+    are first projected on the leading directions of the originals (None: never), or on ``directions`` if given.
     """
     keys = [by] if by else []
+    original, synthetic, test = reduce_widths(original, [synthetic, test], "vec", max_col_nums, directions)
     # the four directions are four groups of one nearest-neighbour join
     queries, refs = None, None
     for way, a, b in (("to test", original, test), ("to synthetic", original, synthetic),
@@ -104,13 +112,17 @@ def minima(original: DataFrame, synthetic: DataFrame, test: DataFrame, metric="l
         found = found.withColumn(by, F.get(F.split("way", r"\|"), 0))
     back = found.where(F.col("_dir").startswith("from")).select(
         *keys, F.element_at(F.split("_dir", " "), -1).alias("kind"), "distance")
-    rows = found.where(F.col("_dir").startswith("to")).groupBy(*keys, "id").agg(
-        F.max(F.when(F.col("_dir") == "to test", F.col("distance"))).alias("t"),
-        F.max(F.when(F.col("_dir") == "to synthetic", F.col("distance"))).alias("s"))
+    there = found.where(F.col("_dir").startswith("to")).select(*keys, "id", F.element_at(F.split("_dir", " "), -1).alias("kind"), "distance")
+    return _both_ways(there, back, keys)
+
+
+def _both_ways(there: DataFrame, back: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distances from originals (keys, id, kind, distance), but for those that are 0 both ways, and back to them."""
+    rows = there.groupBy(*keys, "id").agg(*[F.max(F.when(F.col("kind") == k, F.col("distance"))).alias(k[0]) for k in ("test", "synthetic")])
     there = rows.where((F.col("t") != 0) | (F.col("s") != 0)).select(*keys, F.inline(F.array(
         F.struct(F.lit("test").alias("kind"), F.col("t").alias("distance")),
         F.struct(F.lit("synthetic").alias("kind"), F.col("s").alias("distance")))))
-    return there.unionByName(back)
+    return there.unionByName(back.select(*keys, "kind", "distance"))
 
 
 def _share_below(values: DataFrame, limits: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -165,14 +177,96 @@ def sensitivity_settings(
     return {"frac": frac, "duplicate_rate": rate, "qt_max": qt_max, "qt_interval": qt_interval}
 
 
+#: Which roles a row looks for the nearest row of, by its own.
+SOUGHT = {"original": ("test", "synthetic"), "test": ("original",), "synthetic": ("original",)}
+DEEPEST = 1024  # entries of a neighbour list; rarer roles are searched for among their own rows
+
+
+def _first_of_role(rounds: int):
+    """Per row and round the first list entry of each role it looks for; a null distance if the list has none."""
+    letters = {role[0]: [want[0] for want in wants] for role, wants in SOUGHT.items()}
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for row, own, distances, held in zip(pdf["id"], pdf["flags"], pdf["distances"], pdf["held"]):
+                mine = np.frombuffer(own.encode(), dtype="S1")
+                theirs = np.frombuffer("".join(held).encode(), dtype="S1").reshape(-1, rounds) if held is not None else np.zeros((0, rounds), dtype="S1")
+                for role, wants in letters.items():
+                    at = np.flatnonzero(mine == role.encode())
+                    for want in wants if len(at) else ():
+                        hit = theirs[:, at] == want.encode()
+                        near = np.full(len(at), np.nan)
+                        if len(theirs):
+                            some = hit.any(axis=0)
+                            near[some] = np.asarray(distances, dtype=np.float64)[hit.argmax(axis=0)[some]]
+                        parts.append(pd.DataFrame({"id": [row] * len(at), "round": at.astype(np.int32), "role": role, "want": want, "distance": near}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return run
+
+
+def round_minima(vectors: DataFrame, roles: DataFrame, rounds: int, metric="l1", depth: int = 32) -> DataFrame:
+    """(round, kind, distance) as ``minima`` gives it per round, for rows (id, vec) that play a role (id, round, role) in it.
+
+    Every row gets one list of its ``depth`` nearest rows, whatever their role. A round only looks up who plays
+    which role: the first entry of the wanted role is the closest. Rows whose list holds none for some round get one that is
+    eight times as long, and roles so rare that ``DEEPEST`` entries hold none are searched for among their own rows. So
+    the number of searches does not depend on the number of rounds. A role that nobody plays in a round gives no distances.
+    """
+    letter = F.map_from_entries(F.collect_list(F.struct("round", F.substring("role", 1, 1))))
+    flags = roles.groupBy("id").agg(letter.alias("by_round"))
+    flags = cut(flags.select("id", F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.coalesce(F.element_at("by_round", r), F.lit("-"))), "").alias("flags")), "flags")
+    pool = cut(vectors.select("id", "vec").join(flags, "id"), "pool")
+    kind = pool.schema["id"].dataType.simpleString()
+    held = pool.select(F.col("id").alias("ref_id"), F.col("flags").alias("held"))
+    asking, left, done = pool, None, None
+    while True:
+        near = nearest(asking.select("id", "vec"), pool.select("id", "vec"), k=depth, metric=metric, exclude_self=True)
+        lists = near.join(held, "ref_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "held"))).alias("near"))
+        lists = asking.select("id", "flags").join(lists, "id", "left").select("id", "flags", F.col("near.distance").alias("distances"), F.col("near.held").alias("held"))
+        found = lists.mapInPandas(_first_of_role(rounds), f"id {kind}, round int, role string, want string, distance double")
+        found = found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+        if left is not None:
+            found = found.join(left.select("id", "round", "want"), ["id", "round", "want"], "left_semi").select(*found.columns)
+        found = cut(found, "lists")
+        left = found.where("distance is null")
+        known = found.where("distance is not null")
+        done = known if done is None else done.unionByName(known)
+        if left.isEmpty():
+            break
+        if depth >= DEEPEST:
+            way = F.concat_ws("|", "round", "want").alias("way")
+            queries = left.join(pool.select("id", "vec"), "id").select("id", "vec", way)
+            plays = roles.select("id", "round", F.substring("role", 1, 1).alias("want")).select("id", way)
+            refs = plays.join(queries.select("way").distinct(), "way", "left_semi").join(pool.select("id", "vec"), "id").select("id", "vec", "way")
+            rare = nearest(queries, refs, k=1, metric=metric, group="way").select("id", "way", "distance")
+            done = done.unionByName(left.drop("distance").withColumn("way", way).join(cut(rare, "rare"), ["id", "way"]).drop("way"))
+            break
+        depth = min(8 * depth, DEEPEST)
+        asking = pool.join(left.select("id").distinct(), "id", "left_semi").select(*pool.columns)
+    names = F.create_map(*[F.lit(x) for role in SOUGHT for x in (role[0], role)])
+    there = done.where("role = 'o'").select("round", "id", names[F.col("want")].alias("kind"), "distance")
+    back = done.where("role <> 'o'").select("round", names[F.col("role")].alias("kind"), "distance")
+    return _both_ways(there, back, ["round"])
+
+
 def bootstrap_statistics(
     vectors: DataFrame, rounds: int, frac: float, seed, qt_max: float = 0.05, qt_interval: int = 1000, metric="l1",
-    full: bool = True,
+    full: bool = True, max_col_nums: int | None = 50,
 ) -> DataFrame:
-    """(round, statistic): the sensitivity of random splits of the real table, all rounds in one plan."""
-    split = cut(bootstrap_rounds(vectors, rounds, frac, seed, "id", full=full), "rounds")
-    part = lambda role: split.where(F.col("role") == role).select("id", "vec", F.col("round").cast("string").alias("round"))
-    mins = minima(part("original"), part("synthetic"), part("test"), metric, by="round")
+    """(round, statistic): the sensitivity of random splits of the real table (id, vec), all rounds from one set of neighbour lists.
+
+    Vectors of ``max_col_nums`` dimensions or more are projected once, on directions fitted on the whole table.
+    """
+    vectors = cut(reduce_widths(vectors.select("id", "vec"), [], "vec", max_col_nums)[0], "vectors")
+    roles = cut(bootstrap_rounds(vectors.select("id"), rounds, frac, seed, "id", full=full).select("id", "round", "role"), "rounds")
+    # lists of this length hold all roles of a row's rounds for 19 rows in 20
+    share = frac if full else 2 * frac
+    depth = math.ceil(math.log(40 * rounds) / -math.log1p(-share)) if 0 < share < 1 else 32
+    mins = round_minima(vectors, roles, rounds, metric, min(max(depth, 8), DEEPEST))
     return sensitivity(mins, qt_max, qt_interval, by="round").withColumn("round", F.col("round").cast("int"))
 
 

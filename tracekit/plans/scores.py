@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tracekit.operators import embedding as W
 from tracekit.operators import fidelity as M
 from tracekit.operators import privacy as V
 from tracekit.operators.nearest import Metric, nearest
@@ -421,6 +422,41 @@ def v4(spark, sf):
     return _round(V.sensitivity(_sens(spark, sf), qt_max=0.3, qt_interval=100), "statistic")
 
 
+# 64 dimensions on 8 given directions
+REDUCED = "[list_sum([v[i] * (((i * (j + 2)) % 7 - 3) / 8e0) for i in range(1, 65)]) for j in range(1, 9)]"
+LR = "list_sum([abs(a.v[i] - b.v[i]) for i in range(1, 9)])"
+SENS_R = f"""src as (select vec_id as id, embedding::double[64] as v, {X.fraction_sql('role', 'vec_id')} as u from embeddings),
+red as (select id, u, {REDUCED} as v from src),
+o as (select * from red where u >= 0.4), sy as (select * from red where u < 0.2), te as (select * from red where u >= 0.2 and u < 0.4),
+ot as (select a.id, min({LR}) as d from o a, te b group by a.id), os as (select a.id, min({LR}) as d from o a, sy b group by a.id),
+kept as (select ot.d as t, os.d as s from ot join os using (id) where ot.d <> 0 or os.d <> 0),
+mins as (select 'test' as kind, t as d from kept union all select 'synthetic', s from kept
+  union all select 'test', min({LR}) from te a, o b group by a.id union all select 'synthetic', min({LR}) from sy a, o b group by a.id)"""
+
+
+@query("v4_reduced", f"""with {SENS_R},
+grid as (select unnest({GRID}) as q, unnest(lims) as lim from (select quantile_cont(d, {GRID}) as lims from mins where kind = 'test'))
+select round(avg(share - q), 6) as statistic from (
+  select q, (select count(*) filter (where d <= lim + 1e-9) / count(*) from mins where kind = 'synthetic') as share from grid)""")
+def v4_reduced(spark, sf):
+    """Wide vectors are projected before distances are taken; here on given directions, so that SQL can do the same."""
+    i, j = np.arange(1, 65)[:, None], np.arange(1, 9)[None, :]
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), fraction("role", "vec_id").alias("u"))
+    mins = V.minima(e.where("u >= 0.4"), e.where("u < 0.2"), e.where("u >= 0.2 and u < 0.4"), directions=((i * (j + 2)) % 7 - 3) / 8.0)
+    return _round(V.sensitivity(mins, qt_max=0.3, qt_interval=100), "statistic")
+
+
+@query("v4_fitted_reduction", """select count(*) filter (where half = 1) as originals, 8 as dimensions, true as within from (select vec_id % 2 as half from embeddings)""")
+def v4_fitted(spark, sf):
+    """Originals keep at least 98 % of the squared length that the best 8 directions keep, though no direction stands out here."""
+    real, syn = _emb(spark, sf)
+    reduced = W.reduce_widths(real.select("id", "vec"), [syn.select("id", "vec")])[0]
+    length = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    got = reduced.agg(F.count(F.lit(1)).alias("originals"), F.max(F.size("vec")).alias("dimensions"), length("vec").alias("kept")).first()
+    best = np.linalg.eigvalsh(W._gram_times(real.select(F.col("vec").alias("v")), np.eye(64)))[-8:].sum()
+    return spark.createDataFrame([(got["originals"], got["dimensions"], bool(got["kept"] >= 0.98 * best))], "originals long, dimensions int, within boolean")
+
+
 @query("v5_tail_ks", f"""with {SENS},
 lim as (select kind, quantile_cont(d, 0.4) as l from mins group by kind),
 tail as (select mins.kind, d from mins join lim on mins.kind = lim.kind and d <= l),
@@ -456,14 +492,14 @@ stats as (select round, avg(share - q) as statistic from shares group by round)"
 def v7(spark, sf):
     real, syn = _emb(spark, sf)
     both = real.unionByName(syn).select("id", "vec")
-    return _round(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50), "statistic")
+    return _round(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50, max_col_nums=None), "statistic")
 
 
 @query("v7_threshold", f"with {BOOT} select round(quantile_cont(statistic, 0.95), 6) as threshold from stats")
 def v7_threshold(spark, sf):
     real, syn = _emb(spark, sf)
     both = real.unionByName(syn).select("id", "vec")
-    return _round(V.sensitivity_threshold(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50)), "threshold")
+    return _round(V.sensitivity_threshold(V.bootstrap_statistics(both, 4, 0.165, 7, qt_max=0.3, qt_interval=50, max_col_nums=None)), "threshold")
 
 
 @query("v7_settings", """select 0.165::double as frac, round(1 - count(distinct (l_suppkey, l_linenumber, l_quantity)) / count(*), 6) as duplicate_rate,

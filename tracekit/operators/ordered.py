@@ -125,9 +125,9 @@ def running(
     # sorted partitions. As a local table it also keeps a chain of passes from nesting plans.
     single = arranged.schema["_bucket"].metadata.get("buckets") == 1
     rows = [] if single else carry.collect()
-    # rows are dealt by bucket once: that serves the windows of every group and of every later pass
+    # rows are dealt by bucket once, bucket i to task i: that serves the windows of every group and of every later pass
     marks = arranged.schema["_bucket"].metadata
-    dealt = arranged if marks.get("dealt") else arranged.repartition("_bucket").withMetadata("_bucket", {**marks, "dealt": True})
+    dealt = arranged if marks.get("dealt") else arranged.repartitionById(max(1, marks.get("buckets", 1)), "_bucket").withMetadata("_bucket", {**marks, "dealt": True})
     out = dealt.select("*", *[e.alias("_l_" + n) for n, e in local.items()])
     if rows:
         cond = F.col("_bucket") == F.col("_cb")

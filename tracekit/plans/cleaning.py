@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.operators import clean, joins, reshape
+from tracekit.operators import clean, joins, polygons, reshape
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
 from tracekit.session import tidy
@@ -200,6 +200,29 @@ def p18(spark, sf):
         rid(), clean.in_polygon("l_quantity", "l_discount", RINGS).cast("int").alias("inside"))
 
 
+# one shape per supplier: a diamond whose size and place follow from the key, with a triangle cut out
+SHAPES_SQL = """k as (select s_suppkey as poly, (s_suppkey * 7) % 50 as cx, (s_suppkey * 13) % 50 as cy, 3 + s_suppkey % 5 as r from supplier),
+e as (select poly, cx - r as ax, cy as ay, cx as bx, cy + r as b_y from k union all select poly, cx, cy + r, cx + r, cy from k
+  union all select poly, cx + r, cy, cx, cy - r from k union all select poly, cx, cy - r, cx - r, cy from k
+  union all select poly, cx - 1, cy - 1, cx + 1, cy - 1 from k union all select poly, cx + 1, cy - 1, cx, cy + 1 from k union all select poly, cx, cy + 1, cx - 1, cy - 1 from k)"""
+
+
+@query("p18_many_polygons", f"""with {SHAPES_SQL},
+p as (select distinct l_quantity as x, round(l_discount * 500) as y from lineitem),
+t as (select x, y, poly, sum(cast((ay > y) <> (b_y > y) and x < (bx - ax) * (y - ay) / (b_y - ay)::double + ax as int)) % 2 = 1 as odd,
+  bool_or((bx - ax) * (y - ay) - (b_y - ay) * (x - ax) = 0 and x between least(ax, bx) and greatest(ax, bx) and y between least(ay, b_y) and greatest(ay, b_y)) as on_edge
+  from p, e group by x, y, poly)
+select {RID_SQL}, poly from lineitem join t on t.x = l_quantity and t.y = round(l_discount * 500) where odd and not on_edge""")
+def p18_many(spark, sf):
+    """All lines at (quantity, discount) in a lattice, so that many lie on edges and corners, against one shape per supplier."""
+    at = lambda dx, dy: F.struct((F.col("cx") + dx).cast("double").alias("x"), (F.col("cy") + dy).cast("double").alias("y"))
+    key, r, zero = F.col("s_suppkey"), F.col("r"), F.lit(0)
+    shapes = table(spark, sf, "supplier").select(key.alias("poly"), (key * 7 % 50).alias("cx"), (key * 13 % 50).alias("cy"), (3 + key % 5).alias("r"))
+    rings = F.array(F.array(at(-r, zero), at(zero, r), at(r, zero), at(zero, -r)), F.array(at(F.lit(-1), F.lit(-1)), at(F.lit(1), F.lit(-1)), at(zero, F.lit(1))))
+    points = table(spark, sf, "lineitem").select(rid().alias("rid"), F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 500).alias("y"))
+    return polygons.points_in_polygons(points, shapes.select("poly", rings.alias("rings")), "rid")
+
+
 def _validator():
     return (
         clean.RowValidator()

@@ -115,35 +115,37 @@ class _Best:
     """Running best candidates per query, at most ``k`` distinct ones each."""
 
     def __init__(self, k: int):
-        self.k, self.at, self.scores, self.names = k, {}, [], []
+        self.k, self.at, self.scores, self.names, self.keys = k, {}, [], [], []
 
-    def add(self, queries: list[str], scores: np.ndarray, names: np.ndarray) -> None:
-        for q, s, n in zip(queries, scores, names):
+    def add(self, queries: list[str], scores: np.ndarray, names: np.ndarray, keys: np.ndarray) -> None:
+        for q, s, n, f in zip(queries, scores, names, keys):
             i = self.at.get(q)
             if i is None:
                 self.at[q] = len(self.scores)
                 self.scores.append(s)
                 self.names.append(n)
+                self.keys.append(f)
                 continue
-            s, n = np.concatenate([self.scores[i], s]), np.concatenate([self.names[i], n])
-            _, first = np.unique(n, return_index=True)
-            first = first[np.argsort(-s[first], kind="stable")[: self.k]]
-            self.scores[i], self.names[i] = s[first], n[first]
+            s, n, f = (np.concatenate(x) for x in ((self.scores[i], s), (self.names[i], n), (self.keys[i], f)))
+            _, one = np.unique(n, return_index=True)
+            one = one[np.lexsort((f[one], -s[one]))[: self.k]]
+            self.scores[i], self.names[i], self.keys[i] = s[one], n[one], f[one]
 
     def frame(self) -> pd.DataFrame:
         lengths = [len(s) for s in self.scores]
         if not lengths:
-            return pd.DataFrame({"query": [], "name": [], "score": []})
+            return pd.DataFrame({"query": [], "name": [], "least": [], "score": []})
         # plain lists: arrays of objects that numpy repeats and joins may reach Arrow in chunks
         queries = [q for q, n in zip(self.at, lengths) for _ in range(n)]
-        return pd.DataFrame({"query": queries, "name": [x for n in self.names for x in n], "score": np.concatenate(self.scores).astype(np.float64)})
+        return pd.DataFrame({"query": queries, "name": [x for n in self.names for x in n],
+                             "least": np.concatenate(self.keys).astype(np.int64), "score": np.concatenate(self.scores).astype(np.float64)})
 
 
 def _meet(k: int):
     """Streams rows sorted by block, index rows before queries, through matrix products."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, block, index, names, waiting = _Best(k), None, [], [], []
+        best, block, index, names, keys, waiting = _Best(k), None, [], [], [], []
         x = None
 
         def rank() -> None:
@@ -156,14 +158,14 @@ def _meet(k: int):
                 top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
                 # summed the same way in every block, so a pair has one score wherever it was met
                 exact = np.stack([(x[t] * row).sum(axis=1) for row, t in zip(q, top)])
-                best.add([w[0] for w in waiting], exact, np.array(names, dtype=object)[top])
+                best.add([w[0] for w in waiting], exact, np.array(names, dtype=object)[top], np.array(keys, dtype=np.int64)[top])
             waiting.clear()
 
         for batch in batches:
-            for tree, leaf, c, q, is_query, name, v in zip(*(batch[n] for n in ("tree", "leaf", "c", "q", "is_query", "name", "v"))):
+            for tree, leaf, c, q, is_query, name, least, v in zip(*(batch[n] for n in ("tree", "leaf", "c", "q", "is_query", "name", "least", "v"))):
                 if (tree, leaf, c, q) != block:
                     rank()
-                    block, index, names, x = (tree, leaf, c, q), [], [], None
+                    block, index, names, keys, x = (tree, leaf, c, q), [], [], [], None
                     if len(best.at) >= RUNNING:
                         yield best.frame()
                         best = _Best(k)
@@ -174,6 +176,7 @@ def _meet(k: int):
                 else:
                     index.append(v)
                     names.append(name)
+                    keys.append(least)
         rank()
         if best.at:
             yield best.frame()
@@ -202,7 +205,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         for batch in batches:
             if len(batch):
                 at = forest.value.leaves(_matrix(batch["v"]))
-                yield pd.DataFrame({"name": np.repeat(batch["name"].to_numpy(), at.shape[1]), "v": [v for v in batch["v"] for _ in range(at.shape[1])],
+                yield pd.DataFrame({"name": np.repeat(batch["name"].to_numpy(), at.shape[1]), "least": np.repeat(batch["least"].to_numpy(), at.shape[1]), "v": [v for v in batch["v"] for _ in range(at.shape[1])],
                                     "tree": np.tile(np.arange(at.shape[1]), len(at)), "leaf": at.ravel()})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,21 +215,24 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 found = list(forest.value.search(_matrix(part["v"]), share))
                 sizes = [len(f) for f in found]
                 pairs = np.array([p for f in found for p in f])
-                yield pd.DataFrame({"name": np.repeat(part["name"].to_numpy(), sizes), "v": [v for v, n in zip(part["v"], sizes) for _ in range(n)],
+                yield pd.DataFrame({"name": np.repeat(part["name"].to_numpy(), sizes), "least": 0, "v": [v for v, n in zip(part["v"], sizes) for _ in range(n)],
                                     "tree": pairs[:, 0], "leaf": pairs[:, 1]})
 
-    schema = "name string, v array<double>, tree int, leaf int"
+    schema = "name string, least long, v array<double>, tree int, leaf int"
     draw = F.xxhash64("name")
-    put = index.select("name", "v").mapInPandas(place, schema).withColumn("c", F.pmod(draw, F.lit(blocks)).cast("int"))
+    put = index.select("name", F.col("keys")[0].alias("least"), "v").mapInPandas(place, schema).withColumn("c", F.pmod(draw, F.lit(blocks)).cast("int"))
     put = put.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("is_query", F.lit(False))
     put_asked = wanted.select("name", "v").dropDuplicates(["name"]).repartition("name").mapInPandas(ask, schema).withColumn("q", F.pmod(draw, F.lit(groups)).cast("int"))
     put_asked = put_asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(True))
-    columns = ["tree", "leaf", "c", "q", "is_query", "name", "v"]
+    columns = ["tree", "leaf", "c", "q", "is_query", "name", "least", "v"]
     met = put.select(columns).union(put_asked.select(columns)).repartition("tree", "leaf", "c", "q").sortWithinPartitions("tree", "leaf", "c", "q", "is_query")
     # one more than k, and some to spare for sums that differ in their last digit
-    found = met.mapInPandas(_meet(k + 4), "query string, name string, score double").dropDuplicates(["query", "name"])
-    ordered = Window.partitionBy("query").orderBy(F.desc("score"), F.col("keys")[0])
-    near = found.join(index.select("name", "keys"), "name").withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= k + 1)
+    found = met.mapInPandas(_meet(k + 4), "query string, name string, least long, score double")
+    # every task has its own best; a query's k + 1 best vectors are picked by their smallest keys before these are looked up.
+    # A vector met in several trees has one score, so its repeats share a rank
+    ordered = Window.partitionBy("query").orderBy(F.desc("score"), "least", "name")
+    few = found.withColumn("n", F.dense_rank().over(ordered)).where(F.col("n") <= k + 1).dropDuplicates(["query", "name"])
+    near = few.join(index.select("name", "keys"), "name")
     near = near.select(F.col("query").alias("name"), "score", F.explode("keys").alias("found"))
     answers = wanted.select(F.col("key").alias("query_id"), "name").join(near, "name").where("found <> query_id").dropDuplicates(["query_id", "found"])
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from tracekit.session import cut, scratch_path
 
 #: Samples per scale, samples per band, and the seed of walks and places.
 SAMPLES, BAND, SEED = 256, 8, 20240
+#: Bands per scale, and the part of a scale that they sample.
+BANDS, REACH = 32, 0.4
 #: Likeness from which texts are near, and classes in a block of comparisons.
 LEAST, BLOCK = 0.8, 1024
 #: The random bits repeat after so many steps; characters fall into so many classes of bits.
@@ -51,6 +54,7 @@ class _Walk(dict):
 
 _WALK: _Walk | None = None
 _PLACES = np.sort(np.random.default_rng(SEED + 1).random(SAMPLES))
+_REACHED = int(np.searchsorted(_PLACES, REACH)) - 1
 _DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
 
@@ -109,11 +113,29 @@ def likeness(a: str, b: str) -> float:
     return float((p == q)[some].mean()) if some.any() else 0.0
 
 
+def _band_places() -> list[list[int]]:
+    """Per band, its samples: drawn at random from the part of a scale that any text as long as the scale asks for fills.
+
+    A band of neighbouring samples would be one stretch of the text, and every common opening one bucket of all that open so.
+    """
+    reach = int(np.searchsorted(_PLACES, REACH))
+    return np.random.default_rng(SEED + 2).integers(0, reach, (BANDS, BAND)).tolist()
+
+
+_BANDS = [itemgetter(*places) for places in _band_places()]
+
+
 def bands(a: str) -> list[str]:
-    """Band keys at both scales: runs of samples, without those wholly behind the end."""
-    scale, *parts = a.split(":")
-    return [f"{int(scale) + k}:{i}:{part[i : i + BAND]}" for k, part in enumerate(parts)
-            for i in range(0, SAMPLES, BAND) if part[i] != _PAD] or [a]
+    """Band keys at both scales; at the larger one only bands without a sample behind the end.
+
+    A text fills over half of its own scale. One that fills less of the next scale than bands reach is at most 0.8 times
+    as long as any text of that scale, so it cannot be near one.
+    """
+    scale, own, larger = a.split(":")
+    keys = [f"{scale}:{i}:{''.join(pick(own))}" for i, pick in enumerate(_BANDS)] if own[0] != _PAD else [a]
+    if larger[_REACHED] != _PAD:
+        keys += [f"{int(scale) + 1}:{i}:{''.join(pick(larger))}" for i, pick in enumerate(_BANDS)]
+    return keys
 
 
 @F.pandas_udf(T.StringType())
@@ -200,9 +222,12 @@ def _classes_and_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFr
     """Texts (``name``, smallest ``key``, ``rows``, ``print``), links ``a``, ``b``, ``likeness`` of names, and roots."""
     classes = cut(rows.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("print").alias("print")), "classes")
     keyed = classes.select("name", F.explode(bands_udf("print")).alias("band")).select("name", F.xxhash64("band").alias("band"))
-    leaders = keyed.groupBy("band").agg(F.min("name").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # nearly all bands are met once: only their hashes are shuffled, names only of those that are shared
+    shared = cut(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared")
+    kept = cut(keyed.join(shared, "band", "left_semi"), "shared-bands")
+    leaders = kept.groupBy("band").agg(F.min("name").alias("leader"))
     # a leader stays in its bucket: it may be left in another component than the others
-    buckets = cut(keyed.join(cut(leaders, "leaders"), "band"), "buckets")
+    buckets = cut(kept.join(leaders, "band"), "buckets")
     pairs = buckets.where("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
     one, two = (classes.select(F.col("name").alias(c), F.col("print").alias(f"print_{c}")) for c in ("a", "b"))
     alike = pairs.join(one, "a").join(two, "b").select("a", "b", likeness_udf("print_a", "print_b").alias("likeness"))

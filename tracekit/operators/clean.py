@@ -139,23 +139,51 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def discrete_numeric_columns(df: DataFrame, limit: int = 32) -> list[str]:
-    """Numeric columns with whole values only and at most ``limit`` distinct ones."""
+    """Numeric columns with whole values only and at most ``limit`` distinct ones.
+
+    One scan sketches the distinct counts of all columns; only those that the sketch puts below twice the limit (its error
+    there is far smaller) are counted exactly, so wide or continuous columns are never shuffled.
+    """
     cols = numeric_columns(df)
-    found = discrete_numeric_report(df).where((F.col("n_distinct") <= limit) & (F.col("whole") == 1))
-    return [r["column"] for r in found.select("column").collect() if r["column"] in cols]
+    if not cols:
+        return []
+    row = df.agg(*[x for c in cols for x in (
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(12))).alias("n_" + c), _whole(c).alias("w_" + c))]).first()
+    likely = [c for c in cols if (row["n_" + c] or 0) <= 2 * limit and row["w_" + c] == 1]
+    if not likely:
+        return []
+    counts = {r["column"]: r["n_distinct"] for r in distinct_counts(df, likely).collect()}
+    return [c for c in likely if counts[c] <= limit]
+
+
+def _whole(c: str) -> Column:
+    return F.min((F.col(c) == F.round(F.col(c).cast("double"))).cast("int"))
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n_distinct) of any numeric columns, nulls not counted: values are set apart once per task, then shuffled by value.
+
+    Columns are laid out as narrow (column, value) rows by kind of number, so no row is copied as a whole.
+    """
+    kinds: dict[str, list[tuple[int, str]]] = {}
+    for i, c in enumerate(cols):
+        name = df.schema[c].dataType
+        kind = "double" if isinstance(name, T.FractionalType) and not isinstance(name, T.DecimalType) else "string" if isinstance(name, T.DecimalType) else "bigint"
+        kinds.setdefault(kind, []).append((i, c))
+    counted = None
+    for kind, members in kinds.items():
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast(kind).alias("_v")) for i, c in members])))
+        part = long.where("_v is not null").distinct().groupBy("_i").agg(F.count(F.lit(1)).alias("n"))
+        counted = part if counted is None else counted.unionByName(part)
+    # one row: columns without a value are 0
+    wide = counted.agg(*[F.coalesce(F.max(F.when(F.col("_i") == i, F.col("n"))), F.lit(0)).alias(f"_{i}") for i in range(len(cols))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_distinct")) for i, c in enumerate(cols)])))
 
 
 def discrete_numeric_report(df: DataFrame) -> DataFrame:
-    return long_stats(
-        df,
-        {
-            c: [
-                ("n_distinct", F.count_distinct(F.col(c))),
-                ("whole", F.min((F.col(c) == F.round(F.col(c).cast("double"))).cast("int"))),
-            ]
-            for c in numeric_columns(df)
-        },
-    )
+    """(column, n_distinct, whole) per numeric column: exact number of values, and 1 if all are whole."""
+    cols = numeric_columns(df)
+    return distinct_counts(df, cols).join(long_stats(df, {c: [("whole", _whole(c))] for c in cols}), "column")
 
 
 def observed_values(df: DataFrame, cols: Sequence[str], limit: int = 32) -> dict[str, list]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracekit.functions.codecs import proto_to_int
-from tracekit.operators.ordered import arrange, exact_quantiles, running
+from tracekit.operators.ordered import arrange, quantiles, running
 from tracekit.roles import RoleSpec
 from tracekit.session import cut
 
@@ -110,13 +110,13 @@ def js_distance_base2(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> D
     return js_from_counts(paired_counts(real, syn, {c: c for c in cols}), base=2.0, distance=True)
 
 
-def auto_bins(real: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float, int]]:
-    """(min, max, bins) per column: the smaller width of the Freedman-Diaconis and Sturges rules."""
+def auto_bins(real: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, tuple[float, float, int]]:
+    """(min, max, bins) per column: the smaller width of the Freedman-Diaconis and Sturges rules; ``approx`` takes quartiles from sketches."""
     long = stack(real, {c: c for c in cols}, "double").where(F.col("value").isNotNull())
     facts = {r["metric"]: r for r in long.groupBy("metric").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
     quartiles: dict[tuple, float] = {
-        (r["metric"], r["q"]): r["value"] for r in exact_quantiles(long, "value", [0.25, 0.75], ["metric"]).collect()}
+        (r["metric"], r["q"]): r["value"] for r in quantiles(long, "value", [0.25, 0.75], ["metric"], approx).collect()}
     out = {}
     for c in cols:
         f = facts[c]
@@ -142,12 +142,12 @@ def histogram_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     return F.when(x < lo, -1).when(x > hi, bins).otherwise(index)
 
 
-def js_continuous(real: DataFrame, syn: DataFrame, cols: Sequence[str], compat: bool = False) -> DataFrame:
+def js_continuous(real: DataFrame, syn: DataFrame, cols: Sequence[str], compat: bool = False, approx: bool = False) -> DataFrame:
     """Divergence of binned columns; synthetic values out of the real range count in two extra bins.
 
-    ``compat`` leaves those values out instead.
+    ``compat`` leaves those values out instead; ``approx`` chooses the bins without sorting values.
     """
-    bins = auto_bins(real, cols)
+    bins = auto_bins(real, cols, approx)
     exprs = {}
     for c in cols:
         lo, hi, k = bins[c]

@@ -201,6 +201,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return found.groupBy(*by, "q").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias(value))
 
 
+def sketch_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), k: int = 800) -> DataFrame:
+    """``exact_quantiles`` without a sort: rows (by, q, value) from one mergeable sketch per group.
+
+    The values are values of the table whose ranks are off by about 1.7 / k of the group (0.2 % by default), not
+    interpolated ones. Tasks send sketches of a fixed size, so a group of any size is a few kilobytes.
+    """
+    sketch = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("_s"))
+    sketch = sketch.where(F.kll_sketch_get_n_double("_s") > 0)  # without groups there is a sketch of nothing as well
+    rows = [F.struct(F.lit(float(p)).alias("q"), F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(value)) for p in probs]
+    return sketch.select(*by, F.inline(F.array(*rows)))
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+    """Rows (by, q, value): exact and interpolated, or from sketches if ``approx``."""
+    return (sketch_quantiles if approx else exact_quantiles)(df, value, probs, by)
+
+
 def exact_top(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """First n rows in an order: a top-k heap while n is small, a sorted position beyond that."""
     if n <= 10_000:

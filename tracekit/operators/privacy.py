@@ -14,7 +14,7 @@ from tracekit.operators.clean import duplicate_rate
 from tracekit.operators.embedding import reduce_widths
 from tracekit.operators.encoders import fit_choices, fit_moments, fit_ranges, normalize, one_hot, standardize
 from tracekit.operators.nearest import nearest
-from tracekit.operators.ordered import arrange, exact_quantiles, running
+from tracekit.operators.ordered import arrange, exact_quantiles, quantiles, running
 from tracekit.operators.sampling import bootstrap_rounds, percent_sample, privacy_refill
 from tracekit.session import cut
 
@@ -51,8 +51,9 @@ def closest_two(real_vec: DataFrame, syn_vec: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("d2"))
 
 
-def median_closest(distances: DataFrame) -> DataFrame:
-    return exact_quantiles(distances, "distance", [0.5]).select(F.col("distance").alias("median"))
+def median_closest(distances: DataFrame, approx: bool = False) -> DataFrame:
+    """The median distance: exact, or from a sketch without a sort."""
+    return quantiles(distances, "distance", [0.5], approx=approx).select(F.col("distance").alias("median"))
 
 
 def six_numbers(

@@ -143,6 +143,14 @@ def p13(spark, sf):
     return report.withColumn("is_discrete", ((F.col("n_distinct") <= 32) & (F.col("whole") == 1)).cast("int"))
 
 
+@query("p13_discrete_columns", "select c as \"column\" from (" + " union all ".join(
+    f"select '{c}' as c from lineitem having count(distinct {c}) <= 32 and min(cast({c} = round({c}) as int)) = 1" for c in ["l_orderkey", *LI_NUM]) + ")")
+def p13_columns(spark, sf):
+    """Chosen by sketches first; only columns with few values are counted."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", *LI_NUM)
+    return spark.createDataFrame([(c,) for c in clean.discrete_numeric_columns(li)], "column string")
+
+
 @query("p14_round_to_observed", f"""with v as (select distinct l_linenumber as v from lineitem)
 select {RID_SQL}, l_discount, cast((select arg_min(v, struct_pack(d := abs(l_quantity / 6.0 - v), v := v)) from v) as double) as line
 from lineitem""")

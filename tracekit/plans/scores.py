@@ -12,7 +12,7 @@ from tracekit.operators.nearest import Metric, nearest
 from tracekit.plans import fixtures as X
 from tracekit.plans.registry import query, table
 from tracekit.roles import RoleSpec
-from tracekit.session import fraction, tidy
+from tracekit.session import cut, fraction, tidy
 
 FL = f"with {X.FLOWS_SQL}"
 
@@ -373,6 +373,18 @@ def v2_median(spark, sf):
     return _round(V.median_closest(V.distance_to_closest(real, syn, "l2")), "median")
 
 
+@query("v2_sketched_median", f"""with {P_SQL}, d as (select a.id, min({P_DIST}) as d from n a, n b where a.half = 0 and b.half = 1 group by a.id)
+select count(*) as rows, true as close from d""")
+def v2_sketched(spark, sf):
+    """The rank of the sketched median among all distances is at most half a percent off the middle."""
+    real, syn = _parts(spark, sf)
+    distances = cut(V.distance_to_closest(real, syn, "l2"), "distances")
+    median = V.median_closest(distances, approx=True).first()[0]
+    below, upto = (F.sum((c(F.col("distance"), F.lit(median))).cast("long")) for c in (lambda a, b: a < b, lambda a, b: a <= b))
+    n = F.count(F.lit(1))
+    return distances.agg(n.alias("rows"), ((below <= n * 0.505) & (upto >= n * 0.495)).alias("close"))
+
+
 SIX = """src as (select p_partkey as id, cast(p_partkey % 2 as int) as half, p_size::double as x, p_retailprice as y from part),
 u as (select half, x, y, min(id) as id from src group by half, x, y having count(*) = 1),
 z as (select s.id, s.half, (x - mx) / sx as x, (y - my) / sy as y from u s join

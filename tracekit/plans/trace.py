@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tracekit.functions import codecs as C
@@ -261,17 +262,43 @@ def _capture_files(spark, sf, per_file=2000):
     )
 
 
-@query("s13_captures", """select l_suppkey + 167772160 as srcip, l_partkey + 3232235520 as dstip,
+S13_SQL = """select l_suppkey + 167772160 as srcip, l_partkey + 3232235520 as dstip,
 cast(case when l_returnflag in ('A','N') then l_orderkey % 65536 else 0 end as int) as srcport,
 cast(case when l_returnflag in ('A','N') then l_partkey % 65536 else 0 end as int) as dstport,
 case l_returnflag when 'A' then 'TCP' when 'N' then 'UDP' else 'ICMP' end as proto,
 cast(epoch(l_shipdate) as bigint) * 1000000 + l_linenumber as time, cast(l_quantity + 40 as int) as pkt_len,
 4 as version, 5 as ihl, l_linenumber as tos, cast(l_orderkey % 65536 as int) as id, 2 as flag, l_linenumber as "off",
-64 as ttl, cast(l_suppkey % 65536 as int) as chksum from lineitem""")
+64 as ttl, cast(l_suppkey % 65536 as int) as chksum from lineitem"""
+
+
+@query("s13_captures", S13_SQL)
 def s13(spark, sf):
     return captures.parse_captures(_capture_files(spark, sf)).drop("path", "seq")
 
 
+def _write_files(files, folder):
+    """Each content as a file of its own, by the tasks that hold them; a repeated task writes the same files."""
+    def write(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                store, inner = fs.FileSystem.from_uri(f"{folder}/{path}.pcap")
+                store.create_dir(inner.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(inner) as out:
+                    out.write(content)
+            yield pdf[["path"]]
+
+    files.mapInPandas(write, "path string").count()
+
+
+@query("s13_capture_ranges", S13_SQL)
+def s13_ranges(spark, sf):
+    """The same captures as files, each read in ranges that cut records anywhere."""
+    folder = scratch_path(spark, "s13")
+    folder = folder if "://" in folder else f"file://{folder}"
+    _write_files(_capture_files(spark, sf, 50_000), folder)
+    return captures.read_captures(spark, folder, 1 << 20).drop("path", "seq")
+
+
 BITS_SQL = f"""with {X.FRAMES_SQL}
 select key, cast(ts_text as double) as "Timestamp", {", ".join(
     f'cast(substr(idb, {i + 1}, 1) as int) as "CAN_ID_{i}"' for i in range(11))}, dlc as "DLC", {", ".join(

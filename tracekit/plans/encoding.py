@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracekit.operators import embedding as W
@@ -94,6 +97,37 @@ def e5_given(spark, sf):
     return G.encode(_given(spark, sf), GIVEN).select("rid", tidy("l_extendedprice_u").alias("u"), F.col("l_extendedprice_k").alias("k"))
 
 
+STEP_COLS = ("l_extendedprice", "l_quantity")
+STEP = ((0.5, 0.3, 0.2), (-0.8, 0.1, 1.4), (0.5, 0.4, 0.7))  # weights, means and deviations in standard units
+STEP_LOG_SQL = ", ".join(f"ln({w}e0) - ln({s}e0) - pow(z - ({m}e0), 2) / (2 * pow({s}e0, 2))" for w, m, s in zip(*STEP))
+
+
+@query("e5_one_update", f"""with v as ({" union all ".join(f"select '{c}' as name, cast({c} as double) as x from lineitem" for c in STEP_COLS)}),
+a as (select name, avg(x) as m, stddev_pop(x) as s from v group by name),
+z as (select name, (x - m) / s as z from v join a using (name)),
+l as (select name, z, [{STEP_LOG_SQL}] as l from z),
+e as (select name, z, [exp(x - list_max(l)) for x in l] as e from l),
+n as (select name, i as component, sum(e[i + 1] / list_sum(e)) as n, sum(z * e[i + 1] / list_sum(e)) as s1,
+  sum(z * z * e[i + 1] / list_sum(e)) as s2 from e, range(3) t(i) group by name, i),
+g as (select *, 1 + n as taken, {G.CONCENTRATION} + coalesce(sum(n) over (partition by name order by component rows between 1 following and unbounded following), 0) as rest from n),
+w as (select *, taken / (taken + rest) * coalesce(exp(sum(ln(rest / (taken + rest))) over (partition by name order by component rows between unbounded preceding and 1 preceding)), 1) as w from g)
+select name, cast(component as int) as component, round(w / sum(w) over (partition by name), 6) as weight, round(s1 / (1 + n), 6) as mean,
+round(sqrt((1 + s2 - s1 * s1 / (1 + n)) / (1 + n)), 6) as std from w""")
+def e5_update(spark, sf):
+    """One pass from given parameters over both columns, and the variational update that follows."""
+    li = table(spark, sf, "lineitem")
+    r = li.agg(*[f(c) for c in STEP_COLS for f in (F.avg, F.stddev_pop)]).first()
+    w, m, s = (np.array(x) for x in STEP)
+    given = np.stack([np.log(w) - np.log(s) - m * m / (2 * s * s), m / (s * s), -1 / (2 * s * s)])
+    found = G.component_sums(G.value_counts(li, STEP_COLS), [(r[0], r[1]), (r[2], r[3])], [given] * 2)
+    rows = []
+    for i, c in enumerate(STEP_COLS):
+        p = G.update(found[i][0])
+        rows += [(c, j, *map(float, (p["weight"][j], p["mean"][j], math.sqrt(p["spread"][j] / p["n"][j])))) for j in range(3)]
+    out = spark.createDataFrame(rows, "name string, component int, weight double, mean double, std double")
+    return _round(out, "weight", "mean", "std")
+
+
 @query("e6_given_draw", f"""with {GIVEN_SQL}, p as (select rid, x, [exp(s[i] - list_max(s)) for i in range(1, 4)] as r from co),
 q as (select rid, x, [(r[i] / list_sum(r) + 1e-6) / (1 + 3e-6) for i in range(1, 4)] as p, {X.fraction_sql('e6', 'rid')} as u from p),
 d as (select rid, x, least(cast(p[1] <= u as int) + cast(p[1] + p[2] <= u as int) + cast(p[1] + p[2] + p[3] <= u as int), 2) as k from q)

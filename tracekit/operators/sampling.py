@@ -225,16 +225,25 @@ def fixed_draws(spark: SparkSession, categories: DataFrame, column: str, value,
 def rows_for_draws(df: DataFrame, cols: Sequence[str], draws: DataFrame, categories: DataFrame, key: str, seed) -> DataFrame:
     """(draw, key): a uniform row among those of the drawn category.
 
-    Rows are numbered inside each (column, value); the join key holds the row
-    number, so a category with a third of the rows is not one join group.
+    Rows are sorted by (column, value, key), so a category is a run of places: a draw asks for the place of its row, and
+    rows move once more with nothing but their place. A category with a third of the rows is not one join group.
     """
     long = df.select(F.col(key).alias("_k"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])))
-    ranked = running(arrange(long.where("value is not null"), ["_k"], ["column", "value"]), ["column", "value"], position="rank")
-    sizes = categories.select("category_id", "n")
-    asked = draws.join(sizes, "category_id").withColumn("rank", F.floor(fraction(f"{seed}-row", "draw") * F.col("n")))
-    return asked.join(ranked.select("column", "value", "rank", "_k"), ["column", "value", "rank"]).select(
-        "draw", "column", "value", F.col("_k").alias(key))
+    placed = arrange(long.where("value is not null"), ["_k"], ["column", "value"])
+    runs = placed.groupBy("_bucket", "column", "value").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    runs = cut(runs, "runs")
+    # at most one row per sorted partition, so what is collected and broadcast is bounded by their number
+    sizes = sorted((r["_bucket"], r["_n"]) for r in runs.groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect())
+    before = {b: sum(n for _, n in sizes[:i]) for i, (b, _) in enumerate(sizes)}
+    shift = [(b, off - (b << 33)) for b, off in before.items()]  # _at counts from 0 within each partition
+    shift = F.broadcast(df.sparkSession.createDataFrame(shift, "_bucket int, _shift bigint"))
+    at = lambda d, c: d.join(shift, "_bucket").withColumn("_place", F.col(c) + F.col("_shift"))
+    starts = at(runs, "_first").groupBy("column", "value").agg(F.min("_place").alias("_start"), F.sum("_n").alias("_held"))
+    asked = draws.join(categories.select("category_id", "n"), "category_id").withColumn("rank", F.floor(fraction(f"{seed}-row", "draw") * F.col("n")))
+    asked = asked.join(starts, ["column", "value"]).where(F.col("rank") < F.col("_held"))
+    asked = asked.select("draw", "column", "value", (F.col("_start") + F.col("rank")).alias("_place"))
+    return asked.join(at(placed, "_at").select("_place", "_k"), "_place").select("draw", "column", "value", F.col("_k").alias(key))
 
 
 def uniform_rows(df: DataFrame, n: int, key: str, seed) -> DataFrame:

@@ -208,3 +208,17 @@ def test_far_apart_rows():
     rows = np.array([[0.0], [1.0], [10.0], [10.0], [4.0]])
     assert N.far_apart("l2", rows, 9).ravel().tolist() == [10.0, 0.0, 4.0, 1.0]
     assert len(N.far_apart("l2", rows[:0], 3)) == 0
+
+
+def test_a_reference_block_is_sent_once_to_a_set_of_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    blocks = [("", side, b, [int(v) for v in np.arange(20) + 20 * b], [int(v) for v in np.arange(20) + 20 * b], 2, rng.random((20, 2)).tobytes())
+              for side in (0, 1) for b in range(12)]
+    packed = spark.createDataFrame([(s, g, b, v, f, w, bytearray(m)) for g, s, b, v, f, w, m in blocks],
+                                   "side int, grp string, block bigint, vids array<bigint>, first array<bigint>, width int, mat binary")
+    pairs = spark.createDataFrame([("", q, r, 0.0) for q in range(12) for r in range(12)], "grp string, qblock bigint, rblock bigint, low double")
+    monkeypatch.setattr(N, "BLOCK_ROWS", 120)
+    laid = N._laid(packed, pairs, 1).collect()
+    sent = [r for r in laid if r.low >= 0]
+    assert len(sent) == 2 * 12 and all(len(r.wanted_by) == 6 for r in sent)  # of 144 pairs
+    assert {(q, r.qset) for r in sent for q in r.wanted_by} == {(r.qblock, r.qset) for r in laid if r.low < 0}

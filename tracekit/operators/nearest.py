@@ -40,6 +40,9 @@ CENTRES = 256  # most cells by which wide vectors are dealt
 CELL_BLOCKS = 2  # least number of full blocks to a cell, on average
 SAMPLE_VALUES = 1 << 20  # values of the vectors among which centres are looked for
 MET_FIRST = 2  # blocks that give a query block its first true distances
+TILE_ROWS = 32  # query rows whose distances to a full block are summed at once, in cache
+SETS = 64  # query sets, until each holds SET_VALUES
+SET_VALUES = 1 << 21  # values of the query blocks that share one copy of a reference block
 SLACK = 1e-12  # rounding of distances to pivots, relative to them
 
 
@@ -90,15 +93,29 @@ def far_apart(metric, rows: np.ndarray, n: int) -> np.ndarray:
     return rows[chosen]
 
 
+def _tile(columns: int) -> int:
+    return TILE_ROWS * max(1, BLOCK_ROWS // max(columns, 1))
+
+
 def _distances(metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a to all rows of b, summed dimension by dimension."""
-    if callable(metric):
-        return metric(a, b)
+    """Distances of all rows of a to all rows of b, summed dimension by dimension, a few rows of a at a time."""
     out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = np.abs(a[:, j, None] - b[None, :, j])
-        out += d if metric == "l1" else d * d
-    return out if metric == "l1" else np.sqrt(out)
+    b = np.asfortranarray(b)
+    step = _tile(len(b))
+    held = np.empty((min(step, len(a)), len(b)))
+    for at in range(0, len(a), step):
+        rows, sums = a[at : at + step], out[at : at + step]
+        if callable(metric):
+            sums[:] = metric(rows, b)
+            continue
+        d = held[: len(rows)]
+        for j in range(a.shape[1]):
+            np.subtract(rows[:, j, None], b[None, :, j], out=d)
+            np.abs(d, out=d) if metric == "l1" else np.multiply(d, d, out=d)
+            sums += d
+        if metric != "l1":
+            np.sqrt(sums, out=sums)
+    return out
 
 
 def _smallest(dist: np.ndarray, take: int) -> np.ndarray:
@@ -139,6 +156,57 @@ def _closest(metric, q: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarra
     return best, np.take_along_axis(dist, best, axis=1)
 
 
+def _within(metric, q: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, rows of b, distances) of all pairs that are no farther apart than the limit of the row of q.
+
+    Estimates rule out what is farther by more than their rounding error, a few rows of q at a time; the rest is
+    summed exactly, in the order of ``_distances``.
+    """
+    found, step = [], _tile(len(b))
+    if callable(metric):
+        b = np.asfortranarray(b)
+    elif metric == "l1":
+        at_most = max(np.abs(q).max(initial=0.0), np.abs(b).max(initial=0.0))
+        # single precision holds it if no sum can overflow; each of the terms and sums rounds
+        kind = np.float32 if at_most * q.shape[1] < 1e37 else np.float64
+        error = 4.0 * float(np.finfo(kind).eps) * (q.shape[1] + 2) ** 2 * at_most + 1e-30
+        near, far = q.astype(kind), np.asfortranarray(b, dtype=kind)
+        guess, d = (np.empty((min(step, len(q)), len(b)), dtype=kind) for _ in range(2))
+    else:
+        centre = b.mean(axis=0)
+        qc, bc = q - centre, b - centre
+        qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
+        error = 1e-14 * q.shape[1] * (qn.max() + bn.max())
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        if callable(metric):
+            dist = np.asarray(metric(q[part], b))
+            rows, cols = np.nonzero(dist <= limit[part, None])
+            found.append((rows + at, cols, dist[rows, cols]))
+            continue
+        if metric == "l1":
+            sums, held = guess[: len(q[part])], d[: len(q[part])]
+            sums.fill(0)
+            for j in range(q.shape[1]):
+                np.subtract(near[part, j, None], far[None, :, j], out=held)
+                np.abs(held, out=held)
+                np.add(sums, held, out=sums)
+            reach = limit[part] * (1 + 1e-12) + error
+        else:
+            sums = qn[part, None] + bn[None, :] - 2.0 * (qc[part] @ bc.T)
+            reach = limit[part] ** 2 * (1 + 1e-12) + 2 * error
+        rows, cols = np.nonzero(sums <= reach[:, None])
+        exact = np.zeros(len(rows))
+        for j in range(q.shape[1]):
+            x = np.abs(q[rows + at, j] - b[cols, j])
+            exact += x if metric == "l1" else x * x
+        if metric != "l1":
+            exact = np.sqrt(exact)
+        keep = exact <= limit[rows + at]
+        found.append((rows[keep] + at, cols[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Add ``_z``: bits of the widest dimensions interleaved."""
     stats = rows.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(
@@ -272,6 +340,12 @@ def _pair_bounds(metric, rings: int):
 FOUND = "qvid bigint, rvid bigint, distance double"
 
 
+def _unpacked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix, the reference ids and the vector ids of a packed block."""
+    first = np.asarray(r.first)
+    return np.frombuffer(r.mat, dtype=np.float64).reshape(-1, r.width), first.astype(str) if first.dtype == object else first, np.asarray(r.vids)
+
+
 class _Running:
     """A query block and the closest distinct vectors that it has met."""
 
@@ -283,21 +357,44 @@ class _Running:
         self.blocks = 0
 
     def meet(self, r) -> None:
-        # a lower bound and a distance are rounded differently: a hair of slack keeps ties in
-        if self.dist is not None and self.dist.shape[1] == self.take and r.low * (1 - 1e-9) > self.dist[:, -1].max():
+        self.compare(*_unpacked(r), r.low)
+
+    def compare(self, b: np.ndarray, first: np.ndarray, rvids: np.ndarray, low: float) -> None:
+        """Meet a block that is at least ``low`` away: a matrix with its reference ids, in their order, and vector ids."""
+        if self.dist is not None and self.dist.shape[1] == self.take:
+            # a lower bound and a distance are rounded differently: a hair of slack keeps ties in
+            open_rows = np.flatnonzero(low * (1 - 1e-9) <= self.dist[:, -1])
+            if len(open_rows):
+                self.blocks += 1
+                self._improve(open_rows, b, first, rvids)
             return
         self.blocks += 1
-        b = np.frombuffer(r.mat, dtype=np.float64).reshape(-1, r.width)
         part, near = _closest(self.metric, self.q, b, min(self.take, len(b)))
-        first = np.asarray(r.first)
-        first = (first.astype(str) if first.dtype == object else first)[part]
-        rvids = np.asarray(r.vids)[part]
+        first, rvids = first[part], rvids[part]
         if self.dist is not None:
             near, first, rvids = (np.concatenate(x, axis=1) for x in ((self.dist, near), (self.first, first), (self.rvids, rvids)))
             order = np.lexsort((first, near), axis=1)[:, : self.take]
             near, first, rvids = (np.take_along_axis(x, order, axis=1) for x in (near, first, rvids))
         self.dist, self.first, self.rvids = near, first, rvids
 
+    def _improve(self, open_rows: np.ndarray, b: np.ndarray, first: np.ndarray, rvids: np.ndarray) -> None:
+        """Only pairs within a row's distances so far can change its answer."""
+        rows, cols, near = _within(self.metric, self.q[open_rows], b, self.dist[open_rows, -1])
+        if not len(rows):
+            return
+        rows = open_rows[rows]
+        touched = np.unique(rows)
+        owner = np.concatenate([np.repeat(touched, self.take), rows])
+        near = np.concatenate([self.dist[touched].ravel(), near])
+        first = np.concatenate([self.first[touched].ravel(), first[cols]])
+        rvids = np.concatenate([self.rvids[touched].ravel(), rvids[cols]])
+        order = np.lexsort((first, near, owner))
+        starts = np.searchsorted(owner[order], touched)
+        best = order[starts[:, None] + np.arange(self.take)[None, :]]
+        if first.dtype.kind == "U" and first.dtype.itemsize > self.first.dtype.itemsize:
+            self.first = self.first.astype(first.dtype)
+        self.dist[touched], self.first[touched], self.rvids[touched] = near[best], first[best], rvids[best]
+
     def rows(self) -> pd.DataFrame:
         return pd.DataFrame({"qvid": np.repeat(self.vids, self.dist.shape[1]), "rvid": self.rvids.ravel(), "distance": self.dist.ravel()})
 
@@ -307,30 +404,51 @@ class _Running:
 
 
 def _stream(metric, take: int, result=_Running.rows):
-    """Rows of a query block: first the block, then the reference blocks by lower bound."""
+    """Rows of a set of query blocks: first those blocks, then the reference blocks that any of them wants, by lower bound."""
 
     def run(batches):
-        now = None
+        now, asking = None, {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.low < 0:
-                    if now is not None and now.blocks:
-                        yield result(now)
-                    now = _Running(metric, take, r)
+                    if (r.grp, r.qset) != now:
+                        yield from (result(x) for x in asking.values() if x.blocks)
+                        now, asking = (r.grp, r.qset), {}
+                    asking[r.qblock] = _Running(metric, take, r)
                 else:
-                    now.meet(r)
-        if now is not None and now.blocks:
-            yield result(now)
+                    block = _unpacked(r)
+                    for qblock, low in zip(r.wanted_by, r.lows):
+                        asking[qblock].compare(*block, low)
+        yield from (result(x) for x in asking.values() if x.blocks)
 
     return run
 
 
-def _laid(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every query block followed by the reference blocks it is paired with, by lower bound."""
-    wanted = pairs.join(blocks.where("side = 1").withColumnRenamed("block", "rblock"), ["grp", "rblock"])
-    columns = ["grp", "qblock", "low", "vids", "first", "width", "mat"]
-    asking = blocks.where("side = 0").withColumnRenamed("block", "qblock").withColumn("low", F.lit(-1.0))
-    return asking.select(columns).unionByName(wanted.select(columns)).repartition("grp", "qblock").sortWithinPartitions("grp", "qblock", "low")
+def _laid(blocks: DataFrame, pairs: DataFrame, need: int) -> DataFrame:
+    """Sets of query blocks, each set followed by the reference blocks that any of them is paired with, by lower bound.
+
+    A set is a run of blocks with up to ``SET_VALUES`` values, which one task holds: a reference block is sent once to each
+    set. There are about ``SETS`` sets until they are full, so what is sent grows with the references, not with the pairs.
+    """
+    asked = blocks.where("side = 0")
+    n, width = asked.agg(F.sum(F.size("vids")), F.max("width")).first()
+    most = max(BLOCK_ROWS, SET_VALUES // max(width or 1, 4 * need))
+    rows = min(most, max(BLOCK_ROWS, math.ceil((n or 0) / SETS)))
+    # the place of a block's first row: sets are runs of the sorted order, so that their blocks want the same ones
+    place = F.array_min("vids")
+    qset = F.shiftleft(F.shiftright(place, 33), 33).bitwiseOR(F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows)))
+    asked = asked.withColumnRenamed("block", "qblock").withColumn("qset", qset)
+    wanted = pairs.join(asked.select("grp", "qblock", "qset"), ["grp", "qblock"]).groupBy("grp", "qset", "rblock").agg(
+        F.min("low").alias("low"), F.array_sort(F.collect_list(F.struct("low", "qblock"))).alias("by"))
+    wanted = wanted.select("grp", "qset", "rblock", "low", F.col("by.qblock").alias("wanted_by"), F.col("by.low").alias("lows"))
+    wanted = wanted.join(blocks.where("side = 1").withColumnRenamed("block", "rblock"), ["grp", "rblock"])
+    wanted = wanted.withColumn("qblock", F.lit(None).cast("bigint"))
+    none = {c: F.lit(None).cast(t) for c, t in (("wanted_by", "array<bigint>"), ("lows", "array<double>"))}
+    asked = asked.withColumns({"low": F.lit(-1.0), **none})
+    columns = ["grp", "qset", "qblock", "low", "wanted_by", "lows", "vids", "first", "width", "mat"]
+    # a number of tasks: adaptive execution goes by bytes, but work goes by pairs
+    tasks = min(4 * SETS, 2 * math.ceil((n or 0) / rows) + 1)
+    return asked.select(columns).unionByName(wanted.select(columns)).repartition(tasks, "grp", "qset").sortWithinPartitions("grp", "qset", "low")
 
 
 def _vector_key(vec: str = "vec") -> list[Column]:
@@ -403,7 +521,7 @@ def nearest(
     packed = cut(ordered.groupBy("side", "grp", "block").applyInPandas(_packer(metric, pivots), schema), "blocks")
     pairs = _prune(packed, None if callable(metric) and not isinstance(metric, Metric) else metric, need, 0 if pivots is None else len(pivots))
     blocks = packed.select("side", "grp", "block", "vids", "first", "width", "mat")
-    found = _laid(blocks, pairs).mapInPandas(_stream(metric, need), FOUND)
+    found = _laid(blocks, pairs, need).mapInPandas(_stream(metric, need), FOUND)
     per_vector = _answers(found, placed.where("side = 1").select(F.col("vid").alias("rvid"), "ids"), need)
     keys = placed.where("side = 0").select(F.col("vid").alias("qvid"), "grp", "key1", "key2")
     return _ranked(sides[0], keys.join(per_vector, "qvid").drop("qvid"), k, exclude_self, group)
@@ -459,7 +577,7 @@ def _prune(packed: DataFrame, metric, need: int, rings: int = 0) -> DataFrame:
     if rings:
         order = Window.partitionBy("grp", "qblock").orderBy("high", "rblock")
         first = enough.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= MET_FIRST).select("grp", "rblock", "qblock", "low")
-        first = _laid(packed.select("side", "grp", "block", "vids", "first", "width", "mat"), first)
+        first = _laid(packed.select("side", "grp", "block", "vids", "first", "width", "mat"), first, need)
         reach = first.mapInPandas(_stream(metric, need, _Running.reach), "grp string, qblock bigint, reach double")
         tight = tight.join(cut(reach, "reach"), ["grp", "qblock"], "left")
         # bounds and distances are rounded differently: a hair of slack keeps ties in

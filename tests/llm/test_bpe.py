@@ -39,3 +39,22 @@ def test_taken_names_and_empty_table(spark):
     assert bpe.decode(bpe.encode(df.limit(0), out_col="t"), "t").count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe.decode(nothing).first().decoded == ""
+
+
+def test_batches_are_converted_in_bounded_slices(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    pc = pytest.importorskip("pyarrow.compute")
+    monkeypatch.setattr(bpe, "PART_BYTES", 100)
+    texts = ["x" * 40] * 7 + [None, "", "y" * 500, "z"] + [""] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(bpe._parts(batch, pc.binary_length(batch.column(1))))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 100 for p in parts)
+    assert not list(bpe._parts(batch.slice(0, 0), pc.binary_length(batch.column(1).slice(0, 0))))
+
+
+def test_decoding_loads_no_merges():
+    class Spec:
+        value = open(bpe.default_path(), encoding="utf-8").read()
+
+    assert bpe._loaded(Spec, bpe._strings) == bpe._loaded(Spec, bpe.WordBpe).tokens

@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ from tracekit.llm.common import free_name
 SCAN = 128
 #: Words that a worker remembers at once in each of two generations; it only saves time.
 REMEMBERED = 150_000
+#: Bytes of texts or ids that a worker converts at once.
+PART_BYTES = 1 << 20
 
 _NONE = 1 << 60
 
@@ -71,9 +74,7 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in chain(vocab.items(), self.special.items()):
-            self.tokens[i] = token
+        self.tokens = token_strings(spec)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
@@ -142,19 +143,36 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by one space: the file names no decoder that would do more."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return join_tokens(self.tokens, ids)
 
 
-_LOADED: dict[int, WordBpe] = {}
+def token_strings(spec: dict) -> list[str]:
+    """The string of each id, the empty one where the file has no token."""
+    vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = [""] * (max([*vocab.values(), *special.values()]) + 1)
+    for token, i in chain(vocab.items(), special.items()):
+        tokens[i] = token
+    return tokens
 
 
-def _loaded(spec) -> WordBpe:
-    """One tokenizer per worker process, so words stay remembered between tasks."""
+def join_tokens(tokens: list[str], ids: Iterable[int]) -> str:
+    return " ".join(map(tokens.__getitem__, ids))
+
+
+_LOADED: dict[str, tuple[int, object]] = {}
+
+
+def _loaded(spec, make):
+    """What ``make`` reads from the file, one per worker process, so words stay remembered between tasks."""
     text = spec.value
-    if (key := hash(text)) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(text)
-    return _LOADED[key]
+    if _LOADED.get(make.__name__, (None,))[0] != (key := hash(text)):
+        _LOADED[make.__name__] = key, make(text)
+    return _LOADED[make.__name__][1]
+
+
+def _strings(text: str) -> list[str]:
+    """All that decoding needs; the merges of a whole tokenizer take ten times as much memory."""
+    return token_strings(json.loads(text))
 
 
 def _shared(df: DataFrame, path: str | None):
@@ -162,12 +180,23 @@ def _shared(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
+def _parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at least a row and, beyond that, about ``PART_BYTES``."""
+    before = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + PART_BYTES, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, sizes, convert) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, convert(batch)], [*batch.schema.names, name])
+            for part in _parts(batch, sizes(batch)):
+                yield pa.RecordBatch.from_arrays([*part.columns, convert(part)], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -181,14 +210,14 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
     out_col, spec, at = free_name(df, out_col), _shared(df, path), df.columns.index(text_col)
 
     def convert(batch):
-        bpe = _loaded(spec)
+        bpe = _loaded(spec, WordBpe)
         lists = [bpe.encode(x) if x else array("i") for x in batch.column(at).to_pylist()]
         offsets = np.zeros(len(lists) + 1, dtype=np.int32)
         np.cumsum([len(x) for x in lists], out=offsets[1:])
         flat = np.concatenate([np.frombuffer(x, dtype=np.int32) if x else np.zeros(0, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    return _with_column(df, out_col, T.ArrayType(T.IntegerType()), convert)
+    return _with_column(df, out_col, T.ArrayType(T.IntegerType()), lambda batch: pc.binary_length(batch.column(at)), convert)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -196,10 +225,10 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
     out_col, spec, at = free_name(df, out_col), _shared(df, path), df.columns.index(ids_col)
 
     def convert(batch):
-        bpe = _loaded(spec)
+        tokens = _loaded(spec, _strings)
         column = batch.column(at)
         flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        texts = [bpe.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
+        texts = [join_tokens(tokens, flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
         return pa.array(texts, pa.string())
 
-    return _with_column(df, out_col, T.StringType(), convert)
+    return _with_column(df, out_col, T.StringType(), lambda batch: pc.multiply(pc.list_value_length(batch.column(at)), 4), convert)

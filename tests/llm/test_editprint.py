@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tracekit.llm import editprint as E
@@ -130,3 +132,45 @@ def test_likeness_to_all_is_likeness():
     scales, rows = E._parts(prints)
     for i, p in enumerate(prints):
         assert E._likeness_to(i, scales, rows).tolist() == pytest.approx([E.likeness(p, q) for q in prints])
+
+
+def test_walks_side_by_side_are_single_walks():
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "é漢😀" * 9, "x" * 9000] + ["".join(rng.choice(list("abcdef  é"), n)) for n in [*rng.integers(0, 300, 60), 9000, 700]]
+    starts = [0, 0, *rng.integers(0, 99_999, len(texts) - 2).tolist()]
+    for some in (slice(None), slice(0, 4), slice(0, 0)):
+        got = E.walks(texts[some], [E._codes(x) for x in texts[some]], starts[some])
+        assert [x.tolist() for x in got] == [E.walk(x, a).tolist() for x, a in zip(texts[some], starts[some])]
+
+
+def test_packed_likeness_is_the_likeness_of_pairs():
+    rng = np.random.default_rng(6)
+    base = "".join(rng.choice(list("abcdefgh "), 3000))
+    texts = ["", "a", *[base[:2000] + "".join(rng.choice(list("abcdefgh "), n)) for n in (0, 30, 300, 1000, 3000)], *[base[:n] for n in (1500, 2100, 2900, 3000, 3000)]]
+    prints = pd.Series([E.text_fingerprint(x) for x in texts])
+    scales, rows = E._parts(prints)
+    for i, p in enumerate(prints):
+        assert E._likeness_to(i, scales, rows).tolist() == [E.likeness(p, q) for q in prints]
+        assert rows.digits.dtype == np.uint64 and rows.digits.shape == (len(prints), 2, E.SAMPLES // 16)
+    i, j = np.divmod(np.arange(len(prints) ** 2), len(prints))
+    assert E._likeness_of(i, j, scales, rows).tolist() == [E.likeness(prints[a], prints[b]) for a, b in zip(i, j)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_block_pairs_cut_by_batches_give_the_links_of_all_pairs(size, monkeypatch):
+    monkeypatch.setattr(E, "_PAIRS", 5)
+    rng = np.random.default_rng(7)
+    base = ["".join(rng.choice(list("abcdefgh "), 900)) for _ in range(4)]
+    rows = []
+    for band, n in enumerate([1, 2, 9, 30, 2, 5]):
+        for k in range(n):
+            text = base[int(rng.integers(4))][: -int(rng.integers(1, 40))]
+            rows.append((band, bytes([band, k]), bytes([int(rng.integers(6))]), bool(rng.integers(2)), E.text_fingerprint(text), 0, 0, band % 2 == 1))
+    table = pd.DataFrame(rows, columns=["band", "name", "root", "stray", "print", "i", "j", "mixed"])
+    batches = (table.iloc[a : a + size] for a in range(0, len(table), size))
+    got = pd.concat(list(E._compare(E.LEAST)(batches)))
+    root = dict(zip(table["name"], table["root"]))
+    joins = sorted((a[0], *sorted([root[a], root[b]])) for a, b in zip(got["a"], got["b"]))
+    expected = {(x[0], *sorted([x[2], y[2]])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]
+                and (not x[7] or x[3] != y[3]) and E.likeness(x[4], y[4]) >= E.LEAST}
+    assert joins == sorted(expected) and len(joins) > 10

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ LEAST, BLOCK = 0.8, 1024
 #: The random bits repeat after so many steps; characters fall into so many classes of bits.
 PERIOD, CLASSES = 4096, 256
 _CHUNK = 1 << 16
+#: Characters of the texts that are walked side by side, and texts from which that is quicker than one by one.
+_SIDE_BY_SIDE, _FEW = 1 << 20, 24
 _PAD = "."
 
 
@@ -41,11 +44,13 @@ class _Walk(dict):
     def __init__(self):
         super().__init__()
         rng = np.random.default_rng(SEED)
-        self.rows = []
-        for _ in range(CLASSES):
+        self.table = np.empty((CLASSES, PERIOD), dtype=np.int16)
+        for row in self.table:
             leave = np.flatnonzero(rng.integers(0, 2, PERIOD) == 1)
             leave = np.concatenate([leave, [leave[0] + PERIOD]])
-            self.rows.append(((leave[np.searchsorted(leave, np.arange(PERIOD))] + 1) % PERIOD).tolist())
+            row[:] = (leave[np.searchsorted(leave, np.arange(PERIOD))] + 1) % PERIOD
+        steps = list(range(PERIOD))  # shared by all rows: a number of its own for each entry would not fit the caches
+        self.rows = [[steps[a] for a in row] for row in self.table.tolist()]
 
     def __missing__(self, c: str) -> list[int]:
         row = self[c] = self.rows[ord(c) * 0x9E3779B1 >> 13 & CLASSES - 1]
@@ -58,22 +63,66 @@ _REACHED = int(np.searchsorted(_PLACES, REACH)) - 1
 _DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
 
-def walk(text: str, start: int = 0) -> np.ndarray:
-    """Step (absolute) at which the walk leaves each character, having come to the first at ``start``."""
+def _walk() -> _Walk:
     global _WALK
     _WALK = _WALK or _Walk()
-    parts, a = [], start % PERIOD
-    for low in range(0, len(text), _CHUNK):
-        states = [a := row[a] for row in map(_WALK.__getitem__, text[low : low + _CHUNK])]
-        parts.append(np.array(states, dtype=np.int64))
-    if not parts:
-        return np.zeros(0, dtype=np.int64)
-    states = np.concatenate([[start % PERIOD], *parts])
-    stay = np.diff(states) % PERIOD
+    return _WALK
+
+
+def _left(states: np.ndarray, start: int) -> np.ndarray:
+    """The absolute steps of states that follow each other, the first one come to from ``start``."""
+    stay = np.diff(states, prepend=start % PERIOD) % PERIOD
     stay[stay == 0] = PERIOD
     return start + np.cumsum(stay)
 
 
+def walk(text: str, start: int = 0) -> np.ndarray:
+    """Step (absolute) at which the walk leaves each character, having come to the first at ``start``."""
+    rows = _walk()
+    parts, a = [np.zeros(0, dtype=np.int64)], start % PERIOD
+    for low in range(0, len(text), _CHUNK):
+        states = [a := row[a] for row in map(rows.__getitem__, text[low : low + _CHUNK])]
+        parts.append(np.array(states, dtype=np.int64))
+    return _left(np.concatenate(parts), start)
+
+
+def _abreast(texts: list[str], codes: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+    """States of walks side by side, texts by falling length: step k takes character k of all that have one.
+
+    Where few texts are left, each of them goes on by itself.
+    """
+    table, lengths = _walk().table.ravel(), np.array([len(x) for x in codes])
+    steps = int(lengths[_FEW - 1]) if len(lengths) >= _FEW else 0
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    offset = np.concatenate([[0], np.cumsum(active)])
+    row_of = np.empty(offset[-1], dtype=np.int32)
+    for r, x in enumerate(codes):
+        row_of[offset[: min(len(x), steps)] + r] = (x[:steps].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(13) & np.uint64(CLASSES - 1)) * np.uint64(PERIOD)
+    came, at = np.empty(offset[-1], dtype=np.int16), (starts % PERIOD).astype(np.int16)
+    for low, high in zip(offset[:-1].tolist(), offset[1:].tolist()):
+        at = came[low:high] = table[row_of[low:high] + at[: high - low]]
+    out = []
+    for r, (text, n) in enumerate(zip(texts, lengths.tolist())):
+        states = came[offset[: min(n, steps)] + r].astype(np.int64)
+        if n > steps:
+            rows, a = _walk(), int(states[-1]) if steps else int(starts[r]) % PERIOD
+            parts = [states]
+            for low in range(steps, n, _CHUNK):
+                parts.append(np.array([a := row[a] for row in map(rows.__getitem__, text[low : low + _CHUNK])], dtype=np.int64))
+            states = np.concatenate(parts)
+        out.append(_left(states, int(starts[r])))
+    return out
+
+
+def walks(texts: list[str], codes: list[np.ndarray], starts: list[int]) -> list[np.ndarray]:
+    """``walk`` of each text from its start."""
+    starts_, out = np.array(starts, dtype=np.int64), [None] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    for i, found in zip(order, _abreast([texts[i] for i in order], [codes[i] for i in order], starts_[order])):
+        out[i] = found
+    return out
+
+
 def _sampled(leave: np.ndarray, codes: np.ndarray, scale: int) -> str:
     places = (_PLACES * (1 << scale)).astype(np.int64)
     at = np.searchsorted(leave, places, side="right")
@@ -153,23 +202,65 @@ def bands_udf(a: pd.Series) -> pd.Series:
     return a.map(bands)
 
 
-def _parts(prints: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Scales, and for each fingerprint its samples at that scale and the next one."""
-    cut_up = [x.split(":") for x in prints]
-    rows = np.frombuffer("".join(x + y for _, x, y in cut_up).encode(), dtype=np.uint8).reshape(len(cut_up), 2, SAMPLES)
-    return np.array([int(x[0]) for x in cut_up]), rows
+class _Packed(NamedTuple):
+    """Samples of fingerprints at their own scale and the next one, 16 a number; the last ones may lie behind the text's end."""
 
+    digits: np.ndarray  # fingerprint, scale, number
+    inside: np.ndarray  # the low bit of each sample inside the text
+    sizes: np.ndarray  # how many are inside
+    equal: np.ndarray  # the same for equal fingerprints
+    groups: dict  # per scale: places, and the first three with the fingerprints last
 
-def _likeness_to(i: int, scales: np.ndarray, rows: np.ndarray) -> np.ndarray:
+
+def _parts(prints: pd.Series) -> tuple[np.ndarray, _Packed]:
+    """Scales, and for each fingerprint its samples at that scale and the next one."""
+    cut_up = [x.split(":") for x in prints]
+    letters = np.frombuffer("".join(x + y for _, x, y in cut_up).encode(), dtype=np.uint8).reshape(len(cut_up), 2, SAMPLES // 2, 2)
+    within = letters != ord(_PAD)
+    hexes = np.where(within, np.where(letters >= ord("a"), letters - (ord("a") - 10), letters - ord("0")), 0).astype(np.uint8)
+    packed = lambda x: np.ascontiguousarray(x[..., 0] | x[..., 1] << np.uint8(4)).view(np.uint64)
+    digits, inside, sizes = packed(hexes), packed(within.astype(np.uint8)), within.sum(axis=(2, 3))
+    scales, groups = np.array([int(x[0]) for x in cut_up]), {}
+    for scale in np.unique(scales).tolist():
+        at = np.flatnonzero(scales == scale)
+        groups[scale] = (at, *(np.ascontiguousarray(np.moveaxis(x[at], 0, -1)) for x in (digits, inside, sizes)))
+    return scales, _Packed(digits, inside, sizes, pd.factorize(np.asarray(prints, dtype=object))[0], groups)
+
+
+def _same(digits: np.ndarray, inside: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many samples inside both are equal."""
+    x = digits ^ one[:, None]
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(~x & inside).sum(axis=0, dtype=np.int64)
+
+
+def _likeness_to(i: int, scales: np.ndarray, rows: _Packed) -> np.ndarray:
     """``likeness`` of fingerprint ``i`` and all of them."""
     out = np.zeros(len(scales))
     for other, mine, theirs in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
-        at = np.flatnonzero(scales == scales[i] + other)
-        p, q = rows[i, mine], rows[at, theirs]
-        some = (q != ord(_PAD)) | (p != ord(_PAD))
-        n = some.sum(axis=1)
-        out[at] = np.where(n > 0, ((q == p) & some).sum(axis=1) / np.maximum(n, 1), 0.0)
-    out[(scales == scales[i]) & (rows == rows[i]).all(axis=(1, 2))] = 1.0
+        if int(scales[i]) + other not in rows.groups:
+            continue
+        at, digits, inside, sizes = rows.groups[int(scales[i]) + other]
+        digits, inside, one, size = digits[theirs], inside[theirs], rows.digits[i, mine], rows.sizes[i, mine]
+        n = np.maximum(sizes[theirs], size)
+        same = _same(digits, inside & rows.inside[i, mine][:, None], one)
+        out[at] = np.where(n > 0, same / np.maximum(n, 1), 0.0)
+    out[rows.equal == rows.equal[i]] = 1.0
+    return out
+
+
+def _likeness_of(i: np.ndarray, j: np.ndarray, scales: np.ndarray, rows: _Packed) -> np.ndarray:
+    """``likeness`` of each pair of fingerprints ``i``, ``j``."""
+    out, apart = np.zeros(len(i)), scales[i] - scales[j]
+    for other, mine, theirs in ((0, 0, 0), (-1, 1, 0), (1, 0, 1)):
+        at = np.flatnonzero(apart == other)
+        one, two = i[at], j[at]
+        both = rows.inside[one, mine] & rows.inside[two, theirs]
+        n = np.maximum(rows.sizes[one, mine], rows.sizes[two, theirs])
+        same = _same((rows.digits[one, mine] ^ rows.digits[two, theirs]).T, both.T, np.zeros(both.shape[1], dtype=np.uint64))
+        out[at] = np.where(n > 0, same / np.maximum(n, 1), 0.0)
+    out[rows.equal[i] == rows.equal[j]] = 1.0
     return out
 
 
@@ -192,24 +283,63 @@ def _rest(buckets: DataFrame, roots: DataFrame, classes: DataFrame, least: float
     to = F.when(F.col("stray"), F.concat(with_strays, with_mains)).otherwise(of_main)
     dealt = rows.join(classes.select("name", "print"), "name").select("band", "name", "root", "stray", "print", F.explode(to).alias("to"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        scales, samples = _parts(group["print"])
-        names, roots_, stray = group["name"].tolist(), group["root"].tolist(), group["stray"].tolist()
-        mixed = bool(group["mixed"].iloc[0])
+    flat = dealt.select("band", "name", "root", "stray", "print", "to.*")
+    together = ["band", "i", "j", "mixed"]
+    laid = flat.withColumn("meet", F.xxhash64(*together)).repartition("meet").sortWithinPartitions("meet", *together)
+    return laid.drop("meet").mapInPandas(_compare(least), "a binary, b binary, likeness double").distinct()
+
+
+#: Pairs that are held against each other at once.
+_PAIRS = 1 << 16
+
+
+def _compare(least: float):
+    """Compares the rows of each block pair, which follow each other: one link per pair of components it joins.
+
+    Most block pairs hold a few rows, so many of them are compared by the same array operations.
+    """
+
+    def links(rows: pd.DataFrame, of: np.ndarray) -> pd.DataFrame:
+        _, samples = parts = _parts(rows["print"])
+        names, stray, mixed = rows["name"].tolist(), rows["stray"].to_numpy(bool), rows["mixed"].to_numpy(bool)
+        root = pd.factorize(rows["root"])[0]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(rows)]])
+        last = np.repeat(edges[1:], np.diff(edges))
         out, joined = [], set()
-        for i in range(len(names)):
-            if mixed and not stray[i]:
-                continue
-            alike = _likeness_to(i, scales, samples)
-            for j in np.flatnonzero(alike >= least):
-                pair = (min(roots_[i], roots_[j]), max(roots_[i], roots_[j]))
-                if pair[0] != pair[1] and pair not in joined and not (mixed and stray[j]):
+        # row i meets the rows behind it in its block pair
+        meets = last - np.arange(len(rows)) - 1
+        cuts = np.concatenate([[0], np.cumsum(meets)])
+        low = 0
+        while low < len(rows):
+            high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + _PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(low, high), meets[low:high])
+            j = np.arange(len(i)) - np.repeat(cuts[low:high] - cuts[low], meets[low:high]) + i + 1
+            some = (root[i] != root[j]) & (~mixed[i] | (stray[i] != stray[j]))
+            i, j = i[some], j[some]
+            alike = _likeness_of(i, j, *parts)
+            for k in np.flatnonzero(alike >= least):
+                x, y = int(i[k]), int(j[k])
+                pair = (of[x], min(root[x], root[y]), max(root[x], root[y]))
+                if pair not in joined:
                     joined.add(pair)
-                    out.append((max(names[i], names[j]), min(names[i], names[j]), float(alike[j])))
+                    out.append((max(names[x], names[y]), min(names[x], names[y]), float(alike[k])))
+            low = high
         return pd.DataFrame(out, columns=["a", "b", "likeness"])
 
-    flat = dealt.select("band", "name", "root", "stray", "print", "to.*")
-    return flat.groupBy("band", "i", "j", "mixed").applyInPandas(compare, "a binary, b binary, likeness double").distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            of = rows.groupby(["band", "i", "j", "mixed"], sort=False).ngroup().to_numpy()
+            # the last block pair may go on in the next batch
+            done = int(np.searchsorted(of, of[-1])) if len(of) else 0
+            held = rows.iloc[done:]
+            if done:
+                yield links(rows.iloc[:done], of[:done])
+        if held is not None and len(held):
+            yield links(held, np.zeros(len(held), dtype=np.int64))
+
+    return run
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,6 +440,13 @@ def with_next(docs: DataFrame, slots: int) -> DataFrame:
     return laid.sortWithinPartitions("slot", "guest", F.desc_nulls_last("doc_id"), "draw")
 
 
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of about ``_SIDE_BY_SIDE`` characters each."""
+    of = np.cumsum(batch["text"].str.len().to_numpy(dtype=np.int64)) // _SIDE_BY_SIDE
+    for low, high in zip(*(lambda e: (e[:-1], e[1:]))([0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(batch)])):
+        yield batch.iloc[low:high]
+
+
 EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, shared_bands int, text_md5 binary")
 
@@ -326,27 +463,40 @@ def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
     slots = slots or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def finish(doc_id, text, codes, leave, own, following, next_print):
+    def finish(doc_id, text, codes, leave, own, tail, tail_codes, tail_leave, next_print):
         n = len(text)
-        kept, tail = n - n // 3, following[: n // 3]
-        edited_leave = np.concatenate([leave[:kept], walk(tail, int(leave[kept - 1]) if kept else 0)])
-        edited = fingerprint(edited_leave, np.concatenate([codes[:kept], _codes(tail)]))
+        kept = n - n // 3
+        edited = fingerprint(np.concatenate([leave[:kept], tail_leave]), np.concatenate([codes[:kept], tail_codes]))
         digest = hashlib.sha256((text[:kept] + tail).encode("utf-8", "surrogatepass")).hexdigest()
         return (doc_id, n, digest, own, edited, likeness(own, edited), likeness(own, next_print), len(set(bands(own)) & set(bands(edited))),
                 hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
 
+    def finished(pairs: list[tuple]) -> list[tuple]:
+        """Rows of (a document, the one after it); the edited tails are walked side by side."""
+        tails, starts = [], []
+        for (_, text, _, leave, _), (_, following, _, _, _) in pairs:
+            kept = len(text) - len(text) // 3
+            tails.append(following[: len(text) // 3])
+            starts.append(int(leave[kept - 1]) if kept else 0)
+        codes = [_codes(x) for x in tails]
+        return [finish(*one, tail, c, left, after[-1]) for (one, after), tail, c, left in zip(pairs, tails, codes, walks(tails, codes, starts))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_slot = None, None
         for batch in batches:
             out = []
-            for doc_id, text, slot, guest in zip(batch["doc_id"], batch["text"], batch["slot"], batch["guest"]):
-                if guest and (held is None or slot != held_slot):
-                    continue  # a repeated first row sends more than one guest
-                leave, codes = walk(text), _codes(text)
-                own = fingerprint(leave, codes)
-                if held is not None:
-                    out.append(finish(*held, text, own))
-                held, held_slot = (None if guest else (None if pd.isna(doc_id) else int(doc_id), text, codes, leave, own)), slot
+            for part in _pieces(batch):
+                texts = part["text"].tolist()
+                codes = [_codes(x) for x in texts]
+                pairs = []
+                for doc_id, text, code, leave, slot, guest in zip(part["doc_id"], texts, codes, walks(texts, codes, [0] * len(texts)), part["slot"], part["guest"]):
+                    if guest and (held is None or slot != held_slot):
+                        continue  # a repeated first row sends more than one guest
+                    row = (None if guest or pd.isna(doc_id) else int(doc_id), text, code, leave, fingerprint(leave, code))
+                    if held is not None:
+                        pairs.append((held, row))
+                    held, held_slot = None if guest else row, slot
+                out += finished(pairs)
             frame = pd.DataFrame(out, columns=[x.split(" ")[0] for x in EDITED.split(", ")])
             yield frame.astype({"doc_id": "Int64"})
         if held is not None:

@@ -93,3 +93,32 @@ def test_packing():
         assert R.unpack_keys(R.pack_keys(keys)).tolist() == keys.tolist()
     for x in ([], [0, 255], [256, 1], [1 << 40]):
         assert R.unpack(R.pack(np.array(x, dtype=np.int64))).tolist() == x
+
+
+def test_only_pairs_asked_for_are_seated():
+    rng = np.random.default_rng(8)
+    n, words = 500, 40
+    block = type("Block", (), {"u": rng.integers(0, words, n), "w": rng.integers(0, words, n), "keys": rng.integers(0, 1 << 40, n).astype(np.uint64)})
+    c, at = rng.integers(0, 60, n), np.flatnonzero(rng.random(n) < 0.3)
+    state = {k: rng.integers(1, 50, words) for k in ("c", "t", "c0", "t0")}
+    scalars = {"d": 0.6, "d0": 0.4, "v": words, "sum_c0": int(state["c0"].sum()), "sum_t0": int(state["t0"].sum())}
+    for s in (None, state):
+        whole = R._tables(block, c, s, scalars, 2)
+        assert R._tables(block, c, s, scalars, 2, at).tolist() == whole[at].tolist()
+        assert R._tables(block, c, s, scalars, 2, at[:0]).tolist() == []
+
+
+def test_tables_follow_the_weights_in_logarithms():
+    rng = np.random.default_rng(9)
+    n, d, strength = 20_000, 0.7, 1.0
+    c, others = rng.integers(2, R.EXACT + 1, n), rng.choice([0, 1, 7, 1000, 10**6, 10**9], n)
+    base, keys = 10.0 ** -rng.uniform(0, 9, n), rng.integers(0, 1 << 60, n).astype(np.uint64)
+    got, u = R.seat(c, base, others, d, strength, keys, 3), R.uniform(keys, 3)
+    assert np.isfinite(got).all() and (got >= 1).all() and (got <= c).all()
+    wrong = 0
+    for i in range(n):
+        j = np.arange(c[i])
+        weight = R.log_stirling(d)[c[i], 1 : c[i] + 1] + (j + 1) * math.log(base[i]) + np.cumsum(np.log(strength + d * (others[i] + j)))
+        share = np.cumsum(np.exp(weight - weight.max()))
+        wrong += got[i] != 1 + (share < share[-1] * u[i]).sum()
+    assert wrong == 0

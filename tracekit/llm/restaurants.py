@@ -78,12 +78,14 @@ def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength
     few = few[np.argsort(c[few], kind="stable")]
     for rows in np.split(few, np.flatnonzero(np.diff(c[few])) + 1) if len(few) else []:
         n = int(c[rows[0]])
-        j = np.arange(n)
-        for part in np.array_split(rows, -(-len(rows) * n // (1 << 20))):
-            opened = np.cumsum(np.log(strength + d * (others[part, None] + j)), axis=1)
-            weight = log_stirling(d)[n, 1 : n + 1] + (j + 1) * np.log(base[part, None]) + opened
-            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[part] = 1 + (share < (share[:, -1] * uniform(keys[part], seed))[:, None]).sum(axis=1)
+        # each weight by its ratio to the one before; the range of doubles holds them for over 10^9 other tables
+        ways = np.exp(np.diff(log_stirling(d)[n, 1 : n + 1]))
+        for part in np.array_split(rows, -(-len(rows) * n // (1 << 17))):
+            weight, chance, before = np.ones((n, len(part))), base[part], others[part]
+            for k in range(1, n):
+                np.multiply(weight[k - 1], ways[k - 1] * chance * (strength + d * (before + k)), out=weight[k])
+            share = np.cumsum(weight, axis=0, out=weight)
+            t[part] = 1 + (share < share[-1] * uniform(keys[part], seed)).sum(axis=0)
     many = np.flatnonzero(c > EXACT)
     if len(many):
         goal, mass, tables, seated = c[many].astype(np.float64), base[many], np.ones(len(many)), np.ones(len(many))
@@ -287,12 +289,12 @@ def _root(row: pd.Series, scalars: dict) -> np.ndarray:
     return (np.maximum(row["c0"] - d * row["t0"], 0) + back) / (ROOT_STRENGTH + scalars["sum_c0"])
 
 
-def _tables(b: _Block, c: np.ndarray, state: dict | None, scalars: dict | None, sweep: int) -> np.ndarray:
-    """Tables of the block's pairs: one each at first, then drawn from the state of the sweep before."""
+def _tables(b: _Block, c: np.ndarray, state: dict | None, scalars: dict | None, sweep: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Tables of the block's pairs (those ``at``): one each at first, then drawn from the state of the sweep before."""
     if state is None:
-        return np.minimum(c, 1)
+        return np.minimum(c[at], 1)
     base = _root(state, scalars)
-    return seat(c, base[b.w], np.maximum(state["t"][b.u] - 1, 0), scalars["d"], STRENGTH, b.keys, sweep)
+    return seat(c[at], base[b.w[at]], np.maximum(state["t"][b.u[at]] - 1, 0), scalars["d"], STRENGTH, b.keys[at], sweep)
 
 
 def _add_up(shares, fold, sweep: int, scalars: dict | None):
@@ -303,9 +305,11 @@ def _add_up(shares, fold, sweep: int, scalars: dict | None):
         for row in _rows(block):
             b = _Block(row, shares, fold)
             c, own, states = _answers(b, answers)
-            t = _tables(b, c, states.get(sweep - 1), scalars, sweep) * own
-            tables = np.bincount(b.u, t, minlength=len(b.words))[b.order]
-            customers = np.bincount(b.w, t, minlength=len(b.words))[b.order]
+            # of the blocks that hold a pair, one adds it up, and only that one seats it
+            at = np.flatnonzero(own)
+            t = _tables(b, c, states.get(sweep - 1), scalars, sweep, at)
+            tables = np.bincount(b.u[at], t, minlength=len(b.words))[b.order]
+            customers = np.bincount(b.w[at], t, minlength=len(b.words))[b.order]
             cuts = list(zip(b.word_slices[:-1], b.word_slices[1:]))
             out += [(s, row["block"], pack(tables[i:j]), pack(customers[i:j])) for s, (i, j) in enumerate(cuts) if j > i]
         return pd.DataFrame(out, columns=["share", "block", "t", "c0"])

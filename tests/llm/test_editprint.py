@@ -174,3 +174,11 @@ def test_block_pairs_cut_by_batches_give_the_links_of_all_pairs(size, monkeypatc
     expected = {(x[0], *sorted([x[2], y[2]])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]
                 and (not x[7] or x[3] != y[3]) and E.likeness(x[4], y[4]) >= E.LEAST}
     assert joins == sorted(expected) and len(joins) > 10
+
+
+def test_bands_come_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(E, "_BANDED", 3)
+    table = pd.DataFrame([(bytes([k]), E.text_fingerprint(_prose(k, 20 * k))) for k in range(8)], columns=["name", "print"])
+    got = list(E._banded(iter([table, table.iloc[:0]])))
+    assert len(got) == 3 and all(x["name"].nunique() <= 3 for x in got)
+    assert [tuple(x) for x in pd.concat(got).itertuples(index=False)] == [(n, b) for n, p in zip(table["name"], table["print"]) for b in E.bands(p)]

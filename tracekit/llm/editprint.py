@@ -197,9 +197,17 @@ def likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def bands_udf(a: pd.Series) -> pd.Series:
-    return a.map(bands)
+#: Fingerprints whose bands a worker holds at once.
+_BANDED = 512
+
+
+def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per name and band of its fingerprint."""
+    for batch in batches:
+        for low in range(0, len(batch), _BANDED):
+            part = batch.iloc[low : low + _BANDED]
+            found = part["print"].map(bands)
+            yield pd.DataFrame({"name": np.repeat(part["name"].to_numpy(), found.map(len)), "band": [x for keys in found for x in keys]})
 
 
 class _Packed(NamedTuple):
@@ -351,7 +359,7 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def _classes_and_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts (``name``, smallest ``key``, ``rows``, ``print``), links ``a``, ``b``, ``likeness`` of names, and roots."""
     classes = cut(rows.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("print").alias("print")), "classes")
-    keyed = classes.select("name", F.explode(bands_udf("print")).alias("band")).select("name", F.xxhash64("band").alias("band"))
+    keyed = classes.select("name", "print").mapInPandas(_banded, "name binary, band string").select("name", F.xxhash64("band").alias("band"))
     # nearly all bands are met once: only their hashes are shuffled, names only of those that are shared
     shared = cut(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared")
     kept = cut(keyed.join(shared, "band", "left_semi"), "shared-bands")
@@ -484,7 +492,6 @@ def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_slot = None, None
         for batch in batches:
-            out = []
             for part in _pieces(batch):
                 texts = part["text"].tolist()
                 codes = [_codes(x) for x in texts]
@@ -496,9 +503,8 @@ def compare_edited(docs: DataFrame, slots: int | None = None) -> DataFrame:
                     if held is not None:
                         pairs.append((held, row))
                     held, held_slot = None if guest else row, slot
-                out += finished(pairs)
-            frame = pd.DataFrame(out, columns=[x.split(" ")[0] for x in EDITED.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+                frame = pd.DataFrame(finished(pairs), columns=[x.split(" ")[0] for x in EDITED.split(", ")])
+                yield frame.astype({"doc_id": "Int64"})
         if held is not None:
             raise ValueError("a slot ended without its guest")
 

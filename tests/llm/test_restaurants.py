@@ -122,3 +122,54 @@ def test_tables_follow_the_weights_in_logarithms():
         share = np.cumsum(np.exp(weight - weight.max()))
         wrong += got[i] != 1 + (share < share[-1] * u[i]).sum()
     assert wrong == 0
+
+
+def test_pairs_of_a_block_are_sorted_not_searched(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, words = 3000, 50
+    numbers = rng.integers(1, words, n).astype(np.uint32)
+    numbers[[9, 10, n - 1]] = 0  # ends of texts, one of them empty
+    row = {"numbers": zlib.compress(numbers.tobytes()), "doc_ids": [1, None, 5], "sizes": [10, 1, n - 11], "words": rng.integers(0, 1 << 63, words).astype(np.uint64).tobytes()}
+    called = []
+    real = np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: called.append("unique") or real(*a, **k))
+    b = R._Block(row, (3, 4), (7, 2))
+    counts, spread = b.learnt_counts(), b.of_tokens(b.u * 1000 + b.w)
+    assert not called  # numpy's unique and a search for each token took most of a sweep's time
+    met = list(zip([0, *numbers[:-1].tolist()], numbers.tolist()))
+    learnt = Counter(p for p, keep in zip(met, np.repeat([not R.held_out(i) for i in row["doc_ids"]], row["sizes"])) if keep)
+    assert spread.tolist() == [u * 1000 + w for u, w in met]
+    assert sorted(zip(b.u.tolist(), b.w.tolist())) == sorted(set(met))
+    assert counts.tolist() == [learnt[p] for p in zip(b.u.tolist(), b.w.tolist())]
+    assert (b.keys[1:] >= b.keys[:-1]).all()
+
+
+def test_order_with_and_without_packing():
+    x = np.random.default_rng(5).integers(0, 40, 500).astype(np.uint64)
+    for below in (40, 1 << 64):
+        assert R._order(x, below).tolist() == np.argsort(x, kind="stable").tolist()
+    assert R._order(x[:1], 40).tolist() == [0] and R._order(x[:0], 40).tolist() == []
+
+
+def test_large_dishes_are_seated_together_and_leave_when_full(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, d, strength = 3000, 0.6, 1.0
+    goal, mass, others = np.sort(rng.integers(R.EXACT + 1, 4000, n))[::-1].astype(np.float64), rng.random(n), rng.integers(0, 500, n)
+    worked = []
+    real = np.minimum
+    monkeypatch.setattr(np, "minimum", lambda *a, **k: worked.append(len(a[1])) or real(*a, **k))
+    got = R._expected_tables(goal, mass, others, d, strength)
+    monkeypatch.undo()
+    assert sum(worked) < 0.9 * n * len(worked)  # before, full dishes were carried along to the last round
+    for i in range(0, n, 37):
+        tables, seated = 1.0, 1.0
+        while seated < goal[i]:
+            step = min(max(1.0, seated // 32), goal[i] - seated)
+            new = (strength + d * (others[i] + tables)) * mass[i]
+            tables += step * new / (seated - d * tables + new)
+            seated += step
+        assert got[i] == pytest.approx(tables, rel=1e-12)
+    c, keys = rng.permutation(goal).astype(np.int64), rng.integers(0, 1 << 60, n).astype(np.uint64)
+    whole = R.seat(c, mass, others, d, strength, keys, 1)
+    monkeypatch.setattr(R, "SEATED", 100)
+    assert R.seat(c, mass, others, d, strength, keys, 1).tolist() == whole.tolist()

@@ -36,6 +36,8 @@ BLOCK_TOKENS, PAIR_SHARE, WORD_SHARE = 2_000_000, 1_500_000, 1_000_000
 EXACT = 32
 #: Bits of a pair's key within its share: of 1.5 million pairs about one in a million meets another one's key.
 PAIR_BITS = 40
+#: Larger dishes that are seated at a time, in cache.
+SEATED = 8192
 FOLDS, FOLD = 7, 2
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +68,24 @@ def uniform(keys: np.ndarray, seed: int) -> np.ndarray:
     return ((mix(keys, seed) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _expected_tables(goal: np.ndarray, mass: np.ndarray, others: np.ndarray, d: float, strength: float) -> np.ndarray:
+    """Tables of dishes, those of most customers first, by the expected rate of seating one after the other.
+
+    All dishes have as many seated at a time, so those that are full are the last ones and are left alone.
+    """
+    tables, seated, less = np.ones(len(goal)), 1.0, -goal
+    while n := int(np.searchsorted(less, -seated)):
+        step = max(1.0, seated // 32)
+        x, new = tables[:n], (strength + d * (others[:n] + tables[:n])) * mass[:n]
+        rate = seated - d * x
+        rate += new
+        new *= np.minimum(step, goal[:n] - seated)
+        new /= rate
+        x += new
+        seated += step
+    return tables
+
+
 def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength: float, keys: np.ndarray, seed: int) -> np.ndarray:
     """Tables of each dish after its ``c`` customers are seated anew.
 
@@ -87,14 +107,11 @@ def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength
             share = np.cumsum(weight, axis=0, out=weight)
             t[part] = 1 + (share < share[-1] * uniform(keys[part], seed)).sum(axis=0)
     many = np.flatnonzero(c > EXACT)
-    if len(many):
-        goal, mass, tables, seated = c[many].astype(np.float64), base[many], np.ones(len(many)), np.ones(len(many))
-        while (seated < goal).any():
-            step = np.minimum(np.maximum(1.0, np.floor(seated / 32)), goal - seated)
-            new = (strength + d * (others[many] + tables)) * mass
-            tables += step * new / (seated - d * tables + new)
-            seated += step
-        t[many] = np.floor(np.minimum(tables, goal - 1) + uniform(keys[many], seed)).astype(np.int64)
+    many = many[np.argsort(-c[many], kind="stable")]
+    for at in range(0, len(many), SEATED):
+        part = many[at : at + SEATED]
+        tables = _expected_tables(c[part].astype(np.float64), base[part], others[part], d, strength)
+        t[part] = np.floor(np.minimum(tables, c[part] - 1.0) + uniform(keys[part], seed)).astype(np.int64)
     return t
 
 
@@ -130,6 +147,23 @@ def _slices(keys: np.ndarray, bits: int, shares: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted values, and the place of each value among them."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new], np.cumsum(new) - 1
+
+
+def _order(x: np.ndarray, below: int) -> np.ndarray:
+    """Places of values under ``below`` in sorted order, sorted as one number with the value where both fit."""
+    bits = max(len(x) - 1, 0).bit_length()
+    if (below - 1).bit_length() + bits > 64:
+        return np.argsort(x, kind="stable")
+    both = (x << np.uint64(bits)) | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 # ---- blocks
 
 
@@ -198,7 +232,7 @@ class _Block:
             n = np.uint64(len(words))
             self.pairs = self.numbers.astype(np.uint64)
             self.pairs[1:] += self.numbers[:-1] * n  # a text follows the end of another, which is number 0
-            self.distinct = np.unique(self.pairs)
+            self.distinct = _distinct(np.sort(self.pairs))[0]
             u, w = self.distinct // n, self.distinct % n
             bits = PAIR_BITS + max(0, (shares[1] - 1).bit_length())
             keys = mix(words[u] * _PRIME + words[w]) >> np.uint64(64 - bits)
@@ -208,16 +242,20 @@ class _Block:
 
     def learnt_counts(self) -> np.ndarray:
         """How often each pair occurs in the documents that are learnt from, in key order."""
-        found, n = np.unique(self.pairs[self.learnt], return_counts=True)
-        counts = np.zeros(len(self.distinct), dtype=np.int64)
-        counts[np.searchsorted(self.distinct, found)] = n
-        return counts[self.by_key]
+        return np.bincount(self.places()[self.learnt], minlength=len(self.distinct))[self.by_key]
+
+    def places(self) -> np.ndarray:
+        """Place of each token's pair among the distinct ones. Searching them for each token would take many times as long."""
+        order = _order(self.pairs, len(self.words) ** 2)
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = _distinct(self.pairs[order])[1]
+        return at
 
     def of_tokens(self, x: np.ndarray) -> np.ndarray:
         """Values of pairs in key order, spread to the tokens."""
         plain = np.empty_like(x)
         plain[self.by_key] = x
-        return plain[np.searchsorted(self.distinct, self.pairs)]
+        return plain[self.places()]
 
     def by_number(self, rows: pd.DataFrame, column: str) -> np.ndarray:
         """Values that came back per share of words, in the order of the block's numbers."""

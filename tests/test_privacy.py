@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracekit.operators import embedding as W
 from tracekit.operators import privacy as V
+from tracekit.operators import sampling as R
 
 
 def table(spark, mat):
@@ -73,3 +75,27 @@ def test_reduction_is_fitted_on_the_first_table_and_only_when_wide(spark):
     assert W.reduce_widths(ta, [tb], max_col_nums=61) == [ta, tb] and W.reduce_widths(ta, [tb], max_col_nums=None) == [ta, tb]
     assert W.fit_svd(ta.limit(0), "vec").shape == (0, 0)
     assert W.reduce_widths(ta.limit(0), [tb])[1].count() == 30
+
+
+def test_sweep_makes_and_measures_each_batch_once(spark):
+    real = spark.createDataFrame([(i, float(i)) for i in range(20)], "id long, x double")
+    made, asked = [], []
+
+    def generator(seed, n):
+        made.append(seed)
+        return spark.range(n).select((F.col("id") + 1000 * seed).alias("id"), (F.col("id") * (seed + 1) * 0.37).alias("x"))
+
+    def distance(real, rows):
+        asked.append(sorted(rows.columns))
+        return rows.select("id", (F.col("x") % 1.0).alias("distance"))
+
+    n, cuts = 60, (0.2, 0.3, 0.4)
+    got = V.privacy_sweep(real, generator, distance, lambda rows: rows.agg(F.sum("x")).first()[0], n, "id", cuts).collect()
+    assert sorted(made) == list(range(len(made)))  # before, every quantile made and measured its own
+    assert len(asked) == len(made) + len(cuts)
+    assert [r.q for r in got] == [0.0, *cuts]
+    for r in got[1:]:
+        kept = R.privacy_refill(real, generator, distance, r.q, n, "id")[0]
+        assert kept.count() == n
+        assert r.score == pytest.approx(kept.agg(F.sum("x")).first()[0])
+        assert r.median == pytest.approx(V.median_closest(distance(real, kept)).first()[0])

@@ -15,7 +15,7 @@ from tracekit.operators.embedding import reduce_widths
 from tracekit.operators.encoders import fit_choices, fit_moments, fit_ranges, normalize, one_hot, standardize
 from tracekit.operators.nearest import nearest
 from tracekit.operators.ordered import arrange, exact_quantiles, quantiles, running
-from tracekit.operators.sampling import bootstrap_rounds, percent_sample, privacy_refill
+from tracekit.operators.sampling import bootstrap_rounds, measured_batch, percent_sample, privacy_refill
 from tracekit.session import cut
 
 
@@ -279,11 +279,18 @@ def privacy_sweep(
     real: DataFrame, generator: Callable[[int, int], DataFrame], distance: Callable, score: Callable[[DataFrame], float],
     n: int, key: str, quantiles: Sequence[float] = (0.1, 0.2, 0.3, 0.4),
 ) -> DataFrame:
-    """(q, median closest distance, utility score): all rows as generated (q 0), then refills at several cut quantiles."""
-    rows = []
+    """(q, median closest distance, utility score): all rows as generated (q 0), then refills at several cut quantiles.
+
+    All quantiles draw from the same batches, each made and measured once.
+    """
+    rows, measured = [], {}
     for q in (0.0, *quantiles):
-        kept = cut(generator(0, n), "unfiltered") if q == 0 else privacy_refill(real, generator, distance, q, n, key)[0].drop("round")
-        median = median_closest(distance(real, kept)).first()[0]
+        if q == 0:
+            kept, distances = measured_batch(real, generator, distance, 0, n, measured)
+        else:
+            kept = privacy_refill(real, generator, distance, q, n, key, measured=measured)[0].drop("round")
+            distances = distance(real, kept)
+        median = median_closest(distances).first()[0]
         rows.append((float(q), float(median), float(score(kept))))
     return real.sparkSession.createDataFrame(rows, "q double, median double, score double")
 

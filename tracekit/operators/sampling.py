@@ -348,19 +348,30 @@ def oversample_regression(df: DataFrame, numeric: Sequence[str], target: str, ke
 Generator = Callable[[int, int], DataFrame]
 
 
+def measured_batch(
+    real: DataFrame, generator: Generator, distance: Callable[[DataFrame, DataFrame], DataFrame], r: int, n: int, measured: dict,
+) -> tuple[DataFrame, DataFrame]:
+    """Batch r and its distances, both written once and kept in ``measured``."""
+    if r not in measured:
+        batch = cut(generator(r, n), "batch")
+        measured[r] = batch, cut(distance(real, batch), "distances")
+    return measured[r]
+
+
 def privacy_refill(
     real: DataFrame, generator: Generator, distance: Callable[[DataFrame, DataFrame], DataFrame], q: float, n: int,
-    key: str, rounds: int = 10,
+    key: str, rounds: int = 10, measured: dict | None = None,
 ) -> tuple[DataFrame, dict]:
     """Drop rows closer to the real table than the q-quantile of the first batch, refill up to n rows.
 
     ``generator(seed, n)`` returns rows with a unique ``key``;
     ``distance(real, rows)`` returns (key, distance). One bounded set of jobs per
     round, each result written so that no lineage builds up. The report has the
-    limit, the rows kept and how many are missing after the last round.
+    limit, the rows kept and how many are missing after the last round. Calls that
+    differ in ``q`` only can share their batches and distances in one ``measured``.
     """
-    first = cut(generator(0, n), "batch")
-    dist = cut(distance(real, first), "distances")
+    measured = {} if measured is None else measured
+    first, dist = measured_batch(real, generator, distance, 0, n, measured)
     limit = exact_quantiles(dist, "distance", [q]).first()["distance"]
 
     def far_enough(batch, d, r):
@@ -371,8 +382,7 @@ def privacy_refill(
     for r in range(1, rounds + 1):
         if have >= n:
             break
-        batch = cut(generator(r, n), "batch")
-        fresh = cut(far_enough(batch, distance(real, batch), r), "fresh")
+        fresh = cut(far_enough(*measured_batch(real, generator, distance, r, n, measured), r), "fresh")
         fresh = exact_top(fresh, n - have, [key])
         kept = cut(kept.unionByName(fresh), "kept")
         have = kept.count()

@@ -222,3 +222,52 @@ def test_a_reference_block_is_sent_once_to_a_set_of_query_blocks(spark, monkeypa
     sent = [r for r in laid if r.low >= 0]
     assert len(sent) == 2 * 12 and all(len(r.wanted_by) == 6 for r in sent)  # of 144 pairs
     assert {(q, r.qset) for r in sent for q in r.wanted_by} == {(r.qblock, r.qset) for r in laid if r.low < 0}
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("kind", ["plain", "far", "clusters", "even", "huge", "nan"])
+def test_bounds_by_a_product_change_no_bit(metric, kind, monkeypatch):
+    rng = np.random.default_rng(11)
+    q, b = rng.normal(size=(150, 20)), rng.normal(size=(260, 20))
+    if kind == "far":
+        q, b = q * 1e-3 + 1e4, b * 1e-3 + 1e4
+    if kind == "clusters":
+        q, b = (np.round(rng.normal(size=(n, 20)) * 1e-4 + rng.integers(0, 2, (n, 1)) * 50.0, 4) for n in (150, 260))
+    if kind == "even":
+        q[:, 3:], b[:, 3:] = 7.0, 7.0
+    if kind == "huge":
+        q, b = q * 1e20, b * 1e20
+    if kind == "nan":
+        b[5, 2] = np.nan
+    exact = N._distances(metric, q, b)
+    for limit in (np.quantile(np.nan_to_num(exact), 0.02, axis=1), np.nan_to_num(exact).min(axis=1), exact.max(axis=1)):
+        for loose in (0.0, 0.2, 1.0):
+            monkeypatch.setattr(N, "LOOSE", loose)
+            rows, cols, dist = N._within(metric, q, b, limit)
+            got = {(r, c): d for r, c, d in zip(rows.tolist(), cols.tolist(), dist.tolist())}
+            assert len(got) == len(rows)
+            if kind != "nan" or metric == "l1":
+                assert got == {(r, c): exact[r, c] for r, c in zip(*(x.tolist() for x in np.nonzero(exact <= limit[:, None])))}
+    if kind != "nan":
+        cols, dist = N._closest(metric, q, b, 4)
+        assert cols.tolist() == np.argsort(exact, axis=1, kind="stable")[:, :4].tolist()
+        assert dist.tolist() == np.take_along_axis(exact, cols, axis=1).tolist()
+
+
+def test_waves_stay_below_the_difference():
+    u = np.linspace(0, N.WAVE_LEVEL + sum(abs(a) for a, _ in N.WAVES), 300_001)
+    below = N.WAVE_LEVEL - sum(a * np.cos(w * u) for a, w in N.WAVES)
+    slope = 1 + sum(abs(a) * w for a, w in N.WAVES)
+    assert (below - u).max() < -slope * u[1] / 2  # holds between the points as well; behind the last one the sum is too small
+
+
+def test_most_pairs_of_wide_vectors_are_ruled_out_by_products(monkeypatch):
+    rng = np.random.default_rng(12)
+    q, b = rng.normal(size=(300, 64)), rng.normal(size=(2048, 64))
+    limit = np.sort(N._distances("l1", q, b), axis=1)[:, 1]
+    summed = []
+    monkeypatch.setattr(N, "_estimates", lambda *_: pytest.fail("distances of all pairs were summed"))
+    real = N._sifted
+    monkeypatch.setattr(N, "_sifted", lambda *a: lambda rows, cols: summed.append(len(rows)) or real(*a)(rows, cols))
+    assert len(N._within("l1", q, b, limit)[0]) == 600
+    assert 0 < sum(summed) < 0.1 * 300 * 2048

@@ -43,6 +43,11 @@ MET_FIRST = 2  # blocks that give a query block its first true distances
 TILE_ROWS = 32  # query rows whose distances to a full block are summed at once, in cache
 SETS = 64  # query sets, until each holds SET_VALUES
 SET_VALUES = 1 << 21  # values of the query blocks that share one copy of a reference block
+PRODUCT_TILES = 16  # tiles of query rows that one matrix product bounds
+LOOSE = 0.2  # share of pairs that bounds leave, above which estimates are cheaper
+EXACT_PAIRS = 1 << 12  # pairs whose distances are summed at once, in cache
+# |u| >= WAVE_LEVEL - sum of a cos(w u) for every u, by 0.08 less on average where u is normal
+WAVE_LEVEL, WAVES = 1.0848, ((0.954671, 1.388849), (0.130246, 4.015395))
 SLACK = 1e-12  # rounding of distances to pivots, relative to them
 
 
@@ -132,8 +137,8 @@ def _smallest(dist: np.ndarray, take: int) -> np.ndarray:
 def _closest(metric, q: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
     """(columns, distances) of the ``take`` closest rows of b for each row of q, equal ones by column.
 
-    Euclidean distances are first estimated by one matrix product; every row that
-    the rounding error could hide among the closest is then computed exactly. The
+    Distances of wide vectors are first estimated, Euclidean ones by one matrix product; every row
+    that the rounding error could hide among the closest is then computed exactly. The
     exact sums run in one order wherever they are made, so ties stay ties.
     """
     if metric == "l2" and q.shape[1] > 4:
@@ -142,71 +147,166 @@ def _closest(metric, q: np.ndarray, b: np.ndarray, take: int) -> tuple[np.ndarra
         qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
         guess = qn[:, None] + bn[None, :] - 2.0 * (qc @ bc.T)
         error = 1e-14 * q.shape[1] * (qn.max() + bn.max())
-        limit = np.partition(guess, take - 1, axis=1)[:, take - 1] + 2 * error
-        rows, cols = np.nonzero(guess <= limit[:, None])
-        exact = np.zeros(len(rows))
-        for j in range(q.shape[1]):
-            d = np.abs(q[rows, j] - b[cols, j])
-            exact += d * d
-        dist = np.full(guess.shape, np.inf)
-        dist[rows, cols] = np.sqrt(exact)
+        dist = _first_exact(metric, q, b, take, guess, error)
+    elif metric == "l1" and q.shape[1] > CURVE_DIMS and np.isfinite((sums := _sums(q, b))[1]):
+        estimate, error = sums
+        guess = np.concatenate([estimate(slice(at, at + _tile(len(b)))) for at in range(0, len(q), _tile(len(b)))])
+        dist = _first_exact(metric, q, b, take, guess, error)
     else:
         dist = _distances(metric, q, b)
     best = _smallest(dist, take)
     return best, np.take_along_axis(dist, best, axis=1)
 
 
+def _first_exact(metric, q: np.ndarray, b: np.ndarray, take: int, guess: np.ndarray, error: float) -> np.ndarray:
+    """Distances of the pairs that may be among the ``take`` closest of a row by estimates off by ``error`` at most, else infinite."""
+    limit = np.partition(guess, take - 1, axis=1)[:, take - 1] + 2 * error
+    rows, cols = np.nonzero(guess <= limit[:, None])
+    dist = np.full(guess.shape, np.inf)
+    dist[rows, cols] = _exact(metric, q, b, rows, cols)
+    return dist
+
+
+def _exact(metric, q: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, summed in the order of ``_distances``."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), EXACT_PAIRS):
+        part = slice(at, at + EXACT_PAIRS)
+        d = q[rows[part]] - b[cols[part]]
+        # sums along the first axis are made one after the other
+        d = np.ascontiguousarray(d.T)
+        np.add.reduce(np.abs(d, out=d) if metric == "l1" else np.multiply(d, d, out=d), axis=0, out=out[part])
+    return out if metric == "l1" else np.sqrt(out, out=out)
+
+
+def _rounding(q: np.ndarray, b: np.ndarray) -> tuple[type, float]:
+    """The precision in which L1 distances are estimated, and what an estimate may be off by."""
+    at_most = max(np.abs(q).max(initial=0.0), np.abs(b).max(initial=0.0))
+    # single precision holds it if no sum can overflow; each of the terms and sums rounds
+    kind = np.float32 if at_most * q.shape[1] < 1e37 else np.float64
+    return kind, 4.0 * float(np.finfo(kind).eps) * (q.shape[1] + 2) ** 2 * at_most + 1e-30
+
+
+def _sifted(q: np.ndarray, b: np.ndarray, limit: np.ndarray):
+    """Of pairs of rows those that may be within the limit in L1, by estimates off by rounding only."""
+    kind, error = _rounding(q, b)
+    near, far, one, reach = q.astype(kind), b.astype(kind), np.ones(q.shape[1], dtype=kind), limit * (1 + 1e-12) + error
+
+    def sift(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.empty(len(rows), dtype=bool)
+        for at in range(0, len(rows), EXACT_PAIRS):
+            part = slice(at, at + EXACT_PAIRS)
+            d = near[rows[part]]
+            d -= far[cols[part]]
+            keep[part] = np.abs(d, out=d) @ one <= reach[rows[part]]
+        return rows[keep], cols[keep]
+
+    return sift
+
+
+def _sums(q: np.ndarray, b: np.ndarray):
+    """Estimates of L1 distances of some rows of q to all rows of b, dimension by dimension, and what they may be off by."""
+    kind, error = _rounding(q, b)
+    near, far = q.astype(kind), np.asfortranarray(b, dtype=kind)
+
+    def estimate(part: slice) -> np.ndarray:
+        rows = near[part]
+        sums, held = np.zeros((len(rows), len(far)), dtype=kind), np.empty((len(rows), len(far)), dtype=kind)
+        for j in range(q.shape[1]):
+            np.subtract(rows[:, j, None], far[None, :, j], out=held)
+            np.abs(held, out=held)
+            np.add(sums, held, out=sums)
+        return sums
+
+    return estimate, error
+
+
+def _features(metric, q: np.ndarray, b: np.ndarray, limit: np.ndarray):
+    """Single-precision matrices f, g and a number per row of q: where f @ g.T is below it, the pair is farther apart than the limit.
+
+    Euclidean distances follow from such a product. For L1, |d| is at least ``WAVE_LEVEL`` less some cosine waves of d, and a
+    cosine of a difference is a product of sines and cosines. Waves are scaled to the differences of each dimension: what
+    is far from usual is bounded loosely, never wrongly. None where numbers are too large or missing.
+    """
+    width, eps = q.shape[1], float(np.finfo(np.float32).eps)
+    centre = b.mean(axis=0)
+    with np.errstate(all="ignore"):
+        qc, bc = q - centre, b - centre
+        if not max(np.abs(qc).max(initial=0.0), np.abs(bc).max(initial=0.0)) < 1e15:
+            return None
+        if metric != "l1":
+            qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
+            error = 4.0 * eps * (width + 4) * (qn.max() + bn.max()) + 1e-30
+            one = np.ones((len(q), 1))
+            return (np.concatenate([qc, one], axis=1).astype(np.float32), np.concatenate([bc, -bn[:, None] / 2], axis=1).astype(np.float32),
+                    (qn - limit**2 * (1 + 1e-12)) / 2 - error)
+        usual = np.sqrt(qc.var(axis=0) + bc.var(axis=0) + qc.mean(axis=0) ** 2)
+        by = np.where(usual > 0, usual, 1.0)
+        sides, steep = [], 0.0
+        for x in (qc, bc):
+            phase = x / by
+            steep = max(steep, np.abs(phase).max(initial=0.0) * max(w for _, w in WAVES))
+            phase = phase.astype(np.float32)
+            out = np.empty((len(x), 2 * len(WAVES) * width), dtype=np.float32)
+            for k, (a, w) in enumerate(WAVES):
+                turned, height = phase * np.float32(w), np.sqrt(a * usual).astype(np.float32)
+                for i, f in enumerate((np.cos, np.sin)):
+                    np.multiply(f(turned), height, out=out[:, (2 * k + i) * width : (2 * k + i + 1) * width])
+            sides.append(out)
+        # phases, waves, products and sums round
+        error = sum(a for a, _ in WAVES) * usual.sum() * eps * (8 * steep + 2 * out.shape[1] + 64) + 1e-30
+        return *sides, WAVE_LEVEL * usual.sum() - limit * (1 + 1e-12) - error
+
+
 def _within(metric, q: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of q, rows of b, distances) of all pairs that are no farther apart than the limit of the row of q.
 
-    Estimates rule out what is farther by more than their rounding error, a few rows of q at a time; the rest is
+    Bounds by one matrix product rule out most pairs of wide vectors; where they leave more than a share of
+    ``LOOSE`` of a run of rows, estimates rule out what is farther by more than their rounding error. The rest is
     summed exactly, in the order of ``_distances``.
     """
     found, step = [], _tile(len(b))
     if callable(metric):
         b = np.asfortranarray(b)
-    elif metric == "l1":
-        at_most = max(np.abs(q).max(initial=0.0), np.abs(b).max(initial=0.0))
-        # single precision holds it if no sum can overflow; each of the terms and sums rounds
-        kind = np.float32 if at_most * q.shape[1] < 1e37 else np.float64
-        error = 4.0 * float(np.finfo(kind).eps) * (q.shape[1] + 2) ** 2 * at_most + 1e-30
-        near, far = q.astype(kind), np.asfortranarray(b, dtype=kind)
-        guess, d = (np.empty((min(step, len(q)), len(b)), dtype=kind) for _ in range(2))
-    else:
-        centre = b.mean(axis=0)
-        qc, bc = q - centre, b - centre
-        qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
-        error = 1e-14 * q.shape[1] * (qn.max() + bn.max())
-    for at in range(0, len(q), step):
-        part = slice(at, at + step)
-        if callable(metric):
+        for at in range(0, len(q), step):
+            part = slice(at, at + step)
             dist = np.asarray(metric(q[part], b))
             rows, cols = np.nonzero(dist <= limit[part, None])
             found.append((rows + at, cols, dist[rows, cols]))
-            continue
-        if metric == "l1":
-            sums, held = guess[: len(q[part])], d[: len(q[part])]
-            sums.fill(0)
-            for j in range(q.shape[1]):
-                np.subtract(near[part, j, None], far[None, :, j], out=held)
-                np.abs(held, out=held)
-                np.add(sums, held, out=sums)
-            reach = limit[part] * (1 + 1e-12) + error
+        return tuple(np.concatenate(x) for x in zip(*found))
+    product = _features(metric, q, b, limit) if q.shape[1] > CURVE_DIMS else None
+    sift = _sifted(q, b, limit) if product is not None and metric == "l1" else None
+    guess = None
+    for at in range(0, len(q), PRODUCT_TILES * step):
+        run = slice(at, min(at + PRODUCT_TILES * step, len(q)))
+        if product is not None:
+            f, g, least = product
+            near = f[run] @ g.T >= least[run, None].astype(np.float32)
+            rows, cols = np.divmod(np.flatnonzero(near.ravel()), len(b))  # a matrix's nonzero takes several times as long
+        if product is None or len(rows) > LOOSE * (run.stop - at) * len(b):
+            guess = guess or _estimates(metric, q, b, limit)
+            parts = [(x, *np.nonzero(guess(slice(x, min(x + step, run.stop))))) for x in range(at, run.stop, step)]
+            rows, cols = np.concatenate([r + x for x, r, _ in parts]), np.concatenate([c for _, _, c in parts])
         else:
-            sums = qn[part, None] + bn[None, :] - 2.0 * (qc[part] @ bc.T)
-            reach = limit[part] ** 2 * (1 + 1e-12) + 2 * error
-        rows, cols = np.nonzero(sums <= reach[:, None])
-        exact = np.zeros(len(rows))
-        for j in range(q.shape[1]):
-            x = np.abs(q[rows + at, j] - b[cols, j])
-            exact += x if metric == "l1" else x * x
-        if metric != "l1":
-            exact = np.sqrt(exact)
-        keep = exact <= limit[rows + at]
-        found.append((rows[keep] + at, cols[keep], exact[keep]))
+            rows, cols = (sift or (lambda *x: x))(rows + at, cols)
+        exact = _exact(metric, q, b, rows, cols)
+        keep = exact <= limit[rows]
+        found.append((rows[keep], cols[keep], exact[keep]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _estimates(metric, q: np.ndarray, b: np.ndarray, limit: np.ndarray):
+    """Which rows of b may be within the limits of some rows of q, by estimates off by rounding only."""
+    if metric == "l1":
+        estimate, error = _sums(q, b)
+        return lambda part: estimate(part) <= (limit[part] * (1 + 1e-12) + error)[:, None]
+    centre = b.mean(axis=0)
+    qc, bc = q - centre, b - centre
+    qn, bn = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1)
+    error = 1e-14 * q.shape[1] * (qn.max() + bn.max())
+    return lambda part: qn[part, None] + bn[None, :] - 2.0 * (qc[part] @ bc.T) <= (limit[part] ** 2 * (1 + 1e-12) + 2 * error)[:, None]
+
+
 def _curve(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Add ``_z``: bits of the widest dimensions interleaved."""
     stats = rows.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(
